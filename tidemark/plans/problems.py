@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text_time import clean_id, instant_text, utc_instant
-from tidemark.operators import history, once, orphans, regular_grid, snapshot_diff
+from tidemark.operators import hierarchy, history, once, orphans, regular_grid, snapshot_diff, spikes
 from tidemark.session import table
 
 SERIES = ["full_table_name", "column_name", "metric_name", "dimension_value"]
@@ -219,6 +219,86 @@ P3_KEPT_SQL = _P3_SQL
 P3_FOUND_SQL = f"SELECT model_execution_id, generated_at FROM ({_P3_SQL}) WHERE copies > 1"
 
 
+# 4. Implausible spikes in measurements
+
+
+def p4_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Every wrong reading with what is wrong with it."""
+    return spikes.implausible(
+        table(spark, d, "data_monitoring_metrics"),
+        identifier=F.col("id"),
+        series=[F.col(c) for c in SERIES],
+        start=F.col("bucket_start"),
+        at=F.col("bucket_end"),
+        hours=F.col("bucket_duration_hours"),
+        value=F.col("metric_value"),
+        version=F.col("updated_at"),
+        metric=F.coalesce("metric_type", "metric_name"),
+    )
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_flags(spark, d).select("id")
+
+
+# 5. Parent-child links to full hierarchies
+
+
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    """(node, parents) of each model's latest row."""
+    rows = table(spark, d, "dbt_models").select(
+        clean_id("unique_id").alias("node"), utc_instant("generated_at").alias("at"), "depends_on_nodes"
+    )
+    latest = (
+        rows.filter(F.col("node").isNotNull())
+        .groupBy("node")
+        .agg(F.max(F.struct("at", F.coalesce("depends_on_nodes", F.lit("")).alias("depends_on_nodes"))).alias("r"))
+    )
+    return latest.select("node", hierarchy.listed_parents(F.col("r.depends_on_nodes")).alias("parents"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = hierarchy.hierarchy(_models(spark, d))
+    return found.select(F.col("node").alias("unique_id"), F.col("root").alias("root_id"), F.col("depth").cast("bigint").alias("depth"))
+
+
+def p5_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The longest path from each root to each model."""
+    found = hierarchy.hierarchy(_models(spark, d), paths=True).filter("depth >= 0")
+    return found.select(
+        F.col("node").alias("unique_id"), F.col("root").alias("root_id"), F.concat_ws(" > ", "path").alias("path"), F.col("depth").cast("bigint").alias("depth")
+    )
+
+
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    nodes = _models(spark, d)
+    pairs = hierarchy.descendants(nodes, hierarchy.hierarchy(nodes))
+    return pairs.select(F.col("node").alias("unique_id"), F.col("descendant").alias("descendant_id"), F.col("depth").cast("bigint").alias("depth"))
+
+
+_P5_CTES = f"""
+WITH RECURSIVE l AS (
+  SELECT u, list_distinct(list_transform(regexp_extract_all(x, '["'']([^"'']*)["'']', 1), lambda y: lower(trim(y)))) p
+  FROM (SELECT lower(trim(unique_id)) u, max(ROW({_SQL_TIME.format('trim(generated_at)')}, coalesce(depends_on_nodes, ''))) r
+        FROM dbt_models WHERE unique_id IS NOT NULL GROUP BY 1) q, LATERAL (SELECT r[2] x)),
+e AS (SELECT DISTINCT u child, p parent FROM (SELECT u, unnest(p) p FROM l) WHERE p IN (SELECT u FROM l)),
+up AS (
+  SELECT child u, parent a FROM e
+  UNION
+  SELECT up.u, e.parent FROM up JOIN e ON up.a = e.child),
+bad AS (SELECT DISTINCT u FROM up WHERE a IN (SELECT u FROM up WHERE u = a)),
+"""
+P5_FOUND_SQL = (
+    _P5_CTES
+    + """d AS (
+  SELECT u, u r, CAST(0 AS BIGINT) n FROM l WHERE u NOT IN (SELECT child FROM e)
+  UNION
+  SELECT e.child, d.r, d.n + 1 FROM d JOIN e ON e.parent = d.u WHERE e.child NOT IN (SELECT u FROM bad))
+SELECT u unique_id, r root_id, max(n) depth FROM d GROUP BY u, r
+UNION ALL SELECT u, 'cycle', CAST(-1 AS BIGINT) FROM bad"""
+)
+
+
 # 6. History of changing entity attributes
 
 
@@ -303,6 +383,11 @@ QUERIES = {
     "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_kept": p3_kept,
+    "p4_found": p4_found,
+    "p4_flags": p4_flags,
+    "p5_found": p5_found,
+    "p5_paths": p5_paths,
+    "p5_descendants": p5_descendants,
     "p6_found": p6_found,
     "p6_history": p6_history,
     "p7_found": p7_found,
@@ -313,6 +398,7 @@ ORACLES = {
     "p2_report": P2_REPORT_SQL,
     "p3_found": P3_FOUND_SQL,
     "p3_kept": P3_KEPT_SQL,
+    "p5_found": P5_FOUND_SQL,
     "p6_found": P6_FOUND_SQL,
     "p7_found": P7_FOUND_SQL,
 }

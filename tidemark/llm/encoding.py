@@ -45,11 +45,20 @@ BLOCKS = (
     (0xFB01, 0xFB02),
     (0xFFFD, 0xFFFD),
 )
-#: Signs that share a class, as a text's own choice among them says nothing about its encoding.
+#: Signs whose bigrams are counted together, as a text's choice among them says nothing about its encoding.
 SAME_SIGN = {"„": "“", "”": "“", "«": "“", "»": "“", "—": "–"}
 LOST = "�"
-#: Nats by which a stretch must read better under a cipher to be a case, and to be a candidate at all.
-CASE, CANDIDATE = 9.0, 4.0
+#: Nats by which a stretch must read better under a cipher to be a case: one of single bytes, and UTF-8,
+#: whose byte sequences hardly come about by chance.
+CASE, CASE_UTF8 = 5.0, 4.0
+#: A token speaks for a single-byte cipher with its whole gain only if what it becomes is known: each
+#: changed letter stands between its neighbours at least SEEN times in all texts and RATIO times as often
+#: as the one it replaces; else with at most WEAK nats.
+SEEN, RATIO, WEAK = 5, 8, 1.0
+#: That ratio for a sign that stands alone between blanks, where no letter beside it helps.
+RATIO_ALONE = 200
+#: Slots of the table of letter triples (a bounded sketch; two triples may share a slot).
+TRIPLES = 4_194_301
 #: Bigrams of a token below this (nats) make it suspicious; tokens of likelier ones are taken as they are.
 UNLIKELY = -5.0
 #: What a clean-looking token that the cipher would change costs a stretch.
@@ -57,7 +66,6 @@ BREAK = 3.0
 #: Times a stretch can have been decoded wrongly one after the other.
 LAYERS = 3
 CACHE = 400_000
-SPACE = re.compile(r"[ \n\t\r]+")
 
 
 @cache
@@ -70,7 +78,6 @@ def _classes() -> tuple[np.ndarray, list[str]]:
         for code in range(first, last + 1):
             low = chr(code).lower()
             low = "0" if low.isdigit() and low.isascii() else " " if low in "\n\t\r" else low[:1]
-            low = SAME_SIGN.get(low, low)
             if low not in known:
                 known[low] = len(letters)
                 letters.append(low)
@@ -82,19 +89,40 @@ def _units(text: str) -> np.ndarray:
     return _classes()[0][np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)]
 
 
-def language_bigrams(docs: DataFrame) -> DataFrame:
-    """(a, b, n): how often class b follows class a over all whole texts of docs(text)."""
+def _triples(u: np.ndarray) -> np.ndarray:
+    size = len(_classes()[1])
+    return ((u[..., :-2].astype(np.int64) * size + u[..., 1:-1]) * size + u[..., 2:]) % TRIPLES
+
+
+@cache
+def _foreign() -> np.ndarray:
+    """Whether a class is no ASCII character."""
+    return np.array([i == 1 or not c.isascii() for i, c in enumerate(_classes()[1])])
+
+
+def language_counts(docs: DataFrame) -> DataFrame:
+    """(a, b, n) over all whole texts of docs(text): how often class b follows class a, and, with b = -1,
+    how often the triples of slot a stand in the texts (those with a character that is not ASCII)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = len(_classes()[1])
+        size, foreign = len(_classes()[1]), _foreign()
         total = np.zeros(size * size, dtype=np.int64)
+        triples = np.zeros(TRIPLES, dtype=np.int64)
         for batch in batches:
             texts = [t for t in batch["text"] if t]
             for i in range(0, len(texts), 256):
                 u = _units("\n".join(texts[i : i + 256]))
+                if len(u) < 3:
+                    continue
                 total += np.bincount(u[:-1] * size + u[1:], minlength=size * size)
-        at = np.flatnonzero(total)
+                at = np.flatnonzero(foreign[u])
+                near = np.unique(np.concatenate([at - 2, at - 1, at]))
+                near = near[(near >= 0) & (near + 2 < len(u))]
+                slot, n = np.unique(_triples(np.stack([u[near], u[near + 1], u[near + 2]], axis=1))[:, 0], return_counts=True)
+                triples[slot] += n
+        at, slot = np.flatnonzero(total), np.flatnonzero(triples)
         yield pd.DataFrame({"a": (at // size).astype(np.int32), "b": (at % size).astype(np.int32), "n": total[at]})
+        yield pd.DataFrame({"a": slot.astype(np.int32), "b": np.int32(-1), "n": triples[slot]})
 
     return docs.select("text").mapInPandas(count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -102,20 +130,22 @@ def language_bigrams(docs: DataFrame) -> DataFrame:
 def bigram_model(counts: pd.DataFrame) -> np.ndarray:
     """log P(b | a) by class, smoothed with the classes' own frequencies."""
     size = len(_classes()[1])
+    counts = counts[counts["b"] >= 0]
+    letters = _classes()[1]
+    pool = np.array([letters.index(SAME_SIGN.get(c, c)) for c in letters])
     n = np.zeros((size, size))
-    n[counts["a"], counts["b"]] = counts["n"]
+    np.add.at(n, (pool[counts["a"]], pool[counts["b"]]), counts["n"])
     alone = n.sum(0) + 0.05
     alone /= alone.sum()
     weight = 1.0
-    return np.log((n + weight * alone) / (n.sum(1, keepdims=True) + weight)).astype(np.float32)
+    return np.log((n + weight * alone) / (n.sum(1, keepdims=True) + weight)).astype(np.float32)[np.ix_(pool, pool)]
 
 
-def _byte(ch: str, read: str) -> int | None:
-    """The byte that reads as ch; bytes that the code page leaves open read as control characters."""
-    try:
-        return ch.encode(read)[0]
-    except UnicodeEncodeError:
-        return ord(ch) if 0x80 <= ord(ch) < 0x100 and _open(ord(ch), read) else None
+def triple_table(counts: pd.DataFrame) -> np.ndarray:
+    counts = counts[counts["b"] < 0]
+    out = np.zeros(TRIPLES, dtype=np.int32)
+    out[counts["a"]] = np.minimum(counts["n"], 2**31 - 1)
+    return out
 
 
 @cache
@@ -204,51 +234,87 @@ class Ciphers:
         return _from_utf8(text, read) if written == "utf-8" else text.translate(self.table(source, swap))
 
 
+SINGLE = tuple(k for k, (w, _) in enumerate(SWAPS) if w != "utf-8")
+UTF8 = tuple(k for k, (w, _) in enumerate(SWAPS) if w == "utf-8")
+_TWO = re.compile(r"[^\x00-\x7f]{2}")
+
+
 class Reader:
-    """Scores tokens of one source under each cipher, remembering those it has seen."""
+    """Scores tokens under each cipher of a source, remembering those it has seen."""
 
-    def __init__(self, model: np.ndarray, ciphers: Ciphers):
-        self.model, self.ciphers = model, ciphers
+    def __init__(self, model: np.ndarray, triples: np.ndarray, ciphers: Ciphers):
+        self.model, self.triples, self.ciphers = model, triples, ciphers
         self.seen: dict[tuple[str, str], dict[int, float] | None] = {}
-
-    def score(self, token: str) -> tuple[float, float]:
-        u = _units(" " + token + " ")
-        p = self.model[u[:-1], u[1:]]
-        return float(p.sum()), float(p.min())
+        self.maps: dict[str, np.ndarray] = {}
+        self.known_sources = {s for s, _ in ciphers.learned}
+
+    def _map(self, source: str) -> np.ndarray:
+        """Class of each 16-bit unit after each single-byte cipher of the source."""
+        source = source if source in self.known_sources else ""
+        if source not in self.maps:
+            plain = _classes()[0]
+            out = np.repeat(plain[None, :].astype(np.int16), len(SINGLE), axis=0)
+            for i, k in enumerate(SINGLE):
+                table = self.ciphers.table(source, k)
+                for a, b in table.items():
+                    if a < 0x10000:
+                        out[i, a] = plain[ord(b)]
+            self.maps[source] = out
+        return self.maps[source]
+
+    def score(self, u: np.ndarray) -> float:
+        return float(self.model[u[:-1], u[1:]].sum())
 
     def gains(self, token: str, source: str) -> dict[int, float] | None:
-        """Nats gained under each swap that changes the token; None for a token that reads well as it is."""
+        """Nats that speak for each swap that changes the token; None for a token that reads well as it is."""
         key = (token, source)
         if key in self.seen:
             return self.seen[key]
         if len(self.seen) > CACHE:
             self.seen.clear()
-        total, least = self.score(token)
+        text = " " + token + " "
+        u = _units(text)
+        pairs = self.model[u[:-1], u[1:]]
         out: dict[int, float] | None = None
-        if least < UNLIKELY:
-            out, done = {}, {}
-            for k in range(len(SWAPS)):
-                new = self.ciphers.read(token, source, k)
-                if new != token:
-                    if new not in done:
-                        done[new] = self.score(new)[0] - total
-                    out[k] = done[new]
+        if float(pairs.min()) < UNLIKELY:
+            out, total = {}, float(pairs.sum())
+            raw = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
+            new = self._map(source)[:, raw]
+            changed = new != u
+            gain = self.model[new[:, :-1], new[:, 1:]].sum(1) - total
+            for i in np.flatnonzero(changed.any(1)).tolist():
+                g = float(gain[i])
+                out[SINGLE[i]] = g if g <= WEAK or self._known(u, new[i], changed[i]) else WEAK
+            if _TWO.search(token):
+                for k in UTF8:
+                    fixed = _from_utf8(token, SWAPS[k][1])
+                    if fixed != token:
+                        out[k] = self.score(_units(" " + fixed + " ")) - total
         self.seen[key] = out
         return out
 
+    def _known(self, old: np.ndarray, new: np.ndarray, changed: np.ndarray) -> bool:
+        touched = changed[:-2] | changed[1:-1] | changed[2:]
+        after = self.triples[_triples(new)][touched].min()
+        before = self.triples[_triples(old)][touched].min()
+        ratio = RATIO if len(old) > 3 else RATIO_ALONE
+        return bool(after >= SEEN and after >= ratio * before)
+
     def changes(self, token: str, source: str, swap: int) -> bool:
         return self.ciphers.read(token, source, swap) != token
 
     def best_stretch(self, tokens: list[tuple[int, str]], source: str) -> tuple[float, int, int, int]:
-        """(gain, swap, first, last index into tokens) of the stretch and cipher that gain most.
+        """(gain, swap, first, last index into tokens) of the stretch and cipher that gain most, if it is a
+        case; else a gain of 0.
 
         tokens are the (position, text) of the non-ASCII tokens. The gains within a stretch add up;
         tokens that read well and that the cipher would change count against it.
         """
         each = [self.gains(t, source) for _, t in tokens]
-        swaps = {k for g in each if g for k, v in g.items() if v > 0}
+        swaps = {k for g in each if g for k, v in g.items() if v > WEAK}
         best = (0.0, -1, 0, 0)
         for k in sorted(swaps):
+            least = CASE_UTF8 if SWAPS[k][0] == "utf-8" else CASE
             run, first = 0.0, 0
             for i, g in enumerate(each):
                 if g is None:
@@ -258,7 +324,7 @@ class Reader:
                 if run <= 0:
                     run, first = 0.0, i
                 run += v
-                if run > best[0] + 1e-9:
+                if run >= least and run > best[0] + 1e-9:
                     best = (run, k, first, i)
         return best
 
@@ -269,7 +335,7 @@ def split_tokens(text: str) -> tuple[list[str], list[tuple[int, str]]]:
     return parts, [(i, t) for i, t in enumerate(parts) if not t.isascii()]
 
 
-def repair(text: str, source: str, reader: Reader, least: float) -> tuple[str, float, list[tuple[int, float]]]:
+def repair(text: str, source: str, reader: Reader) -> tuple[str, float, list[tuple[int, float]]]:
     """(text with the stretches rewritten, total gain, [(swap, gain)...]); several stretches and layers."""
     gained, swaps = 0.0, []
     for _ in range(4 * LAYERS):
@@ -277,7 +343,7 @@ def repair(text: str, source: str, reader: Reader, least: float) -> tuple[str, f
         if not odd:
             break
         gain, k, first, last = reader.best_stretch(odd, source)
-        if gain < least:
+        if gain <= 0:
             break
         bounds = _bounds(text)
         a, b = bounds[odd[first][0]][0], bounds[odd[last][0]][1]
@@ -373,7 +439,7 @@ def maximize(contexts: pd.DataFrame, model: np.ndarray, start: dict[int, str] |
     return out
 
 
-def wrongly_decoded(docs: DataFrame, case: float = CASE) -> DataFrame:
+def wrongly_decoded(docs: DataFrame) -> DataFrame:
     """(doc_id, source, repaired, gain, swaps) of the documents that hold wrongly decoded stretches.
 
     docs: (doc_id bigint, source string, text string); null or empty texts and pure ASCII are no
@@ -382,19 +448,19 @@ def wrongly_decoded(docs: DataFrame, case: float = CASE) -> DataFrame:
     many nats better the stretches read, swaps the ciphers used ("written>read", "lost"). Equal
     texts of one source get equal results; an empty table gives an empty result.
 
-    All whole texts are read: once for the bigrams (sums of a bounded table of character classes),
-    once for the candidate stretches. Only candidates are kept (text included) for the estimation of
+    All whole texts are read: once for the bigrams and triples (sums of two tables of fixed size, the
+    only thing that comes to the driver), once for the candidate stretches. Only candidates are kept (text included) for the estimation of
     the ciphers, which gathers counts per (source, swap, context) by shuffled sums, and for the
     final decision.
     """
     docs = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
     spark = docs.sparkSession
     odd = docs.filter(F.col("text").rlike(r"[^\x00-\x7F]"))
-    model = bigram_model(language_bigrams(docs).toPandas())
-    shared = spark.sparkContext.broadcast(model)
+    counts = language_counts(docs).toPandas()
+    shared = spark.sparkContext.broadcast((bigram_model(counts), triple_table(counts)))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(shared.value, Ciphers())
+        reader = Reader(*shared.value, Ciphers())
         for batch in batches:
             keep = []
             for i, (text, source) in enumerate(zip(batch["text"], batch["source"])):
@@ -402,20 +468,20 @@ def wrongly_decoded(docs: DataFrame, case: float = CASE) -> DataFrame:
                     keep.append(i)
                     continue
                 _, tokens = split_tokens(text)
-                if reader.best_stretch(tokens, source)[0] >= CANDIDATE:
+                if reader.best_stretch(tokens, source)[0] > 0:
                     keep.append(i)
             yield batch.iloc[keep]
 
     found = cut(odd.mapInPandas(candidates, "doc_id bigint, source string, text string"))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(shared.value, Ciphers())
+        reader = Reader(*shared.value, Ciphers())
         counts: dict = defaultdict(int)
         for batch in batches:
             for text, source in zip(batch["text"], batch["source"]):
                 _, tokens = split_tokens(text)
                 gain, k, first, last = reader.best_stretch(tokens, source)
-                if gain < case or SWAPS[k][0] == "utf-8":
+                if gain <= 0 or SWAPS[k][0] == "utf-8":
                     continue
                 table = code_page_table(*SWAPS[k])
                 for _, t in tokens[first : last + 1]:
@@ -434,7 +500,7 @@ def wrongly_decoded(docs: DataFrame, case: float = CASE) -> DataFrame:
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         source, k = group["source"].iloc[0], int(group["swap"].iloc[0])
-        table = maximize(group, shared.value, code_page_table(*SWAPS[k]))
+        table = maximize(group, shared.value[0], code_page_table(*SWAPS[k]))
         return pd.DataFrame({"source": source, "swap": k, "symbol": list(table), "letter": list(table.values())})
 
     tables = seen.groupBy("source", "swap").applyInPandas(learn, "source string, swap int, symbol int, letter string").toPandas()
@@ -442,14 +508,14 @@ def wrongly_decoded(docs: DataFrame, case: float = CASE) -> DataFrame:
     learned = spark.sparkContext.broadcast(ciphers)
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(shared.value, learned.value)
+        reader = Reader(*shared.value, learned.value)
         for batch in batches:
             rows = []
             for doc_id, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
-                fixed, gain, swaps = repair(text, source, reader, case)
+                fixed, gain, swaps = repair(text, source, reader)
                 names = [f"{SWAPS[k][0]}>{SWAPS[k][1]}" for k, _ in swaps]
                 if LOST in fixed:
-                    fixed, names = fill_lost(fixed, shared.value), [*names, "lost"]
+                    fixed, names = fill_lost(fixed, shared.value[0]), [*names, "lost"]
                 if names:
                     rows.append((doc_id, source, fixed, gain, names))
             yield pd.DataFrame(rows, columns=["doc_id", "source", "repaired", "gain", "swaps"])

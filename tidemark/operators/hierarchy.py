@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tidemark.session import cut
 
 CYCLE = "cycle"
-#: Contractions of a graph after which it is taken for endless; each at least halves every chain.
-ROUNDS = 1000
 
 
 def listed_parents(c: Column) -> Column:
@@ -26,7 +24,16 @@ def links(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node) and (child, parent) from (node, parents array): distinct links whose parent is a node too."""
     ids = nodes.select("node").filter(F.col("node").isNotNull()).distinct()
     pairs = nodes.filter(F.col("node").isNotNull()).select(F.col("node").alias("child"), F.explode("parents").alias("parent")).distinct()
-    return ids, pairs.join(ids.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent")
+    return ids, pairs.join(_merge(ids.withColumnRenamed("node", "parent")), "parent", "left_semi").select("child", "parent")
+
+
+def _merge(df: DataFrame) -> DataFrame:
+    """Joins here are shuffled: either side grows with the graph, and broadcasts would pile up on the driver."""
+    return df.hint("merge")
+
+
+def _columns(paths: bool) -> list[str]:
+    return ["child", "parent", "w", *(["hops"] if paths else [])]
 
 
 def _lighter(edges: DataFrame, paths: bool) -> DataFrame:
@@ -37,61 +44,41 @@ def _lighter(edges: DataFrame, paths: bool) -> DataFrame:
     return edges.groupBy("child", "parent").agg(*best)
 
 
-def _compress(edges: DataFrame, paths: bool) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
-    """Splice out every node with a single parent.
-
-    Returns (record, looped, edges): record (child, parent, w[, hops]) ties each spliced node to its
-    first ancestor that stays; looped are the links of single-parent nodes that never reach one (they
-    lie on or below a cycle); edges are those of the remaining nodes. Chains are shortened by pointer
-    doubling, so a chain of n nodes takes log2(n) joins.
-    """
-    cols = ["child", "parent", "w", *(["hops"] if paths else [])]
-    counts = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"))
-    single = counts.filter("n = 1").select("child")
-    jump = cut(edges.join(single, "child", "left_semi").select(*cols))
-    if jump.isEmpty():
-        return None, None, edges
-    rest = edges.join(counts.filter("n > 1").select("child"), "child", "left_semi").select(*cols)
-    before = -1
-    done = None
-    while True:
-        # Pointers whose target is spliced out too move on to the target's own target.
-        up = jump.select(*[F.col(c).alias(f"u_{c}") for c in cols])
-        moving = jump.join(up, F.col("parent") == F.col("u_child"), "left")
-        jumped = moving.select(
-            "child",
-            F.coalesce("u_parent", "parent").alias("parent"),
-            (F.col("w") + F.coalesce("u_w", F.lit(0))).alias("w"),
-            *([F.when(F.col("u_child").isNotNull(), F.concat("u_hops", "hops")).otherwise(F.col("hops")).alias("hops")] if paths else []),
-            F.col("u_child").isNotNull().alias("moved"),
-        )
-        jumped = cut(jumped)
-        settled = jumped.filter(~F.col("moved")).select(*cols)
-        open_ = jumped.filter("moved")
-        left = open_.count()
-        done = jumped
-        if left == 0 or left == before:
-            break
-        before = left
-        jump = settled.unionByName(open_.select(*cols))
-    record, looped = done.filter("NOT moved").select(*cols), None
-    if left:
-        # The same number twice: no chain ended in between, so these run round for ever.
-        looped = done.filter("moved").select("child").distinct()
-    moved = record.select(*[F.col(c).alias(f"u_{c}") for c in cols])
-    spliced = rest.join(moved, F.col("parent") == F.col("u_child"), "left").select(
+def _follow(edges: DataFrame, pointers: DataFrame, paths: bool, *more: Column) -> DataFrame:
+    """Edges whose parent has a pointer moved on to where it points."""
+    cols = _columns(paths)
+    up = _merge(pointers.select(*[F.col(c).alias(f"u_{c}") for c in pointers.columns]))
+    moved = F.col("u_child").isNotNull()
+    return edges.join(up, F.col("parent") == F.col("u_child"), "left").select(
         "child",
         F.coalesce("u_parent", "parent").alias("parent"),
         (F.col("w") + F.coalesce("u_w", F.lit(0))).alias("w"),
-        *([F.when(F.col("u_child").isNotNull(), F.concat("u_hops", "hops")).otherwise(F.col("hops")).alias("hops")] if paths else []),
-    )
-    return record, looped, cut(_lighter(spliced, paths))
+        *([F.when(moved, F.concat("u_hops", "hops")).otherwise(F.col("hops")).alias("hops")] if paths else []),
+        *more,
+    ).select(*cols, *[c for c in ("ended",) if more])
+
 
+def _anchors(single: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(record, looped) of the nodes with a single parent.
 
-def _rake(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(record, edges): the links of the nodes without children, and those of all others."""
-    inner = edges.select(F.col("parent").alias("child")).distinct()
-    return cut(edges.join(inner, "child", "left_anti")), cut(edges.join(inner, "child", "left_semi"))
+    record (child, parent, w[, hops]) ties each to its first ancestor that has not a single parent;
+    looped (node) are those that never reach one, as they lie on or below a cycle. Pointers are
+    doubled, so a chain of n nodes takes log2(n) joins, two to a step.
+    """
+    cols = _columns(paths)
+    inner = _merge(single.select(F.col("child").alias("parent")).distinct().withColumn("inner", F.lit(True)))
+    pointers = single.join(inner, "parent", "left").select(*cols, F.col("inner").isNull().alias("ended"))
+    before = None
+    while True:
+        ended = F.col("ended") | F.coalesce("u_ended", F.lit(True))
+        pointers = cut(_follow(pointers, pointers, paths, ended.alias("ended")))
+        left = pointers.filter("NOT ended").count()
+        if left == 0:
+            return pointers.select(*cols), None
+        if left == before:
+            # No chain ended in this step, so none ends later either: these run round for ever.
+            return pointers.filter("ended").select(*cols), pointers.filter("NOT ended").select(F.col("child").alias("node"))
+        before = left
 
 
 def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
@@ -103,54 +90,48 @@ def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
     (of several the lexicographically last). A node on a cycle or below one has the single row
     (node, 'cycle', -1). An empty table gives an empty result.
 
-    The graph is contracted: unary chains are spliced out and leaves raked off in turn, each step
-    recorded, until nothing is left but roots. A core that does not shrink holds the cycles: its
+    The graph is contracted: in each step its leaves are raked off and its unary chains spliced out,
+    both recorded, until nothing is left but roots. A core that does not shrink holds the cycles: its
     nodes are settled from the roots downward as far as that goes, the rest is cyclic. The records
     are then undone last to first; a node's roots are those of its recorded ancestors, moved by the
     recorded distance. Only joins and aggregates keyed by node are used; the driver sees counts.
     """
-    ids, pairs = links(nodes)
-    first = pairs.select("child", "parent", F.lit(1).alias("w"), *([F.array("child").alias("hops")] if paths else []))
-    base = edges = cut(first)
-    ids = cut(ids)
-    cols = ["child", "parent", "w", *(["hops"] if paths else [])]
+    ids, pairs = links(cut(nodes.select("node", "parents")))
+    cols = _columns(paths)
+    base = edges = cut(pairs.select("child", "parent", F.lit(1).alias("w"), *([F.array("child").alias("hops")] if paths else [])))
     records: list[DataFrame] = []
-    loops: list[DataFrame] = []
-    size = edges.count()
-    for _ in range(ROUNDS):
-        if size == 0:
-            break
-        record, looped, edges = _compress(edges, paths)
-        if record is not None:
-            records.append(record.select(*cols))
-        if looped is not None:
-            loops.append(looped)
-        raked, edges = _rake(edges)
-        if not raked.isEmpty():
-            records.append(raked.select(*cols))
-        now = edges.count()
-        if now == size and record is None:
+    looped: list[DataFrame] = []
+    while True:
+        degree = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"))
+        inner = edges.select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
+        state = cut(edges.join(_merge(degree), "child").join(_merge(inner), "child", "left").select(*cols, "n", F.col("inner").isNull().alias("leaf")))
+        sizes = state.agg(
+            F.count(F.lit(1)).alias("edges"), F.count_if("leaf").alias("leaves"), F.count_if(~F.col("leaf") & (F.col("n") == 1)).alias("single")
+        ).first()
+        if not sizes["leaves"] and not sizes["single"]:
             break
-        size = now
-
-    roots = ids.join(base.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
+        inside = state.filter("NOT leaf")
+        if sizes["single"]:
+            record, loop = _anchors(inside.filter("n = 1").select(*cols), paths)
+            if loop is not None:
+                looped.append(loop)
+            # Leaves hang on the anchors too, so both kinds of a step are undone at once.
+            records.append(record.unionByName(_follow(state.filter("leaf").select(*cols), record, paths)))
+            edges = cut(_lighter(_follow(inside.filter("n > 1").select(*cols), record, paths), paths))
+        else:
+            records.append(state.filter("leaf").select(*cols))
+            edges = inside.select(*cols)
+
+    roots = ids.join(_merge(base.select(F.col("child").alias("node")).distinct()), "node", "left_anti")
     start = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), *([F.array("node").alias("path")] if paths else []))
-    for looped in loops:
-        start = start.unionByName(_cyclic(looped.select(F.col("child").alias("node")), paths))
-    known = [cut(start)]
-    if size:
-        known = [_settle_core(known[0], edges, paths)]
+    for loop in looped:
+        start = start.unionByName(_cyclic(loop, paths))
+    known = cut(start)
+    if sizes["edges"]:
+        known = _settle_core(known, state.select(*cols), paths)
     for record in reversed(records):
-        known.append(cut(_expand(record, _all(known), paths)))
-    out = _all(known)
-    return out.select("node", "root", "depth", *(["path"] if paths else []))
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        known = cut(known.unionByName(_expand(record, known, paths)))
+    return known
 
 
 def _cyclic(nodes: DataFrame, paths: bool) -> DataFrame:
@@ -161,8 +142,9 @@ def _cyclic(nodes: DataFrame, paths: bool) -> DataFrame:
 
 def _expand(record: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
     """Rows of the recorded nodes from those of their recorded ancestors."""
-    up = record.join(known.withColumnRenamed("node", "parent"), "parent")
+    up = record.join(_merge(known.withColumnRenamed("node", "parent")), "parent")
     bad = F.col("depth") < 0
+    # All rows of a node meet in one aggregate, keyed (node, root); a cyclic parent gives the root 'cycle'.
     moved = up.select(
         F.col("child").alias("node"),
         "root",
@@ -173,22 +155,22 @@ def _expand(record: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
     if paths:
         best.append(F.max_by("path", F.struct("depth", "path")).alias("path"))
     rows = moved.groupBy("node", "root").agg(*best)
-    lost = moved.filter("depth < 0").select("node").distinct()
-    good = rows.filter("depth >= 0").join(lost, "node", "left_anti")
+    lost = rows.filter("depth < 0").select("node")
+    good = rows.filter("depth >= 0").join(_merge(lost), "node", "left_anti")
     return good.unionByName(_cyclic(lost, paths))
 
 
 def _settle_core(known: DataFrame, edges: DataFrame, paths: bool) -> DataFrame:
     """Settle the core's nodes whose parents are all settled, downward; the others are cyclic."""
-    left = edges.select("child").distinct()
+    left = cut(edges.select("child").distinct())
     while True:
-        parents = edges.join(left, "child", "left_semi")
-        waiting = parents.join(left.withColumnRenamed("child", "parent"), "parent", "left_semi").select("child").distinct()
-        ready = cut(parents.join(waiting, "child", "left_anti"))
+        parents = edges.join(_merge(left), "child", "left_semi")
+        waiting = parents.join(_merge(left.withColumnRenamed("child", "parent")), "parent", "left_semi").select("child").distinct()
+        ready = cut(parents.join(_merge(waiting), "child", "left_anti"))
         if ready.isEmpty():
             return cut(known.unionByName(_cyclic(left.withColumnRenamed("child", "node"), paths)))
         known = cut(known.unionByName(_expand(ready, known, paths)))
-        left = cut(left.join(ready.select("child").distinct(), "child", "left_anti"))
+        left = cut(left.join(_merge(ready.select("child").distinct()), "child", "left_anti"))
 
 
 def descendants(nodes: DataFrame, settled: DataFrame) -> DataFrame:
@@ -211,7 +193,7 @@ def descendants(nodes: DataFrame, settled: DataFrame) -> DataFrame:
             return reach
         total = (state["n"], state["s"])
         lower = reach.select(F.col("node").alias("middle"), F.col("descendant").alias("low"), F.col("depth").alias("more"))
-        longer = reach.join(lower, F.col("descendant") == F.col("middle")).select(
+        longer = reach.join(_merge(lower), F.col("descendant") == F.col("middle")).select(
             "node", F.col("low").alias("descendant"), (F.col("depth") + F.col("more")).alias("depth")
         )
         reach = cut(reach.unionByName(longer).groupBy("node", "descendant").agg(F.max("depth").alias("depth")))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,17 +36,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a local one only where none is named (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidemark-"))
-    return spark.sparkContext.getCheckpointDir()
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        current = sc.getCheckpointDir()
+    return current.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and go on from there (survives lost executors)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and go on from there (survives lost executors).
+
+    A written table rather than checkpoint(): a checkpointed plan keeps the estimated size of its
+    origin, which joins multiply, so in iterations the estimate itself grows beyond all memory. The
+    application's tables are deleted when it ends.
+    """
+    spark = df.sparkSession
+    home = f"{checkpoint_dir(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    if home not in _HOMES:
+        _HOMES.add(home)
+        atexit.register(_delete, spark, home)
+    path = f"{home}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_HOMES: set[str] = set()
+
+
+def _delete(spark: SparkSession, home: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(home)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001, S110  the session is already gone
+        pass
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

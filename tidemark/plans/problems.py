@@ -84,24 +84,24 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
         clean_id("invocation_id").alias("invocation_id"),
         utc_instant("generated_at").alias("generated_at"),
     )
-    # The rows of a message are its few distinct pairs of references: duplicates fall together before the shuffle.
+    # Duplicates fall together before the shuffle; a message may still have very many references, so they
+    # are not gathered: its earliest time is joined to them (a skewed message is split by the join).
     pairs = (
         rows.filter(F.col("message").isNotNull())
         .groupBy("message", "unique_id", "invocation_id")
-        .agg(F.min("generated_at").alias("at"))
-    )
-    whole = pairs.groupBy("message").agg(
-        F.min("at").alias("at"),
-        F.collect_set("unique_id").alias("unique_ids"),
-        F.collect_set("invocation_id").alias("invocation_ids"),
+        .agg(F.min("generated_at").alias("seen"))
     )
+    first = pairs.groupBy(F.col("message").alias("_message")).agg(F.min("seen").alias("at"))
     fields = F.array(
-        F.struct(F.lit("unique_id").alias("field"), F.filter("unique_ids", lambda k: k.startswith("model.")).alias("keys")),
-        F.struct(F.lit("invocation_id").alias("field"), F.filter("invocation_ids", lambda k: k != "").alias("keys")),
+        F.struct(F.lit("unique_id").alias("field"), F.when(F.col("unique_id").startswith("model."), F.col("unique_id")).alias("key")),
+        F.struct(F.lit("invocation_id").alias("field"), F.when(F.col("invocation_id") != "", F.col("invocation_id")).alias("key")),
     )
     return (
-        whole.select("message", "at", F.explode(fields).alias("f"))
-        .select("message", "at", "f.field", F.explode("f.keys").alias("key"))
+        pairs.join(first.hint("merge"), F.col("message") == F.col("_message"))
+        .select("message", "at", F.explode(fields).alias("f"))
+        .select("message", "at", "f.field", "f.key")
+        .filter(F.col("key").isNotNull())
+        .distinct()
     )
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import ConfigError
@@ -29,26 +29,29 @@ def _some(df: DataFrame, row_condition: str | None) -> DataFrame:
 
 
 def not_null(df: DataFrame, column: str, columns: list[str] | None = None, row_condition: str | None = None) -> DataFrame:
-    return _some(df, row_condition).where(F.col(column).isNull()).select(*context(df, column, columns))
+    keep = context(df, column, columns)
+    return _some(df, row_condition).where(F.col(column).isNull()).select(*keep)
 
 
 def accepted_range(df: DataFrame, column: str, low: Any = None, high: Any = None, inclusive: bool = True, columns: list[str] | None = None) -> DataFrame:
     """Rows out of the range; null is in it."""
     if low is None and high is None:
         raise ConfigError("accepted_range needs a minimum or a maximum")
+    keep = context(df, column, columns)
     c, bad = F.col(column), F.lit(False)
     if low is not None:
         bad = bad | ~((c >= low) if inclusive else (c > low))
     if high is not None:
         bad = bad | ~((c <= high) if inclusive else (c < high))
-    return df.where(bad).select(*context(df, column, columns))
+    return df.where(bad).select(*keep)
 
 
 def relationships(df: DataFrame, column: str, parent: DataFrame, field: str, columns: list[str] | None = None) -> DataFrame:
     """Rows whose non-null key the parent lacks. The parent goes in as its distinct keys."""
+    keep = context(df, column, columns)
     (key,) = fresh(df, "parent")
     keys = parent.select(F.col(field).alias(key)).where(F.col(key).isNotNull()).distinct()
-    return df.where(F.col(column).isNotNull()).join(keys, F.col(column) == F.col(key), "left_anti").select(*context(df, column, columns))
+    return df.where(F.col(column).isNotNull()).join(keys, F.col(column) == F.col(key), "left_anti").select(*keep)
 
 
 def unique(df: DataFrame, column: str, columns: list[str] | None = None, row_condition: str | None = None) -> DataFrame:
@@ -57,16 +60,18 @@ def unique(df: DataFrame, column: str, columns: list[str] | None = None, row_con
     The repeated values come from a map-side combined aggregate; rows meet them by a semi-join that
     splits skewed values, where a window over the value would hold each in one task.
     """
+    keep = context(df, column, columns)
     rows = _some(df, row_condition)
     (key,) = fresh(df, "value")
     repeated = rows.groupBy(F.col(column).alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
-    return rows.join(repeated, F.col(column).eqNullSafe(F.col(key)), "left_semi").select(*context(df, column, columns))
+    return rows.join(repeated, F.col(column).eqNullSafe(F.col(key)), "left_semi").select(*keep)
 
 
 def match_regex(df: DataFrame, column: str, regex: str, flags: str = "", columns: list[str] | None = None, row_condition: str | None = None) -> DataFrame:
     """Rows in whose value the pattern is not found; null passes."""
+    keep = context(df, column, columns)
     pattern = f"(?{flags}){regex}" if flags else regex
-    return _some(df, row_condition).where(~F.col(column).rlike(pattern)).select(*context(df, column, columns))
+    return _some(df, row_condition).where(~F.col(column).rlike(pattern)).select(*keep)
 
 
 def python_check(df: DataFrame, check: Callable[..., Any], where: str | None = None, **arguments: Any) -> int:
@@ -196,6 +201,3 @@ def failed_row_count(failures: DataFrame, calculation: str = "count(*)") -> int
     value = failures.selectExpr(f"{calculation} AS n").first()["n"]
     return None if value is None else int(value)
 
-
-def column_of(df: DataFrame, name: str) -> Column:
-    return F.col(f"`{name}`")

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from tests.conftest import rows
-from tidemark import artifacts, commands, results
+from tidemark import artifacts, catalogue, commands, results
 from tidemark.config import CheckConfig, RunContext, TableRef, TimeBucket
 from tidemark.plans import views
 from tidemark.sources import tables
@@ -169,7 +169,8 @@ def test_commands(spark):
     assert "- name: a" in text and "data_type: string" in text and "enforce_types: true" in text
     df = spark.createDataFrame([('{"a": 1, "b": ["x"]}',), ('{"a": 2.5, "c": true}',), (None,)], "j string")
     assert commands.json_schema_of(df, "j")["properties"]["a"]["type"] == "number"
-    assert commands.failed_rows_calculation("pkg.unique") == "sum(n_records)" and commands.failed_rows_calculation("odd") is None
+    assert catalogue.known("unique") == ("uniqueness", "sum(n_records)") and catalogue.known("odd") is None and catalogue.known("recency", "dbt_utils") == ("freshness", None)
+    assert catalogue.describe("not_null") == "Not null."
 
 
 def test_views_without_matches(spark):

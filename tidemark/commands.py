@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -68,31 +68,3 @@ def json_schema_test(df: DataFrame, name: str, column: str) -> str:
     schema = json.dumps(json_schema_of(df, column), sort_keys=True)
     return f"models:\n  - name: {name}\n    columns:\n      - name: {column}\n        tests:\n          - json_schema: {schema}\n"
 
-
-# Names of known generic tests with what they look at and how their failed rows are counted.
-KNOWN_TESTS: Mapping[str, tuple[str, str | None]] = {
-    "not_null": ("completeness", "count(*)"),
-    "unique": ("uniqueness", "sum(n_records)"),
-    "accepted_values": ("validity", "sum(n_records)"),
-    "relationships": ("consistency", "count(*)"),
-    "not_null_proportion": ("completeness", None),
-    "equal_rowcount": ("consistency", None),
-    "expression_is_true": ("validity", "count(*)"),
-    "accepted_range": ("validity", "count(*)"),
-    "unique_combination_of_columns": ("uniqueness", None),
-    "expect_column_values_to_be_unique": ("uniqueness", "count(*)"),
-    "expect_column_values_to_not_be_null": ("completeness", "count(*)"),
-    "expect_column_values_to_match_regex": ("validity", "count(*)"),
-    "expect_column_values_to_be_between": ("validity", "count(*)"),
-    "volume_anomalies": ("completeness", None),
-    "freshness_anomalies": ("freshness", None),
-    "event_freshness_anomalies": ("freshness", None),
-    "dimension_anomalies": ("accuracy", None),
-    "column_anomalies": ("accuracy", None),
-    "schema_changes": ("validity", None),
-    "json_schema": ("validity", None),
-}
-
-
-def failed_rows_calculation(test: str) -> str | None:
-    return KNOWN_TESTS.get(test.rsplit(".", 1)[-1].removesuffix("_with_context"), (None, None))[1]

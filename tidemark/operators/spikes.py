@@ -294,10 +294,11 @@ def _noise(y: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
     sigma = 1.4826 * float(np.median(np.abs(r))) * 1.05
     floor = 1e-9 * max(1.0, float(np.median(np.abs(x))))
     if sigma <= floor:
-        # A series that hardly changes: its rare small steps are its scatter.
-        steps = np.abs(np.diff(x))
+        # A series that hardly changes: its rare small steps are its scatter (large ones may be spikes).
+        steps = np.sort(np.abs(np.diff(x)))
         steps = steps[steps > floor]
-        sigma = float(np.median(steps)) if len(steps) >= 3 else 0.02 * max(1.0, float(np.median(np.abs(x))))
+        small = max(1.0, 0.02 * float(np.median(np.abs(x))))
+        sigma = min(float(steps[len(steps) // 4]), small) if len(steps) >= 3 else small
     c = np.clip(r, -2 * sigma, 2 * sigma)
     power = float(c[:-1] @ c[:-1])
     phi = float(c[1:] @ c[:-1]) / power if power > 0 else 0.0

@@ -106,22 +106,27 @@ def freshness(df: DataFrame, config: CheckConfig, ctx: RunContext, start: dateti
     """Per bucket the longest time without an update: gaps between updates that end in it, and the age of the
     last update at the bucket's end (or now, if that is earlier). source_value is that update's time.
 
-    Distinct update times are put into buckets by arithmetic. Gaps are taken within a bucket; a bucket's
-    first update is matched with the last one of the bucket before that has any, over the summaries
-    of the buckets. So the work is a shuffle by bucket, and no cross join and no global order.
+    Distinct update times are put into minutes and buckets by arithmetic. Gaps are taken within a minute,
+    between the minutes of a bucket, and between a bucket's first update and the last one of the bucket
+    before that has any, each over the summaries of the level below: no cross join, no global order.
     """
     ts = F.expr(config.freshness_column or config.timestamp_column).cast("timestamp_ntz")
     low = start - FRESHNESS_LOOKBACK
     early = buckets.full_buckets(low, start, config.time_bucket) + 1
     origin = buckets.add(start, config.time_bucket, -early)
     updates = buckets.in_range(scan(df, config), ts, low, end).select(ts.alias("ts")).distinct()
-    placed = updates.withColumn("bucket_start", buckets.bucket_start(F.col("ts"), origin, config.time_bucket))
-    inside = placed.withColumn("before", F.lag("ts").over(W.partitionBy("bucket_start").orderBy("ts")))
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
-    per = inside.groupBy("bucket_start").agg(
-        F.min("ts").alias("first"),
-        F.max("ts").alias("last"),
-        F.max_by(F.struct("ts", (gap / 1e6).alias("gap")), F.struct(gap, F.col("ts"))).alias("inner"),
+    age = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
+    longest = lambda *gaps: F.max(F.array_max(F.filter(F.array(*gaps), lambda g: g["age"].isNotNull())))
+    gap_to = lambda earlier, at: F.struct(age(earlier, at).alias("age"), at.alias("ts"))
+    # Within a minute, then between the minutes of a bucket: a bucket's updates are never in one window.
+    minutes = updates.withColumn("minute", F.date_trunc("MINUTE", "ts").cast("timestamp_ntz")).withColumn(
+        "before", F.lag("ts").over(W.partitionBy("minute").orderBy("ts"))
+    )
+    per_minute = minutes.groupBy("minute").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), longest(gap_to(F.col("before"), F.col("ts"))).alias("inner"))
+    placed = per_minute.withColumn("bucket_start", buckets.bucket_start(F.col("minute"), origin, config.time_bucket))
+    stitched = placed.withColumn("before", F.lag("last").over(W.partitionBy("bucket_start").orderBy("minute")))
+    per = stitched.groupBy("bucket_start").agg(
+        F.min("first").alias("first"), F.max("last").alias("last"), longest(F.col("inner"), gap_to(F.col("before"), F.col("first"))).alias("inner")
     )
     grid = buckets.bucket_grid(df.sparkSession, origin, end, config.time_bucket)
     # One row per bucket: the number of buckets bounds what this window sees.
@@ -129,14 +134,9 @@ def freshness(df: DataFrame, config: CheckConfig, ctx: RunContext, start: dateti
     joined = grid.join(per, "bucket_start", "left").withColumn(
         "earlier", F.last("last", ignorenulls=True).over(every.rowsBetween(W.unboundedPreceding, -1))
     )
-    seconds = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
     until = F.least(F.col("bucket_end"), F.lit(ctx.now).cast("timestamp_ntz"))
     last = F.coalesce("last", "earlier")
-    candidates = F.array(
-        F.struct(F.col("inner.gap").alias("age"), F.col("inner.ts").alias("ts")),
-        F.struct(seconds(F.col("earlier"), F.col("first")).alias("age"), F.col("first").alias("ts")),
-        F.struct(seconds(last, until).alias("age"), last.alias("ts")),
-    )
+    candidates = F.array(F.col("inner"), gap_to(F.col("earlier"), F.col("first")), F.struct(age(last, until).alias("age"), last.alias("ts")))
     best = F.array_max(F.filter(candidates, lambda c: c["age"].isNotNull()))
     out = joined.where(F.col("bucket_start") >= F.lit(start).cast("timestamp_ntz")).withColumn("best", best)
     return _shape(out.where("best IS NOT NULL"), name, "freshness", F.col("best.age"), instant_string(F.col("best.ts")))

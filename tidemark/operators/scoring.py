@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import CheckConfig, RunContext
 from tidemark.operators import buckets
-from tidemark.operators.metrics import instant_string, surrogate_key
+from tidemark.operators.metrics import surrogate_key
+from tidemark.operators.ordered import running_statistics
 
 SERIES = ["full_table_name", "column_name", "metric_name", "dimension", "dimension_value"]
 #: Metrics that can be below zero; of all others the displayed minimum is cut at zero.
@@ -241,27 +242,13 @@ def stored_scores(metrics: DataFrame, ctx: RunContext, sensitivity: float = 3, d
     """Running scores of stored metrics of the last days: per table, column and metric (not dimension), in
     order of bucket start, over the rows up to each."""
     recent = metrics.where(F.col("bucket_end") >= F.lit(ctx.run_started_at).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAY"))
-    window = W.partitionBy("metric_name", "full_table_name", "column_name").orderBy("bucket_start", "id", "updated_at", "metric_value").rowsBetween(W.unboundedPreceding, 0)
+    keep = ["id", "full_table_name", "column_name", "dimension", "dimension_value", "metric_name", "metric_value", "source_value", "bucket_start", "bucket_end", "bucket_duration_hours", "updated_at"]
+    keys = ["metric_name", "full_table_name", "column_name"]
+    # A table's metric may hold a large part of all rows, so it is summed up in days first.
+    day = F.date_trunc("DAY", "bucket_start").cast("timestamp_ntz")
+    scored = running_statistics(recent.select(*keep), keys, ["bucket_start", "id", "updated_at", "metric_value"], day, "metric_value")
+    scored = scored.where("metric_value IS NOT NULL AND training_avg IS NOT NULL")
     v = F.col("metric_value")
-    scored = recent.select(
-        "id",
-        "full_table_name",
-        "column_name",
-        "dimension",
-        "dimension_value",
-        "metric_name",
-        "metric_value",
-        "source_value",
-        "bucket_start",
-        "bucket_end",
-        "bucket_duration_hours",
-        "updated_at",
-        F.avg(v).over(window).alias("training_avg"),
-        F.stddev_samp(v).over(window).alias("training_stddev"),
-        F.min("bucket_start").over(window).alias("training_start"),
-        F.max("bucket_end").over(window).alias("training_end"),
-        F.count(v).over(window).alias("training_set_size"),
-    ).where("metric_value IS NOT NULL AND training_avg IS NOT NULL")
     sd = F.col("training_stddev")
     score = F.when(sd.isNull(), F.lit(None).cast("double")).when(sd == 0, 0.0).otherwise((v - F.col("training_avg")) / sd)
     return scored.withColumn("anomaly_score", score).withColumn("is_anomaly", F.coalesce(F.abs("anomaly_score") > sensitivity, F.lit(False)))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text_time import clean_id, utc_instant
+from tidemark.operators.ordered import number_within
 from tidemark.results import RESULTS_SCHEMA
 from tidemark.session import table
 from tidemark.sources.tables import constant
@@ -62,8 +63,8 @@ def model_run_results(runs: DataFrame, models: DataFrame) -> DataFrame:
         out.groupBy(F.to_date(at).alias("_day"))
         .agg(F.min_by("invocation_id", F.struct(at, F.col("invocation_id"))).alias("_first"), F.max_by("invocation_id", F.struct(at, F.col("invocation_id"))).alias("_last"))
     )
-    place = F.row_number().over(W.partitionBy("unique_id").orderBy(at.desc_nulls_last(), F.col("model_execution_id").desc_nulls_last()))
-    ranked = out.withColumn("model_invocation_reverse_index", place)
+    newest = [at.desc_nulls_last(), F.col("model_execution_id").desc_nulls_last()]
+    ranked = number_within(out, ["unique_id"], newest, F.to_date(at), "model_invocation_reverse_index", last_first=True)
     joined = ranked.join(days, F.to_date(at).eqNullSafe(F.col("_day")), "left")
     same = lambda c: F.coalesce(F.col("invocation_id") == F.col(c), F.lit(False))
     return joined.withColumn("is_the_first_invocation_of_the_day", same("_first")).withColumn("is_the_last_invocation_of_the_day", same("_last")).drop("_day", "_first", "_last")

@@ -77,7 +77,8 @@ WHERE f.p IS NULL
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
-    """(message, field, key, at) of every reference, at being the message's earliest generated_at."""
+    """(message, field, key, at) of every reference, at being the message's earliest generated_at; a message
+    that was sent with several pairs of references repeats the one that stayed the same."""
     rows = table(spark, d, "dbt_run_results").select(
         clean_id("model_execution_id").alias("message"),
         clean_id("unique_id").alias("unique_id"),
@@ -101,7 +102,6 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
         .select("message", "at", F.explode(fields).alias("f"))
         .select("message", "at", "f.field", "f.key")
         .filter(F.col("key").isNotNull())
-        .distinct()
     )
 
 
@@ -137,7 +137,7 @@ def _broken(spark: SparkSession, d: str) -> DataFrame:
     on = (
         (F.col("field") == F.col("_target")) & (F.col("key") == F.col("_key")) & F.col("at").eqNullSafe(F.col("_at"))
     )
-    return references.join(lost, on)
+    return references.join(lost, on).dropDuplicates(["message", "field", "key"])
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from tidemark.session import cut
 
 #: Encodings in which text may have been written, and in which it may have been read instead.
-WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866")
+WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850")
 READ = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac_roman")
-SWAPS = tuple((w, r) for w in WRITTEN for r in READ if w != r)
+#: Pages of other systems than the reader's own, which were read as one of Windows or the web.
+FOREIGN, COMMON = ("mac_roman", "cp437", "cp850"), ("cp1252", "cp1250", "iso8859-2", "cp1251")
+SWAPS = tuple((w, r) for w in WRITTEN for r in READ if w != r and (w not in FOREIGN or r in COMMON))
 
 #: Characters that the bigram model tells apart, by block; all others are one.
 BLOCKS = (
@@ -56,7 +58,7 @@ CASE, CASE_UTF8 = 5.0, 4.0
 #: as the one it replaces; else with at most WEAK nats.
 SEEN, RATIO, WEAK = 5, 8, 1.0
 #: That ratio for a sign that stands alone between blanks, where no letter beside it helps.
-RATIO_ALONE = 200
+RATIO_ALONE = 400
 #: Slots of the table of letter triples (a bounded sketch; two triples may share a slot).
 TRIPLES = 4_194_301
 #: Bigrams of a token below this (nats) make it suspicious; tokens of likelier ones are taken as they are.
@@ -94,6 +96,11 @@ def _triples(u: np.ndarray) -> np.ndarray:
     return ((u[..., :-2].astype(np.int64) * size + u[..., 1:-1]) * size + u[..., 2:]) % TRIPLES
 
 
+def _alone(code):
+    """Slot of a character that stands between blanks; unlike in triples, case counts."""
+    return (code * 7919 + 17) % TRIPLES
+
+
 @cache
 def _foreign() -> np.ndarray:
     """Whether a class is no ASCII character."""
@@ -102,7 +109,8 @@ def _foreign() -> np.ndarray:
 
 def language_counts(docs: DataFrame) -> DataFrame:
     """(a, b, n) over all whole texts of docs(text): how often class b follows class a, and, with b = -1,
-    how often the triples of slot a stand in the texts (those with a character that is not ASCII)."""
+    how often the triples of slot a stand in the texts (those with a character that is not ASCII, and such
+    characters between blanks)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size, foreign = len(_classes()[1]), _foreign()
@@ -111,7 +119,8 @@ def language_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = [t for t in batch["text"] if t]
             for i in range(0, len(texts), 256):
-                u = _units("\n".join(texts[i : i + 256]))
+                text = "\n".join(texts[i : i + 256])
+                u = _units(text)
                 if len(u) < 3:
                     continue
                 total += np.bincount(u[:-1] * size + u[1:], minlength=size * size)
@@ -120,6 +129,11 @@ def language_counts(docs: DataFrame) -> DataFrame:
                 near = near[(near >= 0) & (near + 2 < len(u))]
                 slot, n = np.unique(_triples(np.stack([u[near], u[near + 1], u[near + 2]], axis=1))[:, 0], return_counts=True)
                 triples[slot] += n
+                inner = at[(at > 0) & (at + 1 < len(u))]
+                lone = inner[(u[inner - 1] == 0) & (u[inner + 1] == 0)]
+                code = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)[lone].astype(np.int64)
+                slot, n = np.unique(_alone(code), return_counts=True)
+                triples[slot] += n
         at, slot = np.flatnonzero(total), np.flatnonzero(triples)
         yield pd.DataFrame({"a": (at // size).astype(np.int32), "b": (at % size).astype(np.int32), "n": total[at]})
         yield pd.DataFrame({"a": slot.astype(np.int32), "b": np.int32(-1), "n": triples[slot]})
@@ -284,7 +298,10 @@ class Reader:
             gain = self.model[new[:, :-1], new[:, 1:]].sum(1) - total
             for i in np.flatnonzero(changed.any(1)).tolist():
                 g = float(gain[i])
-                out[SINGLE[i]] = g if g <= WEAK or self._known(u, new[i], changed[i]) else WEAK
+                if g > WEAK:
+                    known = self._known(u, new[i], changed[i]) if len(u) > 3 else self._known_alone(token, source, SINGLE[i])
+                    g = g if known else WEAK
+                out[SINGLE[i]] = g
             if _TWO.search(token):
                 for k in UTF8:
                     fixed = _from_utf8(token, SWAPS[k][1])
@@ -297,8 +314,14 @@ class Reader:
         touched = changed[:-2] | changed[1:-1] | changed[2:]
         after = self.triples[_triples(new)][touched].min()
         before = self.triples[_triples(old)][touched].min()
-        ratio = RATIO if len(old) > 3 else RATIO_ALONE
-        return bool(after >= SEEN and after >= ratio * before)
+        return bool(after >= SEEN and after >= RATIO * before)
+
+    def _known_alone(self, token: str, source: str, swap: int) -> bool:
+        new = self.ciphers.read(token, source, swap)
+        if len(new) != 1 or ord(max(token, new)) > 0xFFFF:
+            return False
+        after, before = self.triples[_alone(ord(new))], self.triples[_alone(ord(token))]
+        return bool(after >= SEEN and after >= RATIO_ALONE * before)
 
     def changes(self, token: str, source: str, swap: int) -> bool:
         return self.ciphers.read(token, source, swap) != token

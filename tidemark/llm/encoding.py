@@ -26,7 +26,7 @@ from tidemark.session import cut
 WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850")
 READ = ("cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "cp437", "cp850", "mac_roman")
 #: Pages of other systems than the reader's own, which were read as one of Windows or the web.
-FOREIGN, COMMON = ("mac_roman", "cp437", "cp850"), ("cp1252", "cp1250", "iso8859-2", "cp1251")
+FOREIGN, COMMON = ("mac_roman", "cp437", "cp850"), ("cp1252", "cp1250", "iso8859-2")
 SWAPS = tuple((w, r) for w in WRITTEN for r in READ if w != r and (w not in FOREIGN or r in COMMON))
 
 #: Characters that the bigram model tells apart, by block; all others are one.

@@ -31,16 +31,27 @@ def observations(df: DataFrame, key: Column, at: Column, attributes: dict[str, C
 
 
 def ordered_states(seen: DataFrame, names: list[str], chunk: str = "MONTH") -> DataFrame:
-    """Each observation with its number within its key and with nulls replaced by the last known value.
+    """Observations numbered within their key, with nulls replaced by the last known value; an observation
+    that says nothing new against the one before it in its chunk is left out.
 
     Done in two levels, so that a key with very many rows is not sorted in one task: rows are ordered
     within (key, calendar chunk), and only the chunks' summaries are ordered within the key.
     Ties of instant are ordered by the attributes, nulls first.
     """
-    seen = seen.withColumn("chunk", F.date_trunc(chunk, "at").cast("timestamp_ntz"))
-    rank = F.struct("at", *names)
-    summary = seen.groupBy("key", "chunk").agg(
-        F.count(F.lit(1)).alias("n"), *[F.max_by(n, F.when(F.col(n).isNotNull(), rank)).alias(f"last_{n}") for n in names]
+    part = ["key", "chunk"]
+    order = W.partitionBy(*part).orderBy("at", *[F.col(n).asc_nulls_first() for n in names])
+    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    filled = seen.withColumn("chunk", F.date_trunc(chunk, "at").cast("timestamp_ntz")).select(
+        *part, "at", F.row_number().over(order).alias("place"), *[F.last(n, ignorenulls=True).over(so_far).alias(n) for n in names]
+    )
+    # What only repeats the row before it in its chunk goes no further.
+    placed = W.partitionBy(*part).orderBy("place")
+    repeats = F.lit(True)
+    for n in names:
+        repeats = repeats & F.col(n).eqNullSafe(F.lag(n).over(placed))
+    kept = filled.withColumn("repeats", repeats).where("place = 1 OR NOT repeats").drop("repeats")
+    summary = kept.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("n"), *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("place"))).alias(f"last_{n}") for n in names]
     )
     before = W.partitionBy("key").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     carried = summary.select(
@@ -49,14 +60,12 @@ def ordered_states(seen: DataFrame, names: list[str], chunk: str = "MONTH") -> D
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
         *[F.last(f"last_{n}", ignorenulls=True).over(before).alias(f"carry_{n}") for n in names],
     )
-    joined = seen.join(carried, (F.col("key") == F.col("_key")) & (F.col("chunk") == F.col("_chunk")))
-    order = W.partitionBy("key", "chunk").orderBy("at", *[F.col(n).asc_nulls_first() for n in names])
-    so_far = order.rowsBetween(W.unboundedPreceding, 0)
+    joined = kept.join(carried, (F.col("key") == F.col("_key")) & (F.col("chunk") == F.col("_chunk")))
     return joined.select(
         "key",
         "at",
-        (F.col("offset") + F.row_number().over(order)).alias("seq"),
-        *[F.coalesce(F.last(n, ignorenulls=True).over(so_far), F.col(f"carry_{n}")).alias(n) for n in names],
+        (F.col("offset") + F.row_number().over(placed)).alias("seq"),
+        *[F.coalesce(n, f"carry_{n}").alias(n) for n in names],
     )
 
 

@@ -210,12 +210,27 @@ def p3_kept(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_new(spark: SparkSession, d: str) -> DataFrame:
+    """The messages of the batch since 2024-01-15 that none of the earlier ones holds, each once."""
+    rows = table(spark, d, "dbt_run_results").select("model_execution_id", "generated_at", "created_at")
+    day = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    batch = rows.filter((F.col("created_at") >= day) & F.col("model_execution_id").isNotNull())
+    stored, identifier = rows.filter(F.col("created_at") < day), clean_id("model_execution_id")
+    fresh = once.new_only(batch, identifier, stored, identifier, [utc_instant("generated_at").desc_nulls_last()])
+    return fresh.select(identifier.alias("model_execution_id"), instant_text(utc_instant("generated_at")).alias("generated_at"))
+
+
 _P3_SQL = f"""
 SELECT lower(regexp_replace(model_execution_id, '^\\s+|\\s+$', '', 'g')) model_execution_id,
        strftime(max({_SQL_TIME.format('trim(generated_at)')}), '%Y-%m-%d %H:%M:%S') generated_at, count(*) copies
 FROM dbt_run_results WHERE model_execution_id IS NOT NULL GROUP BY 1
 """
 P3_KEPT_SQL = _P3_SQL
+P3_NEW_SQL = f"""
+WITH r AS (SELECT lower(regexp_replace(model_execution_id, '^\\s+|\\s+$', '', 'g')) id, created_at < TIMESTAMP '2024-01-15 00:00:00' old,
+  {_SQL_TIME.format('trim(generated_at)')} g FROM dbt_run_results WHERE model_execution_id IS NOT NULL AND created_at IS NOT NULL)
+SELECT id model_execution_id, strftime(max(g), '%Y-%m-%d %H:%M:%S') generated_at FROM r GROUP BY id HAVING NOT bool_or(old)
+"""
 P3_FOUND_SQL = f"SELECT model_execution_id, generated_at FROM ({_P3_SQL}) WHERE copies > 1"
 
 
@@ -383,6 +398,7 @@ QUERIES = {
     "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_kept": p3_kept,
+    "p3_new": p3_new,
     "p4_found": p4_found,
     "p4_flags": p4_flags,
     "p5_found": p5_found,
@@ -398,6 +414,7 @@ ORACLES = {
     "p2_report": P2_REPORT_SQL,
     "p3_found": P3_FOUND_SQL,
     "p3_kept": P3_KEPT_SQL,
+    "p3_new": P3_NEW_SQL,
     "p5_found": P5_FOUND_SQL,
     "p6_found": P6_FOUND_SQL,
     "p7_found": P7_FOUND_SQL,

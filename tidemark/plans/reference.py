@@ -331,6 +331,27 @@ def monitors_runs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Streams
+
+
+def stream_volume(spark: SparkSession, d: str) -> DataFrame:
+    """Daily rows of events by type, counted by a stream that updates a metric store, to its end."""
+    import uuid
+
+    from tidemark.session import checkpoint_dir
+    from tidemark.sources.store import MetricStore
+    from tidemark.streaming.volume import into_store, stream_metrics
+
+    home = f"{checkpoint_dir(spark)}/tidemark-stream-{uuid.uuid4().hex}"
+    path = f"{d}/events.parquet"
+    # As a pattern: a stream takes a folder or a pattern, and the table may be one file.
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")
+    store = MetricStore(spark, f"{home}/store")
+    config = _change(EVENTS, dimensions=("event_type",))
+    into_store(stream_metrics(stream, config, CTX), store, CTX, f"{home}/progress", "update").awaitTermination()
+    return store.read().select("bucket_start", "bucket_end", "dimension_value", "metric_value")
+
+
 # Rows
 
 
@@ -535,6 +556,7 @@ QUERIES = {
             metrics_dedup,
             metrics_anomaly_score,
             monitors_runs,
+            stream_volume,
             not_null,
             accepted_range,
             accepted_range_exclusive,
@@ -670,6 +692,8 @@ w AS (SELECT *, avg(metric_value) OVER f a, count(metric_value) OVER f n FROM r
 SELECT full_table_name, column_name, metric_name, count(*) scored, max(n) training_set_size, round(max(a), 3) top_average
 FROM w WHERE metric_value IS NOT NULL AND a IS NOT NULL GROUP BY 1, 2, 3""",
     "monitors_runs": "SELECT full_table_name, column_name, metric_name, metric_properties, max(bucket_end) last_bucket_end, min(bucket_end) first_bucket_end FROM data_monitoring_metrics GROUP BY 1, 2, 3, 4",
+    "stream_volume": """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) bucket_start, CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY bucket_end,
+  event_type dimension_value, CAST(count(*) AS DOUBLE) metric_value FROM events GROUP BY 1, 2, 3""",
     "not_null": "SELECT lang, doc_id, source FROM documents WHERE lang IS NULL",
     "accepted_range": "SELECT p_size, p_partkey FROM part WHERE NOT (p_size >= 5) OR NOT (p_size <= 45)",
     "accepted_range_exclusive": "SELECT c_acctbal, c_custkey FROM customer WHERE NOT (c_acctbal > 0)",

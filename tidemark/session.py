@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import itertools
 import tempfile
 import uuid
 
@@ -58,10 +60,20 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_delete, spark, home)
     path = f"{home}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if next(_CUTS) % 8 == 0:
+        release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of plans that are done: the cleaner then removes their shuffle files and broadcasts, which in
+    long iterations would stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _HOMES: set[str] = set()
+_CUTS = itertools.count(1)
 
 
 def _delete(spark: SparkSession, home: str) -> None:

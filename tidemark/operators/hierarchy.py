@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.session import cut
@@ -36,17 +37,16 @@ def _columns(paths: bool) -> list[str]:
     return ["child", "parent", "w", *(["hops"] if paths else [])]
 
 
-def _lighter(edges: DataFrame, paths: bool) -> DataFrame:
+def _lighter(edges: DataFrame, paths: bool, *more: str) -> DataFrame:
     """Parallel edges merged to the longest; `hops` are the nodes after the parent down to the child."""
     best = [F.max("w").alias("w")]
     if paths:
         best.append(F.max_by("hops", F.struct("w", "hops")).alias("hops"))
-    return edges.groupBy("child", "parent").agg(*best)
+    return edges.groupBy("child", "parent", *more).agg(*best)
 
 
-def _follow(edges: DataFrame, pointers: DataFrame, paths: bool, *more: Column) -> DataFrame:
-    """Edges whose parent has a pointer moved on to where it points."""
-    cols = _columns(paths)
+def _follow(edges: DataFrame, pointers: DataFrame, paths: bool, *more: str | Column) -> DataFrame:
+    """Edges whose parent has a pointer moved on to where it points; `more` are columns to keep or compute."""
     up = _merge(pointers.select(*[F.col(c).alias(f"u_{c}") for c in pointers.columns]))
     moved = F.col("u_child").isNotNull()
     return edges.join(up, F.col("parent") == F.col("u_child"), "left").select(
@@ -55,7 +55,7 @@ def _follow(edges: DataFrame, pointers: DataFrame, paths: bool, *more: Column) -
         (F.col("w") + F.coalesce("u_w", F.lit(0))).alias("w"),
         *([F.when(moved, F.concat("u_hops", "hops")).otherwise(F.col("hops")).alias("hops")] if paths else []),
         *more,
-    ).select(*cols, *[c for c in ("ended",) if more])
+    )
 
 
 def _anchors(single: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame | None]:
@@ -102,25 +102,26 @@ def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
     records: list[DataFrame] = []
     looped: list[DataFrame] = []
     while True:
-        degree = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"))
+        # One shuffle of the edges serves the in-degree and the question whether a node has children.
         inner = edges.select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
-        state = cut(edges.join(_merge(degree), "child").join(_merge(inner), "child", "left").select(*cols, "n", F.col("inner").isNull().alias("leaf")))
+        counted = edges.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("child")))
+        state = cut(counted.join(_merge(inner), "child", "left").select(*cols, "n", F.col("inner").isNull().alias("leaf")))
         sizes = state.agg(
             F.count(F.lit(1)).alias("edges"), F.count_if("leaf").alias("leaves"), F.count_if(~F.col("leaf") & (F.col("n") == 1)).alias("single")
         ).first()
         if not sizes["leaves"] and not sizes["single"]:
             break
-        inside = state.filter("NOT leaf")
         if sizes["single"]:
-            record, loop = _anchors(inside.filter("n = 1").select(*cols), paths)
+            record, loop = _anchors(state.filter("NOT leaf AND n = 1").select(*cols), paths)
             if loop is not None:
                 looped.append(loop)
+            others = cut(_lighter(_follow(state.filter("leaf OR n > 1"), record, paths, "leaf"), paths, "leaf"))
             # Leaves hang on the anchors too, so both kinds of a step are undone at once.
-            records.append(record.unionByName(_follow(state.filter("leaf").select(*cols), record, paths)))
-            edges = cut(_lighter(_follow(inside.filter("n > 1").select(*cols), record, paths), paths))
+            records.append(record.unionByName(others.filter("leaf").select(*cols)))
+            edges = others.filter("NOT leaf").select(*cols)
         else:
             records.append(state.filter("leaf").select(*cols))
-            edges = inside.select(*cols)
+            edges = state.filter("NOT leaf").select(*cols)
 
     roots = ids.join(_merge(base.select(F.col("child").alias("node")).distinct()), "node", "left_anti")
     start = roots.select("node", F.col("node").alias("root"), F.lit(0).alias("depth"), *([F.array("node").alias("path")] if paths else []))
@@ -144,7 +145,6 @@ def _expand(record: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
     """Rows of the recorded nodes from those of their recorded ancestors."""
     up = record.join(_merge(known.withColumnRenamed("node", "parent")), "parent")
     bad = F.col("depth") < 0
-    # All rows of a node meet in one aggregate, keyed (node, root); a cyclic parent gives the root 'cycle'.
     moved = up.select(
         F.col("child").alias("node"),
         "root",
@@ -154,10 +154,10 @@ def _expand(record: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
     best = [F.max("depth").alias("depth")]
     if paths:
         best.append(F.max_by("path", F.struct("depth", "path")).alias("path"))
-    rows = moved.groupBy("node", "root").agg(*best)
-    lost = rows.filter("depth < 0").select("node")
-    good = rows.filter("depth >= 0").join(_merge(lost), "node", "left_anti")
-    return good.unionByName(_cyclic(lost, paths))
+    # Gathered by node once; the sums per root and the look for a cyclic root need no further shuffle.
+    rows = moved.repartition("node").groupBy("node", "root").agg(*best)
+    lost = F.min("depth").over(W.partitionBy("node")) < 0
+    return rows.withColumn("lost", lost).where("NOT lost OR depth < 0").drop("lost")
 
 
 def _settle_core(known: DataFrame, edges: DataFrame, paths: bool) -> DataFrame:

@@ -320,7 +320,9 @@ def metrics_anomaly_score(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "data_monitoring_metrics").where("bucket_start IS NOT NULL")
     out = scoring.stored_scores(rows, CTX)
     per = out.groupBy("full_table_name", "column_name", "metric_name")
-    return per.agg(F.count(F.lit(1)).alias("scored"), F.max("training_set_size").alias("training_set_size"), F.round(F.max("training_avg"), 3).alias("top_average"))
+    # Averages of values with three decimals often end in a bare 5; the order of summing must not round them apart.
+    top = F.round(F.max("training_avg") + 1e-7, 3)
+    return per.agg(F.count(F.lit(1)).alias("scored"), F.max("training_set_size").alias("training_set_size"), top.alias("top_average"))
 
 
 def monitors_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -689,7 +691,7 @@ UNION ALL SELECT c, 'unknown_values', 'null_count', CAST(n AS DOUBLE), e FROM (
 WITH r AS (SELECT * FROM data_monitoring_metrics WHERE bucket_start IS NOT NULL AND bucket_end >= TIMESTAMP '2024-01-24 00:00:00'),
 w AS (SELECT *, avg(metric_value) OVER f a, count(metric_value) OVER f n FROM r
   WINDOW f AS (PARTITION BY metric_name, full_table_name, column_name ORDER BY bucket_start NULLS FIRST, id NULLS FIRST, updated_at NULLS FIRST, metric_value NULLS FIRST ROWS UNBOUNDED PRECEDING))
-SELECT full_table_name, column_name, metric_name, count(*) scored, max(n) training_set_size, round(max(a), 3) top_average
+SELECT full_table_name, column_name, metric_name, count(*) scored, max(n) training_set_size, round(max(a) + 1e-7, 3) top_average
 FROM w WHERE metric_value IS NOT NULL AND a IS NOT NULL GROUP BY 1, 2, 3""",
     "monitors_runs": "SELECT full_table_name, column_name, metric_name, metric_properties, max(bucket_end) last_bucket_end, min(bucket_end) first_bucket_end FROM data_monitoring_metrics GROUP BY 1, 2, 3, 4",
     "stream_volume": """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) bucket_start, CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY bucket_end,

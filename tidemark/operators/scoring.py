@@ -239,19 +239,24 @@ def anomalous_dimension_rows(df: DataFrame, results: DataFrame, value: Column) -
 
 
 def stored_scores(metrics: DataFrame, ctx: RunContext, sensitivity: float = 3, days: int = 7) -> DataFrame:
-    """Running scores of stored metrics of the last days: per table, column and metric (not dimension), in
-    order of bucket start, over the rows up to each."""
-    recent = metrics.where(F.col("bucket_end") >= F.lit(ctx.run_started_at).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAY"))
+    """Running scores of the stored metrics whose bucket ended in the last days: per table, column and metric
+    (not dimension), in order of bucket start (none first), over all stored rows up to each, equal rows once."""
     keep = ["id", "full_table_name", "column_name", "dimension", "dimension_value", "metric_name", "metric_value", "source_value", "bucket_start", "bucket_end", "bucket_duration_hours", "updated_at"]
     keys = ["metric_name", "full_table_name", "column_name"]
+    order = ["bucket_start", "id", "updated_at", "metric_value"]
+    rows = metrics.select(*keep).distinct()
     # A table's metric may hold a large part of all rows, so it is summed up in days first.
     day = F.date_trunc("DAY", "bucket_start").cast("timestamp_ntz")
-    scored = running_statistics(recent.select(*keep), keys, ["bucket_start", "id", "updated_at", "metric_value"], day, "metric_value")
-    scored = scored.where("metric_value IS NOT NULL AND training_avg IS NOT NULL")
+    since = F.date_trunc("DAY", F.lit(ctx.run_started_at).cast("timestamp_ntz")).cast("timestamp_ntz") - F.expr(f"INTERVAL {days} DAY")
+    scored = running_statistics(rows, keys, order, day, "metric_value")
+    scored = scored.where("metric_value IS NOT NULL AND training_avg IS NOT NULL").where(F.col("bucket_end") >= since)
+    started = rows.groupBy(*[F.col(k).alias(f"_s{i}") for i, k in enumerate(keys)]).agg(F.min_by("bucket_end", F.struct(*order)).alias("training_start"))
+    scored = scored.join(started, [F.col(k).eqNullSafe(F.col(f"_s{i}")) for i, k in enumerate(keys)]).drop(*[f"_s{i}" for i in range(len(keys))])
     v = F.col("metric_value")
     sd = F.col("training_stddev")
     score = F.when(sd.isNull(), F.lit(None).cast("double")).when(sd == 0, 0.0).otherwise((v - F.col("training_avg")) / sd)
-    return scored.withColumn("anomaly_score", score).withColumn("is_anomaly", F.coalesce(F.abs("anomaly_score") > sensitivity, F.lit(False)))
+    scored = scored.withColumn("anomaly_score", score).withColumn("training_end", F.col("bucket_end"))
+    return scored.withColumn("is_anomaly", F.coalesce(F.abs("anomaly_score") > sensitivity, F.lit(False)))
 
 
 def threshold_sensitivity(scores: DataFrame, levels: tuple[float, ...] = (1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.5)) -> DataFrame:

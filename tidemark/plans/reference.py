@@ -317,12 +317,11 @@ def metrics_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metrics_anomaly_score(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "data_monitoring_metrics").where("bucket_start IS NOT NULL")
-    out = scoring.stored_scores(rows, CTX)
-    per = out.groupBy("full_table_name", "column_name", "metric_name")
-    # Averages of values with three decimals often end in a bare 5; the order of summing must not round them apart.
-    top = F.round(F.max("training_avg") + 1e-7, 3)
-    return per.agg(F.count(F.lit(1)).alias("scored"), F.max("training_set_size").alias("training_set_size"), top.alias("top_average"))
+    """Score and flag of each stored metric of the last days against its series' whole history."""
+    out = scoring.stored_scores(table(spark, d, "data_monitoring_metrics"), CTX)
+    series = ["id", "full_table_name", "column_name", "dimension", "dimension_value", "metric_name"]
+    training = ["training_avg", "training_stddev", "training_start", "training_end", "training_set_size"]
+    return out.select(*series, "anomaly_score", F.col("metric_value").alias("latest_metric_value"), "bucket_start", "bucket_end", *training, "updated_at", "is_anomaly")
 
 
 def monitors_runs(spark: SparkSession, d: str) -> DataFrame:

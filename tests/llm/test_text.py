@@ -250,6 +250,23 @@ def test_double_decoding_is_undone(spark):
     assert out[5000] == "rivière château forêt"
 
 
+@pytest.mark.parametrize("written, read, lang, share", [("cp1251", "cp1252", "ru", 9), ("cp1251", "cp1252", "ru", 1), ("utf-8", "cp1252", "fr", 1), ("cp1252", "mac_roman", "fr", 9)])
+def test_source_that_is_always_misread(spark, written, read, lang, share):
+    """A third of all rows misread alike, so that the garbled letters are frequent themselves, with `share` 1 more
+    frequent than the right ones."""
+    rng = random.Random(4)
+    docs = []
+    for i in range(600):
+        language = lang if i % 3 == 0 else rng.choice([lang] * share + [*CLEAN])
+        text = " ".join(rng.choice(CLEAN[language].split()) for _ in range(60))
+        wrong = i % 3 == 0
+        docs.append((i, "misread" if wrong else f"s{i % 2}", garbled(text, written, read) if wrong else text, text))
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string, truth string")
+    out = {r["doc_id"]: r["repaired"] for r in encoding.wrongly_decoded(df).collect()}
+    assert set(out) == {i for i, *_ in docs if i % 3 == 0}
+    assert sum(out[i] == truth for i, _, _, truth in docs if i in out) >= 180
+
+
 def test_nothing_to_do(spark):
     df, _ = corpus(spark)
     assert encoding.wrongly_decoded(df.limit(0)).count() == 0

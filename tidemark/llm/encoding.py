@@ -10,6 +10,7 @@ against the bigrams, and the stretches that a cipher explains better are rewritt
 from __future__ import annotations
 
 import re
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -68,6 +69,11 @@ BREAK = 3.0
 #: Times a stretch can have been decoded wrongly one after the other.
 LAYERS = 3
 CACHE = 400_000
+#: Nats by which the letter triples of a stretch must be more frequent in all texts under a swap than as they
+#: stand for the stretch to be left out of the counts, and the most that one token adds to that.
+SUSPECT, MOST = 8.0, 4.0
+#: Different tokens of which such a stretch must hold.
+SUSPECT_TOKENS = 3
 
 
 @cache
@@ -107,38 +113,79 @@ def _foreign() -> np.ndarray:
     return np.array([i == 1 or not c.isascii() for i, c in enumerate(_classes()[1])])
 
 
+def _add_counts(texts: list[str], total: np.ndarray, triples: np.ndarray, sign: int = 1, where: np.ndarray | None = None, bit: int = 0) -> None:
+    size, foreign = len(_classes()[1]), _foreign()
+    for i in range(0, len(texts), 256):
+        text = "\n".join(texts[i : i + 256])
+        u = _units(text)
+        if len(u) < 3:
+            continue
+        total += sign * np.bincount(u[:-1] * size + u[1:], minlength=size * size)
+        at = np.flatnonzero(foreign[u])
+        near = np.unique(np.concatenate([at - 2, at - 1, at]))
+        near = near[(near >= 0) & (near + 2 < len(u))]
+        slot, n = np.unique(_triples(np.stack([u[near], u[near + 1], u[near + 2]], axis=1))[:, 0], return_counts=True)
+        triples[slot] += sign * n
+        if where is not None:
+            where[slot] |= bit
+        inner = at[(at > 0) & (at + 1 < len(u))]
+        lone = inner[(u[inner - 1] == 0) & (u[inner + 1] == 0)]
+        code = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)[lone].astype(np.int64)
+        slot, n = np.unique(_alone(code), return_counts=True)
+        triples[slot] += sign * n
+
+
+def _count_rows(total: np.ndarray, triples: np.ndarray, where: np.ndarray) -> Iterator[pd.DataFrame]:
+    size = len(_classes()[1])
+    at, slot = np.flatnonzero(total), np.flatnonzero(triples)
+    yield pd.DataFrame({"a": (at // size).astype(np.int32), "b": (at % size).astype(np.int32), "n": total[at], "groups": np.int32(0)})
+    yield pd.DataFrame({"a": slot.astype(np.int32), "b": np.int32(-1), "n": triples[slot], "groups": where[slot]})
+
+
+def _no_counts() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros(len(_classes()[1]) ** 2, dtype=np.int64), np.zeros(TRIPLES, dtype=np.int64), np.zeros(TRIPLES, dtype=np.int32)
+
+
+_COUNTS = "a int, b int, n bigint, groups int"
+
+
 def language_counts(docs: DataFrame) -> DataFrame:
-    """(a, b, n) over all whole texts of docs(text): how often class b follows class a, and, with b = -1,
-    how often the triples of slot a stand in the texts (those with a character that is not ASCII, and such
-    characters between blanks)."""
+    """(a, b, n, groups) over all whole texts of docs(source, text): how often class b follows class a, and, with
+    b = -1, how often the triples of slot a stand in the texts (those with a character that is not ASCII, and
+    such characters between blanks) and in which of 31 groups of sources, a bit per group."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size, foreign = len(_classes()[1]), _foreign()
-        total = np.zeros(size * size, dtype=np.int64)
-        triples = np.zeros(TRIPLES, dtype=np.int64)
+        total, triples, where = _no_counts()
         for batch in batches:
-            texts = [t for t in batch["text"] if t]
+            groups: dict[int, list[str]] = defaultdict(list)
+            for source, text in zip(batch["source"], batch["text"]):
+                if text:
+                    groups[zlib.crc32(source.encode("utf-8", "surrogatepass")) % 31].append(text)
+            for g, texts in groups.items():
+                _add_counts(texts, total, triples, where=where, bit=1 << g)
+        yield from _count_rows(total, triples, where)
+
+    return docs.select("source", "text").mapInPandas(count, _COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n"), F.bit_or("groups").alias("groups"))
+
+
+def suspect_counts(docs: DataFrame, tables) -> DataFrame:
+    """(a, b, n) as language_counts(), negative: what the suspected stretches of docs(text) add to the counts.
+
+    tables are the broadcast triple_table() and group_table() of all texts, suspected stretches included.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total, less, where = _no_counts()
+        suspects = Suspects(*tables.value)
+        for batch in batches:
+            texts = batch["text"].tolist()
             for i in range(0, len(texts), 256):
-                text = "\n".join(texts[i : i + 256])
-                u = _units(text)
-                if len(u) < 3:
-                    continue
-                total += np.bincount(u[:-1] * size + u[1:], minlength=size * size)
-                at = np.flatnonzero(foreign[u])
-                near = np.unique(np.concatenate([at - 2, at - 1, at]))
-                near = near[(near >= 0) & (near + 2 < len(u))]
-                slot, n = np.unique(_triples(np.stack([u[near], u[near + 1], u[near + 2]], axis=1))[:, 0], return_counts=True)
-                triples[slot] += n
-                inner = at[(at > 0) & (at + 1 < len(u))]
-                lone = inner[(u[inner - 1] == 0) & (u[inner + 1] == 0)]
-                code = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)[lone].astype(np.int64)
-                slot, n = np.unique(_alone(code), return_counts=True)
-                triples[slot] += n
-        at, slot = np.flatnonzero(total), np.flatnonzero(triples)
-        yield pd.DataFrame({"a": (at // size).astype(np.int32), "b": (at % size).astype(np.int32), "n": total[at]})
-        yield pd.DataFrame({"a": slot.astype(np.int32), "b": np.int32(-1), "n": triples[slot]})
-
-    return docs.select("text").mapInPandas(count, "a int, b int, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n"))
+                pruned = suspects.without(texts[i : i + 256])
+                _add_counts([t for t, _ in pruned], total, less, -1)
+                _add_counts([t for _, t in pruned], total, less)
+        yield from _count_rows(total, less, where)
+
+    return docs.select("text").mapInPandas(count, _COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def bigram_model(counts: pd.DataFrame) -> np.ndarray:
@@ -162,6 +209,14 @@ def triple_table(counts: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def group_table(counts: pd.DataFrame) -> np.ndarray:
+    """Number of groups of sources in which the triples of each slot stand."""
+    counts = counts[counts["b"] < 0]
+    out = np.zeros(TRIPLES, dtype=np.int8)
+    out[counts["a"]] = np.bitwise_count(counts["groups"].to_numpy().astype(np.int64))
+    return out
+
+
 @cache
 def _open(byte: int, read: str) -> bool:
     """Open in the code page, or a control character of Latin-1 that its extension reads as something else."""
@@ -306,10 +361,21 @@ class Reader:
                 for k in UTF8:
                     fixed = _from_utf8(token, SWAPS[k][1])
                     if fixed != token:
-                        out[k] = self.score(_units(" " + fixed + " ")) - total
+                        out[k] = self._undone(fixed) - total
         self.seen[key] = out
         return out
 
+    def _undone(self, text: str) -> float:
+        """Score of a text decoded from UTF-8, or of what it becomes if it is UTF-8 again."""
+        best = self.score(_units(" " + text + " "))
+        for _ in range(LAYERS - 1):
+            more = {_from_utf8(text, SWAPS[k][1]) for k in UTF8} - {text} if _TWO.search(text) else ()
+            if not more:
+                break
+            score, text = max((self.score(_units(" " + t + " ")), t) for t in more)
+            best = max(best, score)
+        return best
+
     def _known(self, old: np.ndarray, new: np.ndarray, changed: np.ndarray) -> bool:
         touched = changed[:-2] | changed[1:-1] | changed[2:]
         after = self.triples[_triples(new)][touched].min()
@@ -352,6 +418,85 @@ class Reader:
         return best
 
 
+class Suspects:
+    """Finds the stretches that a swap turns into what is more frequent in all texts, however frequent they are.
+
+    Where much text is misread alike, its letter sequences are no rarities, and a bigram model with them in it takes
+    them for a language. But the right letters stay the more frequent ones, or those of more sources, in
+    nearly every triple of a stretch; of a text that is right, a swap makes triples that are rarer or unknown.
+    What counts is the frequency times the number of groups of sources.
+    """
+
+    def __init__(self, triples: np.ndarray, groups: np.ndarray):
+        self.reader = Reader(np.zeros((1, 1), dtype=np.float32), triples, Ciphers())
+        self.logs = np.log(triples + 0.5, dtype=np.float32) + np.log(groups + 0.5, dtype=np.float32)
+        self.known: dict[str, np.ndarray] = {}
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Per token the nats for each swap, 0 where it changes nothing."""
+        text = " " + " ".join(tokens) + " "
+        u = _units(text)
+        raw = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype=np.uint16)
+        blanks = np.flatnonzero(u == 0)
+        before = self.logs[_triples(u)]
+        inside = np.ones(len(u) - 2, dtype=bool)
+        inside[blanks[1:-1] - 1] = False
+        out = np.zeros((len(tokens), len(SWAPS)), dtype=np.float32)
+        for i, k in enumerate(SINGLE):
+            new = self.reader._map("")[i][raw]
+            changed = new != u
+            touched = np.flatnonzero((changed[:-2] | changed[1:-1] | changed[2:]) & inside)
+            if len(touched):
+                gain = np.zeros(len(u) - 2, dtype=np.float32)
+                after = _triples(np.stack([new[touched], new[touched + 1], new[touched + 2]], axis=1))[:, 0]
+                gain[touched] = self.logs[after] - before[touched]
+                out[:, k] = np.add.reduceat(gain, blanks[:-1])
+        for row, token in zip(out, tokens):
+            if _TWO.search(token):
+                for k in UTF8:
+                    fixed = _from_utf8(token, SWAPS[k][1])
+                    if fixed != token:
+                        v = _units(" " + fixed + " ")
+                        odd = _foreign()[v]
+                        seen = self.reader.triples[_triples(v)][odd[:-2] | odd[1:-1] | odd[2:]]
+                        row[k] = MOST if len(seen) and seen.min() >= SEEN else -BREAK
+        np.clip(out, -BREAK, MOST, out=out)
+        self.known.update(zip(tokens, out))
+
+    def stretches(self, tokens: list[tuple[int, str]]) -> set[int]:
+        """Positions of the tokens in suspected stretches."""
+        each = np.stack([self.known[t] for _, t in tokens])
+        out: set[int] = set()
+        for k in np.flatnonzero(np.maximum(each, 0).sum(0) >= SUSPECT).tolist():
+            run, first, best, last = 0.0, 0, 0.0, 0
+            for i, v in enumerate([*each[:, k].tolist(), -np.inf]):
+                if run + v <= 0:
+                    found = [x for x in range(first, last + 1) if each[x, k] > 0] if best >= SUSPECT else []
+                    if len({tokens[x][1] for x in found}) >= SUSPECT_TOKENS:
+                        out.update(tokens[x][0] for x in found)
+                    run, first, best = 0.0, i + 1, 0.0
+                    continue
+                run += v
+                if run > best:
+                    best, last = run, i
+        return out
+
+    def without(self, texts: list[str]) -> list[tuple[str, str]]:
+        """(text, text without the tokens in suspected stretches) of those that have any."""
+        split = [(t, *split_tokens(t)) for t in texts]
+        if len(self.known) > CACHE // 4:
+            self.known.clear()
+        new = list({t for _, _, odd in split for _, t in odd if t not in self.known})
+        if new:
+            self._learn(new)
+        out = []
+        for text, parts, odd in split:
+            drop = self.stretches(odd) if odd else None
+            if drop:
+                out.append((text, " ".join(p for i, p in enumerate(parts) if i not in drop)))
+        return out
+
+
 def split_tokens(text: str) -> tuple[list[str], list[tuple[int, str]]]:
     """All tokens between blanks, and those that are not ASCII with their positions."""
     parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
@@ -472,7 +617,8 @@ def wrongly_decoded(docs: DataFrame) -> DataFrame:
     texts of one source get equal results; an empty table gives an empty result.
 
     All whole texts are read: once for the bigrams and triples (sums of two tables of fixed size, the
-    only thing that comes to the driver), once for the candidate stretches. Only candidates are kept (text included) for the estimation of
+    only thing that comes to the driver), once to take suspected stretches out of these, once for the
+    candidate stretches. Only candidates are kept (text included) for the estimation of
     the ciphers, which gathers counts per (source, swap, context) by shuffled sums, and for the
     final decision.
     """
@@ -480,6 +626,11 @@ def wrongly_decoded(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     odd = docs.filter(F.col("text").rlike(r"[^\x00-\x7F]"))
     counts = language_counts(docs).toPandas()
+    everything = spark.sparkContext.broadcast((triple_table(counts), group_table(counts)))
+    less = suspect_counts(odd, everything).toPandas()
+    everything.unpersist()
+    counts = pd.concat([counts, less]).groupby(["a", "b"], as_index=False)["n"].sum()
+    counts["n"] = counts["n"].clip(lower=0)
     shared = spark.sparkContext.broadcast((bigram_model(counts), triple_table(counts)))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -185,6 +185,17 @@ def test_retrieval_has_full_recall():
     assert set(leakage.leaks(texts, index)) == want and len(want) > 60
 
 
+def test_leaks_without_rare_or_near_pairs():
+    rng = random.Random(8)
+    items = [(i, " ".join(item_text(rng, 70))) for i in range(40)]
+    first = items[0][1].split()
+    # A run that repeats two pairs, in an item whose other runs are rich; and two thirds, each word apart from the next.
+    items.append((40, " ".join(["a", "b"] * 8 + item_text(rng, 50))))
+    apart = [y for x in first[:47] for y in (x, "zz", "zz")][:-2]
+    texts = [" ".join(["yy"] * 30 + ["a", "b"] * 8 + ["yy"] * 30), " ".join(["yy"] * 100 + apart + ["yy"] * 100), " ".join(["yy"] * 9 + ["a", "b"] * 7 + ["a"])]
+    assert leakage.leaks(texts, leakage.Index(items)) == [(0, 40), (1, 0)]
+
+
 # encoding
 
 CLEAN = {

@@ -109,6 +109,13 @@ class Index:
             for k in range(len(wide) - RUN + 1):
                 self.runs.setdefault(wide[k : k + RUN].tobytes(), []).append(d)
         self._score()
+        # Single words: for each the items that hold it and how often.
+        held = [(x, d, m.bit_count()) for d, item in enumerate(self.items) for x, m in item.masks.items()]
+        word, self.word_item, self.word_times = np.array(sorted(held), dtype=np.int64).reshape(-1, 3).T
+        self.word_first = np.searchsorted(word, np.arange(len(self.vocabulary)))
+        self.word_count = np.diff(np.append(self.word_first, len(word)))
+        #: Words in order that make a leak; more than there are for an item without words.
+        self.need = np.array([max(1, -(-2 * len(x.ids) // 3)) for x in self.items], dtype=np.int64)
 
     def _score(self) -> None:
         v, n = max(1, len(self.vocabulary)), len(self.items)
@@ -151,15 +158,17 @@ class Index:
 
     def _thresholds(self, v: int) -> np.ndarray:
         """Per item the score that a passage needs: that of its poorest run of RUN words, or SCORE_SHARE of
-        its whole score if that is less. A passage with such a run scores at least the former."""
+        its whole score if that is less. A passage with such a run scores at least the former. A pair that
+        stands in a run or item several times counts once, as in a passage."""
         out = np.zeros(len(self.items))
         self.share_threshold = np.full(len(self.items), np.inf)
         for d, x in enumerate(self.items):
             pair = x.ids[:-1].astype(np.int64) * v + x.ids[1:]
             w = np.array([self._weight_of(t, d) for t in np.searchsorted(self.terms, pair)])
-            total = w.sum()
+            total = w[np.unique(pair, return_index=True)[1]].sum()
             width = RUN - 1
-            poorest = np.convolve(w, np.ones(width), "valid").min() if len(w) >= width else total
+            spans = [slice(k, k + width) for k in range(len(w) - width + 1)]
+            poorest = min((w[r][np.unique(pair[r], return_index=True)[1]].sum() for r in spans), default=total)
             if len(w):
                 self.share_threshold[d] = max(1e-9, SCORE_SHARE * total)
                 out[d] = max(1e-9, min(poorest, SCORE_SHARE * total))
@@ -205,7 +214,7 @@ class Passages:
     item: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    #: Whether the passage's score allows for a leak by SHARE (else only by a run of RUN words).
+    #: Whether the passage's score makes a leak by SHARE likely; sharing() finds them all.
     share: np.ndarray
 
 
@@ -289,6 +298,28 @@ def search(ids: np.ndarray, starts: np.ndarray, index: Index) -> Passages:
     )
 
 
+def sharing(ids: np.ndarray, starts: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item, first, last word) of the windows of text blocks that hold, in any order, as many of an item's
+    words as SHARE asks for in order. Every stretch with a leak by SHARE lies in one of them, also where
+    no two neighbouring words of the item stand near each other."""
+    if not index.items or not len(index.vocabulary):
+        return
+    most, n = int(index.group_span.max()), len(index.items)
+    for t in range(len(starts) - 1):
+        own = ids[starts[t] : starts[t + 1] - 2]
+        for a in range(0, len(own), BLOCK):
+            window = np.unique(own[a : a + most * BLOCK])
+            window = window[window >= 0]
+            if not len(window):
+                continue
+            _, at = _gather(index.word_first[window], index.word_count[window])
+            times = np.bincount(index.word_item[at], weights=index.word_times[at], minlength=n)
+            for d in np.flatnonzero(times >= index.need).tolist():
+                yield t, d, a, a + most * BLOCK
+            if a + most * BLOCK >= len(own):
+                break
+
+
 def runs(ids: np.ndarray, starts: np.ndarray, index: Index) -> set[tuple[int, int]]:
     """(text, item) wherever RUN consecutive words of the item stand in the text."""
     if len(ids) < RUN or not index.runs:
@@ -339,27 +370,20 @@ def _in_order(ids: list[int], item: Item, length: int) -> int:
 def leaks(texts: list[str], index: Index) -> list[tuple[int, int]]:
     """(text, item position) of all leaks among the texts."""
     ids, starts = flatten([words(t) for t in texts], index)
-    found = search(ids, starts, index)
-    if not len(found.text):
-        return []
     exact = runs(ids, starts, index)
+    found = search(ids, starts, index)
+    out = {k for k in zip(found.text.tolist(), found.item.tolist()) if k in exact}
     regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    out = set()
-    for t, d, a, b, share in zip(*(x.tolist() for x in (found.text, found.item, found.first, found.last, found.share))):
-        if (t, d) in exact:
-            out.add((t, d))
-        elif share:
+    for t, d, a, b in sharing(ids, starts, index):
+        if (t, d) not in out:
             regions.setdefault((t, d), []).append((a, b))
     for (t, d), spots in regions.items():
-        if (t, d) in out:
-            continue
         item = index.items[d]
-        margin = STRETCH * len(item.ids)
         end = int(starts[t + 1] - starts[t]) - 2
         # Neighbouring passages are verified as one.
         merged: list[list[int]] = []
         for a, b in sorted(spots):
-            a, b = max(0, a - margin), min(end, b + margin)
+            b = min(end, b)
             if merged and a <= merged[-1][1]:
                 merged[-1][1] = max(merged[-1][1], b)
             else:

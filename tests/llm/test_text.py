@@ -278,6 +278,16 @@ def test_source_that_is_always_misread(spark, written, read, lang, share):
     assert sum(out[i] == truth for i, _, _, truth in docs if i in out) >= 180
 
 
+def test_every_stretch_of_a_long_text_is_repaired(spark):
+    df, _ = corpus(spark)
+    right = " ".join(CLEAN["ru"].split()[:2])
+    parts = [x for _ in range(20) for x in (CLEAN["de"] + " " + CLEAN["de"], right)]
+    wrong = " ".join(garbled(x, "cp1251", "cp1252") if x == right else x for x in parts)
+    more = spark.createDataFrame([(6000, "s0", wrong, "")], "doc_id bigint, source string, text string, gain string")
+    out = {r["doc_id"]: r for r in encoding.wrongly_decoded(df.unionByName(more)).collect()}
+    assert out[6000]["repaired"] == " ".join(parts) and len(out[6000]["swaps"]) > 12
+
+
 def test_nothing_to_do(spark):
     df, _ = corpus(spark)
     assert encoding.wrongly_decoded(df.limit(0)).count() == 0

@@ -506,27 +506,25 @@ def split_tokens(text: str) -> tuple[list[str], list[tuple[int, str]]]:
 def repair(text: str, source: str, reader: Reader) -> tuple[str, float, list[tuple[int, float]]]:
     """(text with the stretches rewritten, total gain, [(swap, gain)...]); several stretches and layers."""
     gained, swaps = 0.0, []
-    for _ in range(4 * LAYERS):
-        _, odd = split_tokens(text)
-        if not odd:
-            break
-        gain, k, first, last = reader.best_stretch(odd, source)
+    pieces = re.split(r"([ \n\t\r])", text)
+    # A token is rewritten LAYERS times at most, so that this ends; stretches are not limited.
+    layers: dict[int, int] = defaultdict(int)
+    while True:
+        odd = [(i, t) for i, t in enumerate(pieces) if not t.isascii() and layers[i] < LAYERS]
+        gain, k, first, last = reader.best_stretch(odd, source) if odd else (0.0, -1, 0, 0)
         if gain <= 0:
             break
-        bounds = _bounds(text)
-        a, b = bounds[odd[first][0]][0], bounds[odd[last][0]][1]
-        text = text[:a] + reader.ciphers.read(text[a:b], source, k) + text[b:]
+        changed = False
+        for i, t in odd[first : last + 1]:
+            new = reader.ciphers.read(t, source, k)
+            if new != t:
+                pieces[i], changed = new, True
+                layers[i] += 1
+        if not changed:
+            break
         gained += gain
         swaps.append((k, gain))
-    return text, gained, swaps
-
-
-def _bounds(text: str) -> list[tuple[int, int]]:
-    out, at = [], 0
-    for part in re.split(r"[ \n\t\r]", text):
-        out.append((at, at + len(part)))
-        at += len(part) + 1
-    return out
+    return "".join(pieces), gained, swaps
 
 
 def fill_lost(text: str, model: np.ndarray) -> str:

@@ -196,6 +196,53 @@ def test_leaks_without_rare_or_near_pairs():
     assert leakage.leaks(texts, leakage.Index(items)) == [(0, 40), (1, 0)]
 
 
+def test_two_thirds_at_any_spacing_are_found():
+    """40 of 60 words in order in exactly 120 words, in even, random and bunched spacings; one word less is none."""
+    rng = random.Random(9)
+    items = [(i, " ".join(item_text(rng, 60))) for i in range(30)] + [(30, " ".join(item_text(rng, 200))), (31, "a b c")]
+    texts, want = [], set()
+    for t in range(60):
+        i = rng.randrange(30)
+        w = items[i][1].split()
+        kept = sorted(rng.sample(range(60), 40 if t % 2 else 39))
+        if t < 6:
+            kept = list(range(40 if t % 2 else 39))
+        gaps = [k for k in range(118) if k % 3] if t < 6 else sorted(rng.sample(range(120), 120 - len(kept)))
+        out, at = ["zz"] * 120, [k for k in range(120) if k not in set(gaps[: 120 - len(kept)])]
+        for x, k in zip(kept, at):
+            out[k] = w[x]
+        texts.append(" ".join(["yy"] * rng.randrange(700) + out + ["yy"] * rng.randrange(300)))
+        if t % 2:
+            want.add((t, i))
+    texts.append("one a two b")
+    want.add((60, 31))
+    assert set(leakage.leaks(texts, leakage.Index(items))) == want
+
+
+@given(st.lists(st.lists(st.sampled_from("abcdefg"), max_size=14), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("abcdefgh"), max_size=60), min_size=1, max_size=4))
+@settings(max_examples=150, deadline=None)
+def test_leaks_equal_brute_force(items, texts):
+    index = leakage.Index([(i, " ".join(w)) for i, w in enumerate(items)])
+    want = {(t, d) for t, text in enumerate(texts) for d, item in enumerate(items) if item and brute(text, item)}
+    assert set(leakage.leaks([" ".join(t) for t in texts], index)) == want
+
+
+def test_many_and_long_items():
+    rng = random.Random(10)
+    wide = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(wide) for _ in range(rng.choice([3, 40, 90, 700])))) for i in range(300)]
+    long = items[[len(t.split()) for _, t in items].index(700)]
+    text = " ".join(w for k, w in enumerate(long[1].split()) if k % 4)
+    assert leakage.leaks(["x " * 5000 + text, ""], leakage.Index(items)) == [(0, long[0])]
+
+
+def test_answers_are_looked_for(spark):
+    held = spark.createDataFrame([(1, "one two three four five six", "Six, seven"), (2, "red green blue", None)], "item_id bigint, text string, answer string")
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "one two three four five six"), (3, "Red green blue!")], "doc_id bigint, text string")
+    got = {tuple(r) for r in leakage.leaked_answers(docs, held).collect()}
+    assert got == {(1, 1, True), (2, 1, False), (3, 2, None)}
+
+
 # encoding
 
 CLEAN = {

@@ -1,4 +1,8 @@
-"""Evaluation texts that leak into training text: a BM25 index of the items, block-max pruning, exact verification."""
+"""Evaluation texts that leak into training text: a BM25 index of the items, pivots and block maxima, exact verification.
+
+Passages of the documents are the queries. The threshold of an item is the least score that a leak can have, so
+retrieval loses none; what is retrieved is verified word by word.
+"""
 
 from __future__ import annotations
 
@@ -16,19 +20,17 @@ from pyspark.sql import functions as F
 RUN, SHARE = 16, 2 / 3
 #: A stretch of a document in which that share must lie, in lengths of the item.
 STRETCH = 2
-#: Words of a text block; passages are windows of as many blocks as a stretch may touch.
-BLOCK = 64
-#: Items whose postings share a block maximum.
-GROUP = 16
-#: Share of an item's own score that a passage must reach to be verified (at most; see _thresholds()).
-SCORE_SHARE = 1 / 6
+#: Items whose inverted lists share block maxima.
+GROUP = 8
 K1, B = 1.2, 0.75
-#: Word pairs are looked up in a table of vocabulary size squared up to this many cells, else by search.
-TABLE_CELLS = 64_000_000
-#: Scores of (text block, item) are summed in a dense array up to this many cells.
-DENSE_CELLS = 20_000_000
+#: Cells of the arrays of scores (passages by items) and of starts (pairs by words) that a worker holds at a time.
+CELLS = 4_000_000
+#: Words whose stretches one passage answers for, in lengths of the longest stretch.
+HOPS = 2
 #: Items of one index, a copy of which each worker holds; more items go in several indexes.
 INDEX_ITEMS = 20_000
+#: Texts that are searched together.
+TEXTS = 512
 
 _COMMENT = re.compile(r"<!--.*?-->", re.S)
 _REF = re.compile(r"<ref\b[^<>]*/>|<ref\b[^<>]*>.*?</ref\s*>", re.S | re.I)
@@ -80,115 +82,116 @@ def words(text: str) -> list[str]:
 class Item:
     item_id: int
     ids: np.ndarray
-    masks: dict[int, int]
+    given: dict[int, int] | None = None
+    answer: list[str] | None = None
+
+    @property
+    def masks(self) -> dict[int, int]:
+        """For each word the bits of its places in the item."""
+        if self.given is None:
+            self.given = {}
+            for k, x in enumerate(self.ids.tolist()):
+                self.given[x] = self.given.get(x, 0) | (1 << k)
+        return self.given
 
 
 class Index:
-    """BM25 over pairs of neighbouring words of the items, with maxima per block of items.
+    """The items of an evaluation set: their runs of RUN words, and inverted lists of their words.
 
-    A pair of words counts as found in a text when it stands there with at most one word between.
+    Items are indexed by classes of like length (Part), so that passages fit their stretches.
+    Everything of a size that grows with the items is an array.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
-        parsed = [(i, words(t)) for i, t in items]
+    def __init__(self, items: list[tuple]):
+        parsed = [(r[0], words(r[1]), words(r[2]) if len(r) > 2 and r[2] else None) for r in items]
         self.vocabulary: dict[str, int] = {}
-        for _, w in parsed:
+        for _, w, _ in parsed:
             for x in w:
                 self.vocabulary.setdefault(x, len(self.vocabulary))
-        self.items: list[Item] = []
-        for i, w in parsed:
-            ids = np.array([self.vocabulary[x] for x in w], dtype=np.int32)
-            masks: dict[int, int] = {}
-            for k, x in enumerate(ids.tolist()):
-                masks[x] = masks.get(x, 0) | (1 << k)
-            self.items.append(Item(i, ids, masks))
-        #: Every run of RUN words -> the items that hold it.
-        self.runs: dict[bytes, list[int]] = {}
-        for d, x in enumerate(self.items):
-            wide = x.ids.astype(np.int64)
-            for k in range(len(wide) - RUN + 1):
-                self.runs.setdefault(wide[k : k + RUN].tobytes(), []).append(d)
-        self._score()
-        # Single words: for each the items that hold it and how often.
-        held = [(x, d, m.bit_count()) for d, item in enumerate(self.items) for x, m in item.masks.items()]
-        word, self.word_item, self.word_times = np.array(sorted(held), dtype=np.int64).reshape(-1, 3).T
-        self.word_first = np.searchsorted(word, np.arange(len(self.vocabulary)))
-        self.word_count = np.diff(np.append(self.word_first, len(word)))
-        #: Words in order that make a leak; more than there are for an item without words.
-        self.need = np.array([max(1, -(-2 * len(x.ids) // 3)) for x in self.items], dtype=np.int64)
-
-    def _score(self) -> None:
-        v, n = max(1, len(self.vocabulary)), len(self.items)
-        keys, owners, tfs = [], [], []
-        self.lengths = np.array([len(x.ids) for x in self.items], dtype=np.int64)
+        self.items = [Item(i, np.array([self.vocabulary[x] for x in w], dtype=np.int32), None, a) for i, w, a in parsed]
+        hashes, owners, places = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
+        classes: dict[int, list[int]] = {}
+        df = np.zeros(len(self.vocabulary), dtype=np.int64)
         for d, x in enumerate(self.items):
-            pair = x.ids[:-1].astype(np.int64) * v + x.ids[1:]
-            k, c = np.unique(pair, return_counts=True)
-            keys.append(k), owners.append(np.full(len(k), d)), tfs.append(c)
-        key, owner, tf = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (keys, owners, tfs))
-        order = np.argsort(key, kind="stable")
-        key, owner, tf = key[order], owner[order], tf[order]
-        self.terms, first, df = np.unique(key, return_index=True, return_counts=True)
+            if not len(x.ids):
+                continue
+            classes.setdefault((len(x.ids) - 1).bit_length(), []).append(d)
+            df[np.unique(x.ids)] += 1
+            h = _hashes(x.ids)
+            hashes.append(h), owners.append(np.full(len(h), d, dtype=np.int32)), places.append(np.arange(len(h), dtype=np.int32))
+        h, owner, place = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
+        order = np.argsort(h, kind="stable")
+        #: Hash of every run of RUN words, sorted, with the item and the place where it stands.
+        self.run_hash, self.run_item, self.run_place = h[order], owner[order], place[order]
+        n = max(1, len(self.items))
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * self.lengths / max(1.0, self.lengths.mean() if n else 1.0))
-        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[owner]) if n else np.zeros(0)
-        self.posting_item, self.posting_first, self.posting_count = owner, first, df
-        # Block maxima: for each term and group of items the greatest weight.
-        self.groups = -(-n // GROUP)
-        group = owner // GROUP
-        term_of = np.repeat(np.arange(len(self.terms)), df)
-        pair = term_of * max(1, self.groups) + group
-        self.block_key, inverse = np.unique(pair, return_inverse=True)
-        self.block_max = np.zeros(len(self.block_key))
-        np.maximum.at(self.block_max, inverse, self.weight)
-        block_term = self.block_key // max(1, self.groups)
-        self.block_group = self.block_key % max(1, self.groups)
-        self.block_first = np.searchsorted(block_term, np.arange(len(self.terms)))
-        self.block_count = np.diff(np.append(self.block_first, len(block_term)))
-        self.threshold = self._thresholds(v)
-        self.group_threshold = np.array([self.threshold[g * GROUP : (g + 1) * GROUP].min() for g in range(self.groups)])
-        # A stretch of STRETCH lengths touches at most this many text blocks.
-        self.span = (np.ceil(STRETCH * self.lengths / BLOCK) + 1).astype(np.int64)
-        self.group_span = np.array([self.span[g * GROUP : (g + 1) * GROUP].max() for g in range(self.groups)], dtype=np.int64)
-        self.table = None
-        if v * v <= TABLE_CELLS:
-            self.table = np.full(v * v, -1, dtype=np.int32)
-            self.table[self.terms] = np.arange(len(self.terms), dtype=np.int32)
-        self.v = v
-
-    def _thresholds(self, v: int) -> np.ndarray:
-        """Per item the score that a passage needs: that of its poorest run of RUN words, or SCORE_SHARE of
-        its whole score if that is less. A passage with such a run scores at least the former. A pair that
-        stands in a run or item several times counts once, as in a passage."""
-        out = np.zeros(len(self.items))
-        self.share_threshold = np.full(len(self.items), np.inf)
-        for d, x in enumerate(self.items):
-            pair = x.ids[:-1].astype(np.int64) * v + x.ids[1:]
-            w = np.array([self._weight_of(t, d) for t in np.searchsorted(self.terms, pair)])
-            total = w[np.unique(pair, return_index=True)[1]].sum()
-            width = RUN - 1
-            spans = [slice(k, k + width) for k in range(len(w) - width + 1)]
-            poorest = min((w[r][np.unique(pair[r], return_index=True)[1]].sum() for r in spans), default=total)
-            if len(w):
-                self.share_threshold[d] = max(1e-9, SCORE_SHARE * total)
-                out[d] = max(1e-9, min(poorest, SCORE_SHARE * total))
-            else:
-                out[d] = np.inf
-        return out
-
-    def _weight_of(self, term: int, d: int) -> float:
-        a = self.posting_first[term]
-        at = np.searchsorted(self.posting_item[a : a + self.posting_count[term]], d)
-        return float(self.weight[a + at])
-
-    def lookup(self, key: np.ndarray) -> np.ndarray:
-        """The term of each pair key, -1 where it is none."""
-        if self.table is not None:
-            return self.table[key]
-        if not len(self.terms):
-            return np.full(len(key), -1)
-        at = np.minimum(np.searchsorted(self.terms, key), len(self.terms) - 1)
-        return np.where(self.terms[at] == key, at, -1)
+        self.parts = [Part(np.array(m), self.items, idf) for _, m in sorted(classes.items())]
+
+
+class Part:
+    """Inverted lists (BM25) of items of like length, in blocks of GROUP items with their maxima."""
+
+    def __init__(self, members: np.ndarray, items: list[Item], idf: np.ndarray):
+        # Items whose most frequent word is the same are neighbours: they tend to share words, so block maxima are tight.
+        common = {d: int(np.bincount(items[d].ids).argmax()) for d in members.tolist()}
+        self.members = np.array(sorted(members.tolist(), key=lambda d: (common[d], d)))
+        lengths = np.array([len(items[d].ids) for d in self.members], dtype=np.int64)
+        n, v = len(self.members), len(idf)
+        self.count, self.groups = n, -(-n // GROUP)
+        self.stretch, self.need = STRETCH * lengths, -(-2 * lengths // 3)
+        self.reach = int(self.stretch.max())
+        self.hop = HOPS * self.reach
+        place = np.concatenate([np.arange(k) for k in lengths])
+        owner = np.repeat(np.arange(n), lengths)
+        key, entry, times = np.unique(np.concatenate([items[d].ids for d in self.members]).astype(np.int64) * n + owner, return_inverse=True, return_counts=True)
+        term, self.item, self.times = key // n, key % n, times
+        #: Places of an entry's word in its item, as bits in as many 64-bit limbs as the item needs.
+        self.limbs = -(-lengths // 64)
+        self.mask_at = np.concatenate([[0], np.cumsum(self.limbs[self.item])[:-1]])
+        self.mask = np.zeros(int(self.limbs[self.item].sum()), dtype=np.uint64)
+        np.bitwise_or.at(self.mask, self.mask_at[entry] + place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
+
+        norm = K1 * (1 - B + B * lengths / lengths.mean())
+        weight = idf[term] * times * (K1 + 1) / (times + norm[self.item])
+        #: Share of each occurrence in its word's weight.
+        self.unit = weight / times
+        total = np.bincount(self.item, weights=weight, minlength=n)
+        # The least that SHARE of an item's words can score: all but the heaviest third of its occurrences.
+        order = np.lexsort((-self.unit, self.item))
+        owner, t = self.item[order], times[order]
+        before = _before(t, owner)
+        lost = np.clip((lengths - self.need)[owner] - before, 0, t) * self.unit[order]
+        self.threshold = (total - np.bincount(owner, weights=lost, minlength=n)) * (1 - 1e-9)
+        # Pivots: the commonest words that together stay below the threshold are no reason to look at an item.
+        order = np.lexsort((idf[term], self.item))
+        pivotal = np.zeros(len(term), dtype=bool)
+        pivotal[order] = _before(weight[order], self.item[order]) + weight[order] >= self.threshold[self.item[order]] * (1 - 1e-9)
+
+        block, self.block_from, self.block_size = np.unique(term * self.groups + self.item // GROUP, return_index=True, return_counts=True)
+        self.block_group = block % self.groups
+        self.block_max = np.maximum.reduceat(weight, self.block_from)
+        self.block_pivotal = np.logical_or.reduceat(pivotal, self.block_from)
+        edges = np.searchsorted(block // self.groups, np.arange(v + 1))
+        self.first, self.size = edges[:-1], np.diff(edges)
+        self.group_threshold = np.minimum.reduceat(self.threshold, np.arange(0, n, GROUP))
+
+
+def _before(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Sum of x over the earlier entries of the same owner; owners are sorted."""
+    total = np.concatenate([[0], np.cumsum(x)[:-1]])
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+    return total - np.repeat(total[first], np.diff(np.append(first, len(owner))))
+
+
+def _hashes(ids: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of RUN ids."""
+    n = len(ids) - RUN + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    wide, out = ids.astype(np.int64).astype(np.uint64), np.zeros(n, dtype=np.uint64)
+    for k in range(RUN):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + wide[k : k + n]
+    return out
 
 
 def _gather(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,25 +202,6 @@ def _gather(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return row, start + np.arange(total)
 
 
-def _windows(sums: np.ndarray, span: np.ndarray) -> np.ndarray:
-    """sums[block, column] added up over the span[column] blocks from each block on."""
-    total = np.concatenate([np.zeros((1, sums.shape[1])), np.cumsum(sums, axis=0)])
-    end = np.minimum(np.arange(len(sums))[:, None] + span[None, :], len(sums))
-    return np.take_along_axis(total, end, axis=0) - total[:-1]
-
-
-@dataclass
-class Passages:
-    """Candidate passages: words first .. last of a text may hold the item."""
-
-    text: np.ndarray
-    item: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
-    #: Whether the passage's score makes a leak by SHARE likely; sharing() finds them all.
-    share: np.ndarray
-
-
 def flatten(texts: list[list[str]], index: Index) -> tuple[np.ndarray, np.ndarray]:
     """(word ids of all texts, -1 for words of no item, two of them after each text; each text's start)."""
     get = index.vocabulary.get
@@ -230,107 +214,181 @@ def flatten(texts: list[list[str]], index: Index) -> tuple[np.ndarray, np.ndarra
     return np.array(flat, dtype=np.int64), np.array(bounds)
 
 
-def search(ids: np.ndarray, starts: np.ndarray, index: Index) -> Passages:
-    """The candidate passages of the texts.
+def sharing(ids: np.ndarray, starts: np.ndarray, part: Part) -> set[tuple[int, int]]:
+    """(text, item) wherever SHARE of an item's words stand in its order within its stretch. Exact.
 
-    Every passage (window of text blocks) is a query against the whole index and every item that
-    reaches its threshold is returned. First the block maxima bound what a group of items can score
-    in a passage; only groups whose bound reaches their least threshold have their postings scored.
-    A pair that stands in a text block several times counts once there.
+    The texts are cut into overlapping passages, each of them a query: passage k answers for the stretches
+    that begin in the k-th `hop` words and sees `reach` words more, so every stretch lies in one. A
+    passage that holds none of a block's pivotal words is not looked up there any further; the block
+    maxima bound what the others can reach, and only the lists of blocks that can reach their least threshold
+    are walked. Every pair of passage and item above the item's threshold, which SHARE of its words cannot
+    miss, goes on to _stretches().
     """
-    none = Passages(*(np.zeros(0, dtype=np.int64) for _ in range(5)))
-    if not index.items or not len(index.terms):
-        return none
-    position, term = [], []
-    for gap in (1, 2):
-        a, b = ids[:-gap], ids[gap:]
-        at = np.flatnonzero((a >= 0) & (b >= 0))
-        t = index.lookup(a[at] * index.v + b[at])
-        hit = t >= 0
-        position.append(at[hit]), term.append(t[hit])
-    position, term = np.concatenate(position), np.concatenate(term).astype(np.int64)
-    if not len(term):
-        return none
-    most = int(index.group_span.max())
-    sizes = -(-np.diff(starts) // BLOCK) + most
-    base = np.concatenate([[0], np.cumsum(sizes)])
-    text_of = np.searchsorted(starts, position, side="right") - 1
-    block = base[text_of] + (position - starts[text_of]) // BLOCK
-    blocks, groups = int(base[-1]), index.groups
-
-    once = np.unique(block * len(index.terms) + term)
-    block, term = once // len(index.terms), once % len(index.terms)
-    row, at = _gather(index.block_first[term], index.block_count[term])
-    bound = np.bincount(block[row] * groups + index.block_group[at], weights=index.block_max[at], minlength=blocks * groups).reshape(blocks, groups)
-    alive = _windows(bound, index.group_span) >= index.group_threshold[None, :] - 1e-9
-    if not alive.any():
-        return none
-    # A block is scored for a group if any window over it is alive.
-    scored = np.zeros_like(alive)
-    for k in range(most):
-        moved = alive if k == 0 else np.concatenate([np.zeros((k, groups), dtype=bool), alive[:-k]])
-        scored |= moved & (k < index.group_span)[None, :]
-    row, at = _gather(index.posting_first[term], index.posting_count[term])
-    item = index.posting_item[at]
-    keep = scored[block[row], item // GROUP]
-    row, at, item = row[keep], at[keep], item[keep]
-    n = len(index.items)
-    cell = block[row] * n + item
-    if blocks * n <= DENSE_CELLS:
-        dense = np.bincount(cell, weights=index.weight[at], minlength=blocks * n)
-        found = np.flatnonzero(dense)
-        score = dense[found]
-    else:
-        found, inverse = np.unique(cell, return_inverse=True)
-        score = np.bincount(inverse, weights=index.weight[at])
-    fb, fi = found // n, found % n
-    order = np.lexsort((fb, fi))
-    fb, fi, score = fb[order], fi[order], score[order]
-    # Windows end at a block with a score: add up what lies within span before it, per item.
-    key = fi * (blocks + most + 1) + fb
-    total = np.concatenate([[0.0], np.cumsum(score)])
-    first = np.searchsorted(key, key - index.span[fi] + 1)
-    window = total[np.arange(len(key)) + 1] - total[first]
-    k = np.flatnonzero(window >= index.threshold[fi] - 1e-9)
-    text = np.searchsorted(base, fb[k], side="right") - 1
-    return Passages(
-        text, fi[k], (fb[first[k]] - base[text]) * BLOCK, (fb[k] - base[text] + 1) * BLOCK + RUN, window[k] >= index.share_threshold[fi[k]] - 1e-9
-    )
-
-
-def sharing(ids: np.ndarray, starts: np.ndarray, index: Index) -> Iterator[tuple[int, int, int, int]]:
-    """(text, item, first, last word) of the windows of text blocks that hold, in any order, as many of an item's
-    words as SHARE asks for in order. Every stretch with a leak by SHARE lies in one of them, also where
-    no two neighbouring words of the item stand near each other."""
-    if not index.items or not len(index.vocabulary):
-        return
-    most, n = int(index.group_span.max()), len(index.items)
-    for t in range(len(starts) - 1):
-        own = ids[starts[t] : starts[t + 1] - 2]
-        for a in range(0, len(own), BLOCK):
-            window = np.unique(own[a : a + most * BLOCK])
-            window = window[window >= 0]
-            if not len(window):
-                continue
-            _, at = _gather(index.word_first[window], index.word_count[window])
-            times = np.bincount(index.word_item[at], weights=index.word_times[at], minlength=n)
-            for d in np.flatnonzero(times >= index.need).tolist():
-                yield t, d, a, a + most * BLOCK
-            if a + most * BLOCK >= len(own):
-                break
+    out = set()
+    length = np.diff(starts) - 2
+    number = np.maximum(0, -(-length // part.hop))
+    at = 0
+    while at < len(length):
+        # As many texts at once as have room in the array of scores; at least one.
+        end = at + max(1, int(np.searchsorted(np.cumsum(number[at:]) * part.count, CELLS, side="right")))
+        found = _passages(ids, starts[at : end + 1], number[at:end], part)
+        out.update((at + t, d) for t, d in found)
+        at = end
+    return out
+
+
+def _passages(ids: np.ndarray, starts: np.ndarray, number: np.ndarray, part: Part) -> set[tuple[int, int]]:
+    hop, n, groups = part.hop, part.count, part.groups
+    base = np.concatenate([[0], np.cumsum(number)])
+    passages = int(base[-1])
+    own = ids[starts[0] : starts[-1]]
+    place = np.flatnonzero(own >= 0)
+    place = place[part.size[own[place]] > 0] + starts[0]
+    if not len(place):
+        return set()
+    text = np.searchsorted(starts, place, side="right") - 1
+    nth = (place - starts[text]) // hop
+    passage = base[text] + nth
+    again = (nth > 0) & (place - starts[text] - nth * hop < part.reach)
+    passage, place = np.concatenate([passage, passage[again] - 1]), np.concatenate([place, place[again]])
+    # Places of each (passage, word), in order.
+    key = passage * len(part.size) + ids[place]
+    order = np.argsort(key, kind="stable")
+    key, place = key[order], place[order]
+    run_first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    run_count = np.diff(np.append(run_first, len(key)))
+    run_passage, run_term = np.divmod(key[run_first], len(part.size))
+
+    row, block = _gather(part.first[run_term], part.size[run_term])
+    cell = run_passage[row] * groups + part.block_group[block]
+    alive = np.zeros(passages * groups, dtype=bool)
+    alive[cell[part.block_pivotal[block]]] = True
+    keep = alive[cell]
+    row, block, cell = row[keep], block[keep], cell[keep]
+    bound = np.bincount(cell, weights=part.block_max[block], minlength=passages * groups).reshape(passages, groups)
+    alive &= (bound >= part.group_threshold[None, :] * (1 - 1e-9)).ravel()
+    keep = alive[cell]
+    r, entry = _gather(part.block_from[block[keep]], part.block_size[block[keep]])
+    run = row[keep][r]
+    cell = run_passage[run] * n + part.item[entry]
+    there = np.minimum(run_count[run], part.times[entry])
+    score = np.bincount(cell, weights=there * part.unit[entry], minlength=passages * n).reshape(passages, n)
+    held = np.bincount(cell, weights=there, minlength=passages * n).reshape(passages, n)
+    good = ((score >= part.threshold[None, :] * (1 - 1e-9)) & (held >= part.need[None, :])).ravel()
+    pairs = np.flatnonzero(good)
+    if not len(pairs):
+        return set()
+    keep = good[cell]
+    run, entry, pair = run[keep], entry[keep], np.searchsorted(pairs, cell[keep])
+    order = np.argsort(pair, kind="stable")
+    run, entry, pair = run[order], entry[order], pair[order]
+    text = np.searchsorted(base, pairs // n, side="right") - 1
+    origin = starts[text] + (pairs // n - base[text]) * hop
+    out: set[tuple[int, int]] = set()
+    step = max(1, CELLS // (hop + 1))
+    for a in range(0, len(pairs), step):
+        x, y = np.searchsorted(pair, [a, a + step])
+        # Where the words of each pair stand: (pair, place in its passage, entry).
+        r, at = _gather(run_first[run[x:y]], run_count[run[x:y]])
+        e, p = entry[x:y][r], pair[x:y][r] - a
+        zero, times = origin[a : a + step][p], part.times[e]
+        before = at - times
+        last = np.where(before >= run_first[run[x:y]][r], place[np.maximum(before, 0)] - zero, -1)
+        for k in _stretches(p, place[at] - zero, last, e, pairs[a : a + step] % n, part):
+            out.add((int(text[a + k]), int(part.members[pairs[a + k] % n])))
+    return out
+
+
+def _stretches(pair: np.ndarray, place: np.ndarray, last: np.ndarray, entry: np.ndarray, item: np.ndarray, part: Part) -> np.ndarray:
+    """The pairs with a stretch that holds SHARE of the item's words in order.
+
+    For every start in the passage the item's words in its stretch are counted in any order, each as
+    often as the item has it (place: where a word stands, last: where it stood that many times before).
+    Neighbouring starts with enough words are tried together: where the common subsequence of all
+    their words falls short, so does that of each; else they are halved, down to single starts.
+    """
+    n, width, wide = len(item), part.hop + 1, 2 * part.hop + 2 * part.reach
+    cell = pair * width
+    high = np.minimum(place, part.hop - 1) + 1
+    low = np.minimum(np.maximum(np.maximum(last, place - part.stretch[item][pair]) + 1, 0), high)
+    change = np.bincount(cell + low, minlength=n * width) - np.bincount(cell + high, minlength=n * width)
+    enough = np.cumsum(change.reshape(n, width), axis=1, dtype=np.int32) >= part.need[item][:, None]
+    begins = np.zeros(n * width, dtype=bool)
+    begins[cell + np.minimum(place, part.hop)] = True
+    begins[part.hop :: width] = False
+    start = np.flatnonzero(enough.ravel() & begins)
+    if not len(start):
+        return start
+    owner, start = np.divmod(start, width)
+    lot = owner * width + start // np.maximum(1, part.stretch[item[owner]] // 8)
+    edge = np.flatnonzero(np.concatenate([[True], lot[1:] != lot[:-1]]))
+    owner, a, b = owner[edge], start[edge], start[np.append(edge[1:], len(start)) - 1]
+
+    some = np.zeros(n, dtype=bool)
+    some[owner] = True
+    some = some[pair]
+    key = pair[some] * wide + place[some]
+    order = np.argsort(key)
+    key, entry = key[order], entry[some][order]
+    found = np.zeros(n, dtype=bool)
+    while len(owner):
+        first = np.searchsorted(key, owner * wide + a)
+        end = np.searchsorted(key, owner * wide + b + part.stretch[item[owner]])
+        ok = common(entry, first, end, item[owner], part) >= part.need[item[owner]]
+        found[owner[ok & (a == b)]] = True
+        ok &= ~found[owner]
+        owner, a, b = owner[ok], a[ok], b[ok]
+        middle = (a + b) // 2
+        owner, a, b = np.concatenate([owner, owner]), np.concatenate([a, middle + 1]), np.concatenate([middle, b])
+    return np.flatnonzero(found)
+
+
+def common(entry: np.ndarray, first: np.ndarray, end: np.ndarray, item: np.ndarray, part: Part) -> np.ndarray:
+    """Lengths of the longest common subsequences of items with sequences of their words.
+
+    Sequence i is entry[first[i] : end[i]], entries of item[i]. The bit-parallel recurrence, a bit per
+    word of the item in 64-bit limbs with carries, for all sequences at once.
+    """
+    out = np.zeros(len(item), dtype=np.int64)
+    limbs = part.limbs[item]
+    for k in np.unique(limbs).tolist():
+        rows = np.flatnonzero(limbs == k)
+        rows = rows[np.argsort(first[rows] - end[rows], kind="stable")]
+        begin, size = first[rows], (end - first)[rows]
+        free = [np.full(len(rows), 2**64 - 1, dtype=np.uint64) for _ in range(k)]
+        live = len(rows)
+        for j in range(int(size[0])):
+            while size[live - 1] <= j:
+                live -= 1
+            at = part.mask_at[entry[begin[:live] + j]]
+            carry = np.zeros(live, dtype=np.uint64)
+            for q in range(k):
+                v = free[q][:live]
+                m = part.mask[at + q]
+                u = v & m
+                s = v + u
+                t = s + carry
+                carry = ((s < v) | (t < s)).astype(np.uint64)
+                free[q][:live] = t | (v & ~m)
+        out[rows] = 64 * k - sum(np.bitwise_count(f).astype(np.int64) for f in free)
+    return out
 
 
 def runs(ids: np.ndarray, starts: np.ndarray, index: Index) -> set[tuple[int, int]]:
-    """(text, item) wherever RUN consecutive words of the item stand in the text."""
-    if len(ids) < RUN or not index.runs:
+    """(text, item) wherever RUN consecutive words of the item stand in the text. Exact."""
+    if len(ids) < RUN or not len(index.run_hash):
         return set()
-    pair = (ids[:-1] >= 0) & (ids[1:] >= 0)
-    pair[pair] = index.lookup((ids[:-1] * index.v + ids[1:])[pair]) >= 0
-    total = np.concatenate([[0], np.cumsum(pair)])
+    total = np.concatenate([[0], np.cumsum(ids >= 0)])
+    at = np.flatnonzero(total[RUN:] - total[:-RUN] == RUN)
+    hashes = _hashes(ids)[at]
+    low = np.searchsorted(index.run_hash, hashes, side="left")
+    count = np.searchsorted(index.run_hash, hashes, side="right") - low
+    row, run = _gather(low, count)
     out = set()
-    for a in np.flatnonzero(total[RUN - 1 :] - total[: -(RUN - 1)] == RUN - 1).tolist():
-        for d in index.runs.get(ids[a : a + RUN].tobytes(), ()):
-            out.add((int(np.searchsorted(starts, a, side="right") - 1), d))
+    for a, d, k in zip(at[row].tolist(), index.run_item[run].tolist(), index.run_place[run].tolist()):
+        text = int(np.searchsorted(starts, a, side="right") - 1)
+        if (text, d) not in out and (ids[a : a + RUN] == index.items[d].ids[k : k + RUN]).all():
+            out.add((text, d))
     return out
 
 
@@ -369,30 +427,22 @@ def _in_order(ids: list[int], item: Item, length: int) -> int:
 
 def leaks(texts: list[str], index: Index) -> list[tuple[int, int]]:
     """(text, item position) of all leaks among the texts."""
-    ids, starts = flatten([words(t) for t in texts], index)
-    exact = runs(ids, starts, index)
-    found = search(ids, starts, index)
-    out = {k for k in zip(found.text.tolist(), found.item.tolist()) if k in exact}
-    regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for t, d, a, b in sharing(ids, starts, index):
-        if (t, d) not in out:
-            regions.setdefault((t, d), []).append((a, b))
-    for (t, d), spots in regions.items():
-        item = index.items[d]
-        end = int(starts[t + 1] - starts[t]) - 2
-        # Neighbouring passages are verified as one.
-        merged: list[list[int]] = []
-        for a, b in sorted(spots):
-            b = min(end, b)
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        if any(in_stretch(ids[starts[t] + a : starts[t] + b].tolist(), item) for a, b in merged):
-            out.add((t, d))
+    return _leaks([words(t) for t in texts], index)
+
+
+def _leaks(texts: list[list[str]], index: Index) -> list[tuple[int, int]]:
+    ids, starts = flatten(texts, index)
+    out = runs(ids, starts, index)
+    for part in index.parts:
+        out |= sharing(ids, starts, part)
     return sorted(out)
 
 
+def holds(text: list[str], part: list[str]) -> bool:
+    """Whether the words of part stand one after the other in the text."""
+    return f" {' '.join(part)} " in f" {' '.join(text)} "
+
+
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every document that holds a leaked passage of an item.
 
@@ -402,29 +452,41 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     A leak is RUN consecutive words of the item, or SHARE of its words in its order within a stretch
     of STRETCH times its length, in the document's shown text. Items are held-out sets of bounded
-    size: they are counted, indexed INDEX_ITEMS at a time and each index is sent to the workers once;
-    every document is read whole, in one pass per index, and nothing is shuffled but the result.
+    size: they are counted, indexed INDEX_ITEMS at a time on the driver, and each index is sent to the
+    workers once; every document is read whole, in one pass per index, and nothing is shuffled but the result.
     """
+    return leaked_answers(docs, items).select("doc_id", "item_id").distinct()
+
+
+def leaked_answers(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """leaked_items() with answer: whether the item's answer stands in the document too; null where the
+    item has none (or items have no column answer). A repeated doc_id gives repeated rows."""
     spark = docs.sparkSession
-    rows = sorted((r["item_id"], r["text"]) for r in items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").toLocalIterator())
+    answer = F.col("answer") if "answer" in items.columns else F.lit(None)
+    held = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text", answer.cast("string").alias("answer"))
+    rows = sorted((tuple(r) for r in held.toLocalIterator()), key=lambda r: (r[0], r[1], r[2] or ""))
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.col("text") != ""))
     out = None
     for k in range(0, max(1, len(rows)), INDEX_ITEMS):
-        shared = spark.sparkContext.broadcast(rows[k : k + INDEX_ITEMS])
-        part = texts.mapInPandas(_leaks_of(shared), "doc_id bigint, item_id bigint")
+        shared = spark.sparkContext.broadcast(Index(rows[k : k + INDEX_ITEMS]))
+        part = texts.mapInPandas(_leaks_of(shared), "doc_id bigint, item_id bigint, answer boolean")
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    return out
 
 
 def _leaks_of(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index = Index(shared.value)
+        index = shared.value
         for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.iloc[k : k + 512]
-                found = leaks(part["text"].tolist(), index)
+            for k in range(0, len(batch), TEXTS):
+                part = batch.iloc[k : k + TEXTS]
+                texts = [words(t) for t in part["text"]]
                 doc = part["doc_id"].to_numpy()
+                found = []
+                for t, d in _leaks(texts, index):
+                    answer = index.items[d].answer
+                    found.append((doc[t], index.items[d].item_id, None if not answer else holds(texts[t], answer)))
                 if found:
-                    yield pd.DataFrame({"doc_id": [doc[t] for t, _ in found], "item_id": [index.items[d].item_id for _, d in found]})
+                    yield pd.DataFrame(found, columns=["doc_id", "item_id", "answer"]).astype({"answer": "boolean"})
 
     return run

@@ -25,14 +25,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    """The leaked items with their task and the number of documents that hold them."""
-    items = table(spark, d, "eval_items").select("item_id", "task")
+    """The leaked items with their task, the number of documents that hold them, and of those that hold the answer too."""
+    held = table(spark, d, "eval_items")
+    found = leakage.leaked_answers(table(spark, d, "documents"), held).distinct()
     return (
-        p9_found(spark, d)
-        .groupBy("item_id")
-        .agg(F.count(F.lit(1)).alias("documents"))
-        .join(items, "item_id")
-        .select("item_id", "task", "documents")
+        found.groupBy("item_id")
+        .agg(F.count(F.lit(1)).alias("documents"), F.count_if("answer").alias("with_answer"))
+        .join(held.select("item_id", "task"), "item_id")
+        .select("item_id", "task", "documents", "with_answer")
     )
 
 

@@ -23,7 +23,8 @@ STRETCH = 2
 #: Items whose inverted lists share block maxima.
 GROUP = 8
 K1, B = 1.2, 0.75
-#: Cells of the arrays of scores (passages by items) and of starts (pairs by words) that a worker holds at a time.
+#: Cells of the arrays of scores (passages by items, with the list entries that are walked) and of starts (pairs by
+#: words) that a worker holds at a time.
 CELLS = 4_000_000
 #: Words whose stretches one passage answers for, in lengths of the longest stretch.
 HOPS = 2
@@ -172,7 +173,7 @@ class Part:
         self.block_max = np.maximum.reduceat(weight, self.block_from)
         self.block_pivotal = np.logical_or.reduceat(pivotal, self.block_from)
         edges = np.searchsorted(block // self.groups, np.arange(v + 1))
-        self.first, self.size = edges[:-1], np.diff(edges)
+        self.first, self.size, self.listed = edges[:-1], np.diff(edges), np.bincount(term, minlength=v)
         self.group_threshold = np.minimum.reduceat(self.threshold, np.arange(0, n, GROUP))
 
 
@@ -227,10 +228,14 @@ def sharing(ids: np.ndarray, starts: np.ndarray, part: Part) -> set[tuple[int, i
     out = set()
     length = np.diff(starts) - 2
     number = np.maximum(0, -(-length // part.hop))
+    if not len(part.listed):
+        return out
+    listed = np.concatenate([[0], np.cumsum(np.where(ids >= 0, part.listed[ids], 0))])
+    room = number * part.count + listed[starts[1:]] - listed[starts[:-1]]
     at = 0
     while at < len(length):
-        # As many texts at once as have room in the array of scores; at least one.
-        end = at + max(1, int(np.searchsorted(np.cumsum(number[at:]) * part.count, CELLS, side="right")))
+        # As many texts at once as have room in the arrays of scores and list entries; at least one.
+        end = at + max(1, int(np.searchsorted(np.cumsum(room[at:]), CELLS, side="right")))
         found = _passages(ids, starts[at : end + 1], number[at:end], part)
         out.update((at + t, d) for t, d in found)
         at = end

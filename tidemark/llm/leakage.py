@@ -20,14 +20,13 @@ from pyspark.sql import functions as F
 RUN, SHARE = 16, 2 / 3
 #: A stretch of a document in which that share must lie, in lengths of the item.
 STRETCH = 2
-#: Items whose inverted lists share block maxima.
-GROUP = 8
+#: Items that share block maxima and are scored together, and the words that a block may hold (more only in one item).
+GROUP, GROUP_WORDS = 32, 4096
 K1, B = 1.2, 0.75
-#: Cells of the arrays of scores (passages by items, with the list entries that are walked) and of starts (pairs by
-#: words) that a worker holds at a time.
-CELLS = 4_000_000
-#: Words whose stretches one passage answers for, in lengths of the longest stretch.
-HOPS = 2
+#: Factor that keeps rounding from lifting a threshold.
+SLACK = 1 - 1e-4
+#: Entries of the lists that a worker walks at a time, and blocks whose tables it keeps.
+ENTRIES, TABLES = 3_000_000, 64
 #: Items of one index, a copy of which each worker holds; more items go in several indexes.
 INDEX_ITEMS = 20_000
 #: Texts that are searched together.
@@ -97,11 +96,7 @@ class Item:
 
 
 class Index:
-    """The items of an evaluation set: their runs of RUN words, and inverted lists of their words.
-
-    Items are indexed by classes of like length (Part), so that passages fit their stretches.
-    Everything of a size that grows with the items is an array.
-    """
+    """The items of an evaluation set: their runs of RUN words, and inverted lists from words to blocks of items."""
 
     def __init__(self, items: list[tuple]):
         parsed = [(r[0], words(r[1]), words(r[2]) if len(r) > 2 and r[2] else None) for r in items]
@@ -111,77 +106,106 @@ class Index:
                 self.vocabulary.setdefault(x, len(self.vocabulary))
         self.items = [Item(i, np.array([self.vocabulary[x] for x in w], dtype=np.int32), None, a) for i, w, a in parsed]
         hashes, owners, places = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)]
-        classes: dict[int, list[int]] = {}
-        df = np.zeros(len(self.vocabulary), dtype=np.int64)
+        df, v = np.zeros(len(self.vocabulary), dtype=np.int64), len(self.vocabulary)
+        common: dict[int, int] = {}
         for d, x in enumerate(self.items):
-            if not len(x.ids):
-                continue
-            classes.setdefault((len(x.ids) - 1).bit_length(), []).append(d)
-            df[np.unique(x.ids)] += 1
-            h = _hashes(x.ids)
-            hashes.append(h), owners.append(np.full(len(h), d, dtype=np.int32)), places.append(np.arange(len(h), dtype=np.int32))
+            if len(x.ids):
+                df[np.unique(x.ids)] += 1
+                common[d] = int(np.bincount(x.ids).argmax())
+                h = _hashes(x.ids)
+                hashes.append(h), owners.append(np.full(len(h), d, dtype=np.int32)), places.append(np.arange(len(h), dtype=np.int32))
         h, owner, place = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
         order = np.argsort(h, kind="stable")
         #: Hash of every run of RUN words, sorted, with the item and the place where it stands.
         self.run_hash, self.run_item, self.run_place = h[order], owner[order], place[order]
         n = max(1, len(self.items))
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        self.parts = [Part(np.array(m), self.items, idf) for _, m in sorted(classes.items())]
-
-
-class Part:
-    """Inverted lists (BM25) of items of like length, in blocks of GROUP items with their maxima."""
+        mean = max(1.0, float(np.mean([len(x.ids) for x in self.items]))) if self.items else 1.0
+        # Neighbours are of like length and have the same most frequent word, as they then tend to share words.
+        self.blocks: list[Block] = []
+        held: list[int] = []
+        size = lambda d: len(self.items[d].ids)
+        for d in sorted(common, key=lambda d: (common[d], size(d), d)):
+            if held and (len(held) == GROUP or size(d) > 1.3 * size(held[0]) + 8 or (len(held) + 1) * size(d) > GROUP_WORDS):
+                self.blocks.append(Block(held, self.items, idf, mean))
+                held = []
+            held.append(d)
+        if held:
+            self.blocks.append(Block(held, self.items, idf, mean))
+        # The lists: for each word the blocks that hold it, and its number there.
+        sizes = [len(b.terms) for b in self.blocks]
+        term = np.concatenate([b.terms for b in self.blocks]) if self.blocks else np.zeros(0, dtype=np.int64)
+        order = np.argsort(term, kind="stable")
+        self.listed = np.bincount(term, minlength=v)
+        self.first = np.concatenate([[0], np.cumsum(self.listed)[:-1]]).astype(np.int64) if v else np.zeros(0, dtype=np.int64)
+        self.list_block = np.repeat(np.arange(len(sizes)), sizes)[order].astype(np.int32)
+        self.list_local = np.concatenate([np.arange(s) for s in sizes])[order].astype(np.int32) if sizes else np.zeros(0, dtype=np.int32)
+
+
+class Block:
+    """Items of like length and words, scored together, with the greatest weights among them (block maxima).
+
+    A word that an item holds k times has k columns: in a passage column j is set if the word stands
+    there at least j times, so every occurrence that can count adds its share of the word's BM25 weight.
+    """
 
-    def __init__(self, members: np.ndarray, items: list[Item], idf: np.ndarray):
-        # Items whose most frequent word is the same are neighbours: they tend to share words, so block maxima are tight.
-        common = {d: int(np.bincount(items[d].ids).argmax()) for d in members.tolist()}
-        self.members = np.array(sorted(members.tolist(), key=lambda d: (common[d], d)))
-        lengths = np.array([len(items[d].ids) for d in self.members], dtype=np.int64)
-        n, v = len(self.members), len(idf)
-        self.count, self.groups = n, -(-n // GROUP)
-        self.stretch, self.need = STRETCH * lengths, -(-2 * lengths // 3)
+    def __init__(self, members: list[int], items: list[Item], idf: np.ndarray, mean: float):
+        self.members = np.array(members)
+        self.lengths = np.array([len(items[d].ids) for d in members], dtype=np.int64)
+        n = len(members)
+        self.stretch, self.need = STRETCH * self.lengths, -(-2 * self.lengths // 3)
         self.reach = int(self.stretch.max())
-        self.hop = HOPS * self.reach
-        place = np.concatenate([np.arange(k) for k in lengths])
-        owner = np.repeat(np.arange(n), lengths)
-        key, entry, times = np.unique(np.concatenate([items[d].ids for d in self.members]).astype(np.int64) * n + owner, return_inverse=True, return_counts=True)
-        term, self.item, self.times = key // n, key % n, times
-        #: Places of an entry's word in its item, as bits in as many 64-bit limbs as the item needs.
-        self.limbs = -(-lengths // 64)
-        self.mask_at = np.concatenate([[0], np.cumsum(self.limbs[self.item])[:-1]])
-        self.mask = np.zeros(int(self.limbs[self.item].sum()), dtype=np.uint64)
-        np.bitwise_or.at(self.mask, self.mask_at[entry] + place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
-
-        norm = K1 * (1 - B + B * lengths / lengths.mean())
-        weight = idf[term] * times * (K1 + 1) / (times + norm[self.item])
-        #: Share of each occurrence in its word's weight.
-        self.unit = weight / times
-        total = np.bincount(self.item, weights=weight, minlength=n)
-        # The least that SHARE of an item's words can score: all but the heaviest third of its occurrences.
-        order = np.lexsort((-self.unit, self.item))
-        owner, t = self.item[order], times[order]
-        before = _before(t, owner)
-        lost = np.clip((lengths - self.need)[owner] - before, 0, t) * self.unit[order]
-        self.threshold = (total - np.bincount(owner, weights=lost, minlength=n)) * (1 - 1e-9)
-        # Pivots: the commonest words that together stay below the threshold are no reason to look at an item.
-        order = np.lexsort((idf[term], self.item))
-        pivotal = np.zeros(len(term), dtype=bool)
-        pivotal[order] = _before(weight[order], self.item[order]) + weight[order] >= self.threshold[self.item[order]] * (1 - 1e-9)
-
-        block, self.block_from, self.block_size = np.unique(term * self.groups + self.item // GROUP, return_index=True, return_counts=True)
-        self.block_group = block % self.groups
-        self.block_max = np.maximum.reduceat(weight, self.block_from)
-        self.block_pivotal = np.logical_or.reduceat(pivotal, self.block_from)
-        edges = np.searchsorted(block // self.groups, np.arange(v + 1))
-        self.first, self.size, self.listed = edges[:-1], np.diff(edges), np.bincount(term, minlength=v)
-        self.group_threshold = np.minimum.reduceat(self.threshold, np.arange(0, n, GROUP))
-
-
-def _before(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Sum of x over the earlier entries of the same owner; owners are sorted."""
-    total = np.concatenate([[0], np.cumsum(x)[:-1]])
-    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-    return total - np.repeat(total[first], np.diff(np.append(first, len(owner))))
+        self.limbs = -(-int(self.lengths.max()) // 64)
+        self.place = np.concatenate([np.arange(k) for k in self.lengths])
+        self.owner = np.repeat(np.arange(n), self.lengths)
+        self.terms, self.local = np.unique(np.concatenate([items[d].ids for d in members]).astype(np.int64), return_inverse=True)
+        times = np.bincount(self.local * n + self.owner, minlength=len(self.terms) * n).reshape(-1, n)
+        weight = idf[self.terms][:, None] * times * (K1 + 1) / (times + K1 * (1 - B + B * self.lengths / mean))
+        unit = weight / np.maximum(times, 1)
+        self.threshold = np.zeros(n)
+        pivotal = np.zeros(len(self.terms), dtype=bool)
+        for i in range(n):
+            # The least that SHARE of an item's words can score: all but its heaviest third of occurrences.
+            t = np.flatnonzero(times[:, i])
+            heavy = t[np.argsort(-unit[t, i], kind="stable")]
+            before = np.cumsum(times[heavy, i]) - times[heavy, i]
+            lost = np.clip(self.lengths[i] - self.need[i] - before, 0, times[heavy, i]) @ unit[heavy, i]
+            self.threshold[i] = (weight[:, i].sum() - lost) * SLACK
+            # Pivots: the commonest words that together stay below the threshold are no reason to look at an item.
+            light = t[np.argsort(idf[self.terms[t]], kind="stable")]
+            pivotal[light[np.cumsum(weight[light, i]) >= self.threshold[i]]] = True
+        most = times.max(axis=1)
+        self.column_term = np.repeat(np.arange(len(self.terms)), most)
+        self.column_level = np.arange(len(self.column_term)) - np.repeat(np.cumsum(most) - most, most) + 1
+        self.column_max = np.where(self.column_level[:, None] <= times[self.column_term], unit[self.column_term], 0).max(axis=1).astype(np.float32)
+        self.pivotal = pivotal
+        for name in ("place", "owner", "local", "column_term", "column_level"):
+            setattr(self, name, getattr(self, name).astype(np.int32))
+        self.idf, self.mean = idf[self.terms].astype(np.float32), mean
+        self.made: tuple | None = None
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(weights and presence by column and item, masks of places by word and item, a table per limb); the
+        tables of the last blocks are kept."""
+        if self.made is None:
+            n = len(self.members)
+            times = np.bincount(self.local * n + self.owner, minlength=len(self.terms) * n).reshape(-1, n)
+            unit = self.idf[:, None] * (K1 + 1) / (times + K1 * (1 - B + B * self.lengths / self.mean))
+            there = self.column_level[:, None] <= times[self.column_term]
+            masks = []
+            for q in range(self.limbs):
+                m = np.zeros(len(self.terms) * n, dtype=np.uint64)
+                x = self.place // 64 == q
+                np.bitwise_or.at(m, self.local[x] * n + self.owner[x], np.uint64(1) << (self.place[x] % 64).astype(np.uint64))
+                masks.append(m.reshape(-1, n))
+            self.made = (np.where(there, unit[self.column_term], 0).astype(np.float32), there.astype(np.float32), masks)
+            _MADE.append(self)
+            if len(_MADE) > TABLES:
+                _MADE.pop(0).made = None
+        return self.made
+
+
+_MADE: list[Block] = []
 
 
 def _hashes(ids: np.ndarray) -> np.ndarray:
@@ -215,167 +239,139 @@ def flatten(texts: list[list[str]], index: Index) -> tuple[np.ndarray, np.ndarra
     return np.array(flat, dtype=np.int64), np.array(bounds)
 
 
-def sharing(ids: np.ndarray, starts: np.ndarray, part: Part) -> set[tuple[int, int]]:
+def sharing(ids: np.ndarray, starts: np.ndarray, index: Index) -> set[tuple[int, int]]:
     """(text, item) wherever SHARE of an item's words stand in its order within its stretch. Exact.
 
-    The texts are cut into overlapping passages, each of them a query: passage k answers for the stretches
-    that begin in the k-th `hop` words and sees `reach` words more, so every stretch lies in one. A
-    passage that holds none of a block's pivotal words is not looked up there any further; the block
-    maxima bound what the others can reach, and only the lists of blocks that can reach their least threshold
-    are walked. Every pair of passage and item above the item's threshold, which SHARE of its words cannot
-    miss, goes on to _stretches().
+    Words are looked up in the lists, which gives for each block that any of them is in the sequence of its
+    own words; see _in_block().
     """
-    out = set()
-    length = np.diff(starts) - 2
-    number = np.maximum(0, -(-length // part.hop))
-    if not len(part.listed):
+    out: set[tuple[int, int]] = set()
+    if not len(index.listed):
         return out
-    listed = np.concatenate([[0], np.cumsum(np.where(ids >= 0, part.listed[ids], 0))])
-    room = number * part.count + listed[starts[1:]] - listed[starts[:-1]]
+    room = np.cumsum(np.where(ids >= 0, index.listed[ids], 0))
+    room = np.concatenate([[0], room])[starts]
     at = 0
-    while at < len(length):
-        # As many texts at once as have room in the arrays of scores and list entries; at least one.
-        end = at + max(1, int(np.searchsorted(np.cumsum(room[at:]), CELLS, side="right")))
-        found = _passages(ids, starts[at : end + 1], number[at:end], part)
-        out.update((at + t, d) for t, d in found)
+    while at < len(starts) - 1:
+        # As many texts at once as have room in the array of list entries; at least one.
+        end = max(at + 1, int(np.searchsorted(room, room[at] + ENTRIES, side="right")) - 1)
+        place = np.flatnonzero(ids[starts[at] : starts[end]] >= 0) + starts[at]
+        row, entry = _gather(index.first[ids[place]], index.listed[ids[place]])
+        block = index.list_block[entry]
+        # Stable, so that words stay in order (16-bit numbers are sorted by radix).
+        order = np.argsort(block.astype(np.uint16) if len(index.blocks) < 2**16 else block, kind="stable")
+        edges = np.searchsorted(block[order], np.arange(len(index.blocks) + 1))
+        place, local = place[row[order]], index.list_local[entry[order]]
+        for b in np.flatnonzero(np.diff(edges)).tolist():
+            x = slice(edges[b], edges[b + 1])
+            out |= _in_block(place[x], local[x], starts[at : end + 1], at, index.blocks[b], index)
         at = end
     return out
 
 
-def _passages(ids: np.ndarray, starts: np.ndarray, number: np.ndarray, part: Part) -> set[tuple[int, int]]:
-    hop, n, groups = part.hop, part.count, part.groups
-    base = np.concatenate([[0], np.cumsum(number)])
-    passages = int(base[-1])
-    own = ids[starts[0] : starts[-1]]
-    place = np.flatnonzero(own >= 0)
-    place = place[part.size[own[place]] > 0] + starts[0]
-    if not len(place):
+def _in_block(place: np.ndarray, local: np.ndarray, starts: np.ndarray, at: int, block: Block, index: Index) -> set[tuple[int, int]]:
+    """sharing() for the items of a block; place and local are the texts' words that the block has, in order.
+
+    Passages are the queries: passage h of a text answers for the stretches that begin in its h-th `reach`
+    words and sees as many words more, so every stretch lies in one. A passage without a pivotal word, or
+    whose block maxima fall short of the least threshold, is not scored. What reaches its threshold
+    - which SHARE of an item's words cannot miss - is verified by common subsequences: first of whole
+    passages with all items of the block at once, then of ever fewer starts of a stretch, down to single ones.
+    """
+    if not block.pivotal[local].any():
         return set()
+    reach, n = block.reach, len(block.members)
     text = np.searchsorted(starts, place, side="right") - 1
-    nth = (place - starts[text]) // hop
-    passage = base[text] + nth
-    again = (nth > 0) & (place - starts[text] - nth * hop < part.reach)
-    passage, place = np.concatenate([passage, passage[again] - 1]), np.concatenate([place, place[again]])
-    # Places of each (passage, word), in order.
-    key = passage * len(part.size) + ids[place]
-    order = np.argsort(key, kind="stable")
-    key, place = key[order], place[order]
-    run_first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    run_count = np.diff(np.append(run_first, len(key)))
-    run_passage, run_term = np.divmod(key[run_first], len(part.size))
-
-    row, block = _gather(part.first[run_term], part.size[run_term])
-    cell = run_passage[row] * groups + part.block_group[block]
-    alive = np.zeros(passages * groups, dtype=bool)
-    alive[cell[part.block_pivotal[block]]] = True
-    keep = alive[cell]
-    row, block, cell = row[keep], block[keep], cell[keep]
-    bound = np.bincount(cell, weights=part.block_max[block], minlength=passages * groups).reshape(passages, groups)
-    alive &= (bound >= part.group_threshold[None, :] * (1 - 1e-9)).ravel()
-    keep = alive[cell]
-    r, entry = _gather(part.block_from[block[keep]], part.block_size[block[keep]])
-    run = row[keep][r]
-    cell = run_passage[run] * n + part.item[entry]
-    there = np.minimum(run_count[run], part.times[entry])
-    score = np.bincount(cell, weights=there * part.unit[entry], minlength=passages * n).reshape(passages, n)
-    held = np.bincount(cell, weights=there, minlength=passages * n).reshape(passages, n)
-    good = ((score >= part.threshold[None, :] * (1 - 1e-9)) & (held >= part.need[None, :])).ravel()
-    pairs = np.flatnonzero(good)
-    if not len(pairs):
+    # Halves: the texts' pieces of `reach` words that hold any of the block's words; a passage is two neighbours.
+    half = (place - starts[text]) // reach
+    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (half[1:] != half[:-1])]))
+    begin, end = new, np.append(new[1:], len(place))
+    owner, half = text[new], half[new]
+    follows = np.concatenate([(owner[1:] == owner[:-1]) & (half[1:] == half[:-1] + 1), [False]])
+    # A stretch whose words all stand in a half that follows an empty one begins there.
+    number = np.repeat(np.arange(len(new)), end - begin)
+    counts = np.bincount(number * len(block.terms) + local, minlength=len(new) * len(block.terms)).reshape(len(new), -1)
+    counts[:-1] += counts[1:] * follows[:-1, None]
+    rows = np.flatnonzero(counts[:, block.pivotal].any(axis=1))
+    there = (counts[rows][:, block.column_term] >= block.column_level).astype(np.float32)
+    alive = there @ block.column_max >= block.threshold.min() * SLACK
+    if not alive.any():
         return set()
-    keep = good[cell]
-    run, entry, pair = run[keep], entry[keep], np.searchsorted(pairs, cell[keep])
-    order = np.argsort(pair, kind="stable")
-    run, entry, pair = run[order], entry[order], pair[order]
-    text = np.searchsorted(base, pairs // n, side="right") - 1
-    origin = starts[text] + (pairs // n - base[text]) * hop
-    out: set[tuple[int, int]] = set()
-    step = max(1, CELLS // (hop + 1))
-    for a in range(0, len(pairs), step):
-        x, y = np.searchsorted(pair, [a, a + step])
-        # Where the words of each pair stand: (pair, place in its passage, entry).
-        r, at = _gather(run_first[run[x:y]], run_count[run[x:y]])
-        e, p = entry[x:y][r], pair[x:y][r] - a
-        zero, times = origin[a : a + step][p], part.times[e]
-        before = at - times
-        last = np.where(before >= run_first[run[x:y]][r], place[np.maximum(before, 0)] - zero, -1)
-        for k in _stretches(p, place[at] - zero, last, e, pairs[a : a + step] % n, part):
-            out.add((int(text[a + k]), int(part.members[pairs[a + k] % n])))
-    return out
-
-
-def _stretches(pair: np.ndarray, place: np.ndarray, last: np.ndarray, entry: np.ndarray, item: np.ndarray, part: Part) -> np.ndarray:
-    """The pairs with a stretch that holds SHARE of the item's words in order.
-
-    For every start in the passage the item's words in its stretch are counted in any order, each as
-    often as the item has it (place: where a word stands, last: where it stood that many times before).
-    Neighbouring starts with enough words are tried together: where the common subsequence of all
-    their words falls short, so does that of each; else they are halved, down to single starts.
-    """
-    n, width, wide = len(item), part.hop + 1, 2 * part.hop + 2 * part.reach
-    cell = pair * width
-    high = np.minimum(place, part.hop - 1) + 1
-    low = np.minimum(np.maximum(np.maximum(last, place - part.stretch[item][pair]) + 1, 0), high)
-    change = np.bincount(cell + low, minlength=n * width) - np.bincount(cell + high, minlength=n * width)
-    enough = np.cumsum(change.reshape(n, width), axis=1, dtype=np.int32) >= part.need[item][:, None]
-    begins = np.zeros(n * width, dtype=bool)
-    begins[cell + np.minimum(place, part.hop)] = True
-    begins[part.hop :: width] = False
-    start = np.flatnonzero(enough.ravel() & begins)
-    if not len(start):
-        return start
-    owner, start = np.divmod(start, width)
-    lot = owner * width + start // np.maximum(1, part.stretch[item[owner]] // 8)
-    edge = np.flatnonzero(np.concatenate([[True], lot[1:] != lot[:-1]]))
-    owner, a, b = owner[edge], start[edge], start[np.append(edge[1:], len(start)) - 1]
-
-    some = np.zeros(n, dtype=bool)
-    some[owner] = True
-    some = some[pair]
-    key = pair[some] * wide + place[some]
-    order = np.argsort(key)
-    key, entry = key[order], entry[some][order]
-    found = np.zeros(n, dtype=bool)
-    while len(owner):
-        first = np.searchsorted(key, owner * wide + a)
-        end = np.searchsorted(key, owner * wide + b + part.stretch[item[owner]])
-        ok = common(entry, first, end, item[owner], part) >= part.need[item[owner]]
-        found[owner[ok & (a == b)]] = True
-        ok &= ~found[owner]
-        owner, a, b = owner[ok], a[ok], b[ok]
+    weights, presence, masks = block.tables()
+    there, rows = there[alive], rows[alive]
+    good = (there @ weights >= block.threshold * SLACK) & (there @ presence >= block.need - 0.5)
+    alive = good.any(axis=1)
+    good, rows = good[alive], rows[alive]
+    if not len(rows):
+        return set()
+    last = np.where(follows[rows], end[np.minimum(rows + 1, len(end) - 1)], end[rows])
+    good &= common(local, begin[rows], last, masks, None) >= block.need
+    row, item = np.nonzero(good)
+    origin, close = starts[owner[rows]] + half[rows] * reach, starts[owner[rows] + 1]
+    a, b = np.zeros(len(row), dtype=np.int64), np.full(len(row), reach - 1)
+    found = np.zeros(good.shape, dtype=bool)
+    while len(row):
+        # The stretch that begins in the middle, and the starts on either side of it.
         middle = (a + b) // 2
-        owner, a, b = np.concatenate([owner, owner]), np.concatenate([a, middle + 1]), np.concatenate([middle, b])
-    return np.flatnonzero(found)
-
-
-def common(entry: np.ndarray, first: np.ndarray, end: np.ndarray, item: np.ndarray, part: Part) -> np.ndarray:
-    """Lengths of the longest common subsequences of items with sequences of their words.
-
-    Sequence i is entry[first[i] : end[i]], entries of item[i]. The bit-parallel recurrence, a bit per
-    word of the item in 64-bit limbs with carries, for all sequences at once.
+        hit = _shared(place, local, origin[row] + middle, origin[row] + middle, close[row], item, block, masks)
+        found[row[hit], item[hit]] = True
+        row, item = np.concatenate([row, row]), np.concatenate([item, item])
+        a, b = np.concatenate([a, middle + 1]), np.concatenate([middle - 1, b])
+        keep = np.flatnonzero((a <= b) & ~found[row, item])
+        row, item, a, b = row[keep], item[keep], a[keep], b[keep]
+        keep = _shared(place, local, origin[row] + a, origin[row] + b, close[row], item, block, masks)
+        row, item, a, b = row[keep], item[keep], a[keep], b[keep]
+    row, item = np.nonzero(found)
+    return {(at + t, d) for t, d in zip(owner[rows[row]].tolist(), block.members[item].tolist())}
+
+
+def _shared(place, local, first, final, close, item, block: Block, masks) -> np.ndarray:
+    """Whether the words from place `first` to where a stretch from `final` ends share enough with the item."""
+    x = np.searchsorted(place, first)
+    y = np.searchsorted(place, np.minimum(final + block.stretch[item], close))
+    return common(local, x, y, masks, item) >= block.need[item]
+
+
+def common(local: np.ndarray, first: np.ndarray, end: np.ndarray, masks: list[np.ndarray], item: np.ndarray | None) -> np.ndarray:
+    """Lengths of the longest common subsequences of the sequences local[first[i] : end[i]] with item[i], or, without
+    item, with all items of the block.
+
+    The bit-parallel recurrence, a bit per word of the item in 64-bit limbs with carries, for all
+    sequences at once.
     """
-    out = np.zeros(len(item), dtype=np.int64)
-    limbs = part.limbs[item]
-    for k in np.unique(limbs).tolist():
-        rows = np.flatnonzero(limbs == k)
-        rows = rows[np.argsort(first[rows] - end[rows], kind="stable")]
-        begin, size = first[rows], (end - first)[rows]
-        free = [np.full(len(rows), 2**64 - 1, dtype=np.uint64) for _ in range(k)]
-        live = len(rows)
-        for j in range(int(size[0])):
-            while size[live - 1] <= j:
-                live -= 1
-            at = part.mask_at[entry[begin[:live] + j]]
-            carry = np.zeros(live, dtype=np.uint64)
-            for q in range(k):
-                v = free[q][:live]
-                m = part.mask[at + q]
-                u = v & m
-                s = v + u
-                t = s + carry
-                carry = ((s < v) | (t < s)).astype(np.uint64)
-                free[q][:live] = t | (v & ~m)
-        out[rows] = 64 * k - sum(np.bitwise_count(f).astype(np.int64) for f in free)
+    size = end - first
+    order = np.argsort(-size, kind="stable")
+    begin, size = first[order], size[order]
+    shape = (len(first),) if item is not None else (len(first), masks[0].shape[1])
+    out = np.zeros(shape, dtype=np.int64)
+    if not len(first):
+        return out
+    if item is not None:
+        item = item[order]
+    free = [np.full(shape, 2**64 - 1, dtype=np.uint64) for _ in masks]
+    live = len(first)
+    for j in range(int(size[0])):
+        while size[live - 1] <= j:
+            live -= 1
+        t = local[begin[:live] + j]
+        carry = None
+        for q, mask in enumerate(masks):
+            v = free[q][:live]
+            u = mask[t] if item is None else mask[t, item[:live]]
+            u &= v
+            s = v + u
+            if q + 1 == len(masks):
+                over = None
+            else:
+                over = s < v
+            if carry is not None:
+                s += carry
+                if over is not None:
+                    over |= s < carry
+            carry = None if over is None else over.astype(np.uint64)
+            # The bits outside the mask stay as they were.
+            np.bitwise_xor(u, v, out=u)
+            np.bitwise_or(s, u, out=v)
+    out[order] = 64 * len(masks) - sum(np.bitwise_count(f).astype(np.int64) for f in free)
     return out
 
 
@@ -437,10 +433,7 @@ def leaks(texts: list[str], index: Index) -> list[tuple[int, int]]:
 
 def _leaks(texts: list[list[str]], index: Index) -> list[tuple[int, int]]:
     ids, starts = flatten(texts, index)
-    out = runs(ids, starts, index)
-    for part in index.parts:
-        out |= sharing(ids, starts, part)
-    return sorted(out)
+    return sorted(runs(ids, starts, index) | sharing(ids, starts, index))
 
 
 def holds(text: list[str], part: list[str]) -> bool:

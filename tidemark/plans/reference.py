@@ -320,8 +320,9 @@ def metrics_anomaly_score(spark: SparkSession, d: str) -> DataFrame:
     """Score and flag of each stored metric of the last days against its series' whole history."""
     out = scoring.stored_scores(table(spark, d, "data_monitoring_metrics"), CTX)
     series = ["id", "full_table_name", "column_name", "dimension", "dimension_value", "metric_name"]
-    training = ["training_avg", "training_stddev", "training_start", "training_end", "training_set_size"]
-    return out.select(*series, "anomaly_score", F.col("metric_value").alias("latest_metric_value"), "bucket_start", "bucket_end", *training, "updated_at", "is_anomaly")
+    shown = lambda c: (F.round(F.col(c) + 1e-7, 3) + 0.0).alias(c)  # noqa: E731  digits that both ways of summing agree on
+    training = [shown("training_avg"), shown("training_stddev"), "training_start", "training_end", "training_set_size"]
+    return out.select(*series, shown("anomaly_score"), F.col("metric_value").alias("latest_metric_value"), "bucket_start", "bucket_end", *training, "updated_at", "is_anomaly")
 
 
 def monitors_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -687,11 +688,17 @@ UNION ALL SELECT c, 'unknown_values', 'null_count', CAST(n AS DOUBLE), e FROM (
   FROM events WHERE ts >= TIMESTAMP '2024-01-17 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00' GROUP BY 1)""",
     "metrics_dedup": "SELECT id, max(updated_at) updated_at FROM data_monitoring_metrics WHERE id IS NOT NULL GROUP BY id",
     "metrics_anomaly_score": """
-WITH r AS (SELECT * FROM data_monitoring_metrics WHERE bucket_start IS NOT NULL AND bucket_end >= TIMESTAMP '2024-01-24 00:00:00'),
-w AS (SELECT *, avg(metric_value) OVER f a, count(metric_value) OVER f n FROM r
-  WINDOW f AS (PARTITION BY metric_name, full_table_name, column_name ORDER BY bucket_start NULLS FIRST, id NULLS FIRST, updated_at NULLS FIRST, metric_value NULLS FIRST ROWS UNBOUNDED PRECEDING))
-SELECT full_table_name, column_name, metric_name, count(*) scored, max(n) training_set_size, round(max(a) + 1e-7, 3) top_average
-FROM w WHERE metric_value IS NOT NULL AND a IS NOT NULL GROUP BY 1, 2, 3""",
+WITH r AS (SELECT DISTINCT id, full_table_name, column_name, dimension, dimension_value, metric_name, metric_value, source_value,
+    bucket_start, bucket_end, bucket_duration_hours, updated_at FROM data_monitoring_metrics),
+w AS (SELECT *, avg(metric_value) OVER f a, stddev_samp(metric_value) OVER f s0, count(metric_value) OVER f n, first_value(bucket_end) OVER f b
+  FROM r WINDOW f AS (PARTITION BY metric_name, full_table_name, column_name
+    ORDER BY bucket_start NULLS FIRST, id NULLS FIRST, updated_at NULLS FIRST, metric_value NULLS FIRST ROWS UNBOUNDED PRECEDING)),
+x AS (SELECT *, CASE WHEN s0 < 1e-9 * abs(a) THEN 0 ELSE s0 END s FROM w
+  WHERE metric_value IS NOT NULL AND a IS NOT NULL AND bucket_end >= TIMESTAMP '2024-01-24 00:00:00'),
+y AS (SELECT *, CASE WHEN s IS NULL OR n = 1 THEN NULL WHEN s = 0 THEN 0 ELSE (metric_value - a) / s END z FROM x)
+SELECT id, full_table_name, column_name, dimension, dimension_value, metric_name, round(z + 1e-7, 3) + 0 anomaly_score, metric_value latest_metric_value,
+  bucket_start, bucket_end, round(a + 1e-7, 3) + 0 training_avg, round(s + 1e-7, 3) + 0 training_stddev, b training_start, bucket_end training_end,
+  n training_set_size, updated_at, coalesce(abs(z) > 3, FALSE) is_anomaly FROM y""",
     "monitors_runs": "SELECT full_table_name, column_name, metric_name, metric_properties, max(bucket_end) last_bucket_end, min(bucket_end) first_bucket_end FROM data_monitoring_metrics GROUP BY 1, 2, 3, 4",
     "stream_volume": """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) bucket_start, CAST(date_trunc('day', ts) AS TIMESTAMP) + INTERVAL 1 DAY bucket_end,
   event_type dimension_value, CAST(count(*) AS DOUBLE) metric_value FROM events GROUP BY 1, 2, 3""",

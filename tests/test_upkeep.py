@@ -1,5 +1,6 @@
 """The general upkeep operators: edge cases of each, and known results on small tables."""
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -78,6 +79,56 @@ def test_orphan_ledger_in_batches_equals_at_once(spark):
     assert rows(step) == rows(whole) == [("t", "a", hours(1), 2, 0)]
 
 
+def test_key_that_goes_and_comes_again(spark):
+    spans = spark.createDataFrame([("t", "a", hours(24), hours(48)), ("t", "a", hours(192), hours(216)), ("t", "b", None, hours(3))], "target string, key string, first timestamp_ntz, last timestamp_ntz")
+    refs = spark.createDataFrame([("t", "a", hours(h), 1) for h in (1, 30, 120, 200, 300)] + [("t", "b", hours(2), 1), ("t", "b", hours(1000), 1)], "target string, key string, at timestamp_ntz, delta int")
+    none = refs.limit(0)
+    one = orphans.apply_deltas(None, refs, orphans.existence_deltas(spans))
+    two = orphans.apply_deltas(orphans.apply_deltas(None, none, orphans.existence_deltas(spans.filter("first IS NULL OR last < TIMESTAMP '2024-01-05'"))), refs, orphans.existence_deltas(spans.filter("last > TIMESTAMP '2024-01-05'")))
+    want = [("t", "a", hours(1), 1, True), ("t", "a", hours(120), 1, True), ("t", "a", hours(300), 1, True), ("t", "b", hours(1000), 1, True)]
+    assert set(rows(orphans.orphans(one))) == set(rows(orphans.orphans(two))) == set(want)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_ledger_does_not_depend_on_batches(spark, seed):
+    rng = random.Random(seed)
+    keys = "abcd"
+    refs = [("t", rng.choice(keys), rng.choice([None, hours(rng.randrange(2000))]), rng.choice([1, 1, -1])) for _ in range(80)]
+    spans = []
+    for _ in range(30):
+        first = rng.randrange(2000)
+        spans.append(("t", rng.choice(keys), hours(first), rng.choice([None, hours(first + rng.randrange(300))]), rng.choice([1, 1, -1])))
+    ref_shape, span_shape = "target string, key string, at timestamp_ntz, delta int", "target string, key string, first timestamp_ntz, last timestamp_ntz, sign int"
+
+    def ledger(parts):
+        state = None
+        for k in range(parts):
+            r = spark.createDataFrame([x for i, x in enumerate(refs) if i % parts == k], ref_shape)
+            s = spark.createDataFrame([x for i, x in enumerate(spans) if (i * 7) % parts == k], span_shape)
+            new = orphans.existence_deltas(s.filter("sign > 0")).unionByName(orphans.existence_deltas(s.filter("sign < 0"), -1))
+            state = orphans.apply_deltas(state, orphans.reference_deltas(r), new)
+        return state
+
+    whole, parts = ledger(1), ledger(3)
+    assert rows(whole) == rows(parts)
+    counts, moves = {}, []
+    for _, key, at, n in refs:
+        counts[key, at] = counts.get((key, at), 0) + n
+    for _, key, first, last, sign in spans:
+        moves += [(key, first, sign)] + ([(key, last + timedelta(microseconds=1), -sign)] if last else [])
+    net = {}
+    for key, at, n in moves:
+        net[key, at] = net.get((key, at), 0) + n
+    ever = {k for (k, _), n in net.items() if n > 0}
+    alive = lambda key, at: key in ever if at is None else sum(n for (k, t), n in net.items() if k == key and t <= at) > 0
+    want = {(key, at, n) for (key, at), n in counts.items() if n > 0 and not alive(key, at)}
+    assert {(r["key"], r["at"], r["refs"]) for r in orphans.orphans(parts).collect()} == want
+    now = hours(1000)
+    sums = {k: sum(n for (x, at), n in counts.items() if x == k and (at is None or at <= now)) for k in keys}
+    want = {(k, n) for k, n in sums.items() if n > 0 and not alive(k, now)}
+    assert {(r["key"], r["refs"]) for r in orphans.current_orphans(whole, F.lit(now).cast("timestamp_ntz")).collect()} == want
+
+
 # hierarchy
 
 

@@ -31,8 +31,7 @@ def observations(df: DataFrame, key: Column, at: Column, attributes: dict[str, C
 
 
 def ordered_states(seen: DataFrame, names: list[str], chunk: str = "MONTH") -> DataFrame:
-    """Observations numbered within their key, with nulls replaced by the last known value; an observation
-    that says nothing new against the one before it in its chunk is left out.
+    """(key, at, seq, *names): observations numbered within their key, with nulls replaced by the last known value.
 
     Done in two levels, so that a key with very many rows is not sorted in one task: rows are ordered
     within (key, calendar chunk), and only the chunks' summaries are ordered within the key.
@@ -41,16 +40,12 @@ def ordered_states(seen: DataFrame, names: list[str], chunk: str = "MONTH") -> D
     part = ["key", "chunk"]
     order = W.partitionBy(*part).orderBy("at", *[F.col(n).asc_nulls_first() for n in names])
     so_far = order.rowsBetween(W.unboundedPreceding, 0)
-    filled = seen.withColumn("chunk", F.date_trunc(chunk, "at").cast("timestamp_ntz")).select(
+    # The filter is always true; said here, both uses of the windows below are one plan and are computed once.
+    chunked = seen.withColumn("chunk", F.date_trunc(chunk, "at").cast("timestamp_ntz")).filter("key IS NOT NULL AND chunk IS NOT NULL")
+    filled = chunked.select(
         *part, "at", F.row_number().over(order).alias("place"), *[F.last(n, ignorenulls=True).over(so_far).alias(n) for n in names]
     )
-    # What only repeats the row before it in its chunk goes no further.
-    placed = W.partitionBy(*part).orderBy("place")
-    repeats = F.lit(True)
-    for n in names:
-        repeats = repeats & F.col(n).eqNullSafe(F.lag(n).over(placed))
-    kept = filled.withColumn("repeats", repeats).where("place = 1 OR NOT repeats").drop("repeats")
-    summary = kept.groupBy(*part).agg(
+    summary = filled.groupBy(*part).agg(
         F.count(F.lit(1)).alias("n"), *[F.max_by(n, F.when(F.col(n).isNotNull(), F.col("place"))).alias(f"last_{n}") for n in names]
     )
     before = W.partitionBy("key").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
@@ -60,20 +55,16 @@ def ordered_states(seen: DataFrame, names: list[str], chunk: str = "MONTH") -> D
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
         *[F.last(f"last_{n}", ignorenulls=True).over(before).alias(f"carry_{n}") for n in names],
     )
-    joined = kept.join(carried, (F.col("key") == F.col("_key")) & (F.col("chunk") == F.col("_chunk")))
-    return joined.select(
-        "key",
-        "at",
-        (F.col("offset") + F.row_number().over(placed)).alias("seq"),
-        *[F.coalesce(n, f"carry_{n}").alias(n) for n in names],
-    )
+    joined = filled.join(carried.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("chunk") == F.col("_chunk")))
+    return joined.select("key", "at", (F.col("offset") + F.col("place")).alias("seq"), *[F.coalesce(n, f"carry_{n}").alias(n) for n in names])
 
 
 def change_events(states: DataFrame, names: list[str], as_of: Column | None = None) -> DataFrame:
     """(key, seq, at, change, *names): inserted, changed and deleted, by a null-safe full outer join of
     each state with the one before it (key and number, so that a hot key is spread over all tasks).
 
-    A key is 'deleted' at its last state if that lies before `as_of`; without as_of no key is.
+    A key is 'deleted' at its last state if that lies before `as_of`; without as_of no key is. What the
+    join finds equal to the state before is no event. Pass states that were cut(), as both sides read them.
     """
     now = states.select(*[F.col(c).alias(f"n_{c}") for c in states.columns])
     was = states.select(*[F.col(c).alias(f"w_{c}") for c in states.columns]).withColumn("w_seq", F.col("w_seq") + 1)
@@ -118,6 +109,12 @@ def versions(events: DataFrame, names: list[str], chunk: str = "MONTH") -> DataF
     )
 
 
+def attribute_events(df: DataFrame, key: Column, at: Column, attributes: dict[str, Column], as_of: Column | None = None) -> DataFrame:
+    """(key, seq, at, change, *attributes) of all changes; rows and nulls as in attribute_history()."""
+    names = list(attributes)
+    return change_events(cut(ordered_states(observations(df, key, at, attributes), names)), names, as_of)
+
+
 def attribute_history(df: DataFrame, key: Column, at: Column, attributes: dict[str, Column]) -> DataFrame:
     """(key, *attributes, valid_from, valid_to) of every version of every key.
 
@@ -126,6 +123,4 @@ def attribute_history(df: DataFrame, key: Column, at: Column, attributes: dict[s
     before, and ends where the next begins (valid_to null for the last). Rows without key or instant
     are left out; an empty table gives an empty result; other columns of df do not matter.
     """
-    names = list(attributes)
-    states = cut(ordered_states(observations(df, key, at, attributes), names))
-    return versions(change_events(states, names), names)
+    return versions(attribute_events(df, key, at, attributes), list(attributes))

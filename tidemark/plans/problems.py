@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text_time import clean_id, instant_text, utc_instant
 from tidemark.operators import hierarchy, history, once, orphans, regular_grid, snapshot_diff, spikes
-from tidemark.session import table
+from tidemark.session import cut, table
 
 SERIES = ["full_table_name", "column_name", "metric_name", "dimension_value"]
 
@@ -105,33 +105,30 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def _ledger(spark: SparkSession, d: str, references: DataFrame) -> DataFrame:
-    """Reference and existence counts; records count from some time before they came and, for models, after."""
-    invocations = table(spark, d, "dbt_invocations").select(
+def _existence(spark: SparkSession, d: str) -> DataFrame:
+    """(target, key, first, last): the one span in which a key counts as existing. Invocations count from a day before they
+    came, for good; models from 14 days before their first to 14 days after their last upload."""
+    invocations = table(spark, d, "dbt_invocations").select(clean_id("invocation_id").alias("key"), "created_at")
+    came = invocations.groupBy("key").agg(F.min("created_at").alias("came")).select(
         F.lit("invocation_id").alias("target"),
-        clean_id("invocation_id").alias("key"),
-        F.expr("created_at - INTERVAL 1 DAY").cast("timestamp_ntz").alias("first"),
+        "key",
+        F.expr("came - INTERVAL 1 DAY").cast("timestamp_ntz").alias("first"),
         F.lit(None).cast("timestamp_ntz").alias("last"),
     )
-    seen = utc_instant("generated_at")
-    models = table(spark, d, "dbt_models").select(
-        F.lit("unique_id").alias("target"),
-        clean_id("unique_id").alias("key"),
-        (seen - F.expr("INTERVAL 14 DAY")).alias("first"),
-        (seen + F.expr("INTERVAL 14 DAY")).alias("last"),
-    )
-    refs = references.select(F.col("field").alias("target"), "key", "at", F.lit(1).alias("delta"))
-    return orphans.apply_deltas(
-        None,
-        orphans.reference_deltas(refs),
-        orphans.existence_deltas(invocations).unionByName(orphans.existence_deltas(models.filter("first IS NOT NULL"))),
+    models = table(spark, d, "dbt_models").select(clean_id("unique_id").alias("key"), utc_instant("generated_at").alias("seen"))
+    known = models.filter("seen IS NOT NULL").groupBy("key").agg(F.min("seen").alias("a"), F.max("seen").alias("b")).select(
+        F.lit("unique_id").alias("target"), "key", F.expr("a - INTERVAL 14 DAY").alias("first"), F.expr("b + INTERVAL 14 DAY").alias("last")
     )
+    return came.unionByName(known)
 
 
 def _broken(spark: SparkSession, d: str) -> DataFrame:
     """(message, at, field, key, seen) of the broken references."""
-    references = _messages(spark, d)
-    lost = orphans.orphans(_ledger(spark, d, references)).select(
+    # The messages feed the ledger and are looked up again for the orphans: one scan, and one join.
+    references = cut(_messages(spark, d))
+    deltas = orphans.reference_deltas(references.select(F.col("field").alias("target"), "key", "at", F.lit(1).alias("delta")))
+    ledger = orphans.apply_deltas(None, deltas, orphans.existence_deltas(_existence(spark, d)))
+    lost = orphans.orphans(ledger).select(
         F.col("target").alias("_target"), F.col("key").alias("_key"), F.col("at").alias("_at"), "seen"
     )
     on = (
@@ -144,6 +141,42 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return _broken(spark, d).select(F.col("message").alias("model_execution_id"), F.col("field").alias("ref_field")).distinct()
 
 
+def p2_current(spark: SparkSession, d: str) -> DataFrame:
+    """The orphan report after a second batch of deltas: keys that results refer to and that no longer, or never, exist.
+
+    The first batch are results delivered before 2024-01-15 with all models and invocations. The second brings
+    the later results and withdraws the models whose last upload is older than 14 days before the newest one,
+    the invocations without a start, and the references of results that were skipped.
+    """
+    split = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    rows = table(spark, d, "dbt_run_results")
+    pairs = F.array(
+        F.struct(F.lit("unique_id").alias("target"), F.when(clean_id("unique_id").startswith("model."), clean_id("unique_id")).alias("key")),
+        F.struct(F.lit("invocation_id").alias("target"), clean_id("invocation_id").alias("key")),
+    )
+    refs = rows.select("created_at", "status", F.explode(pairs).alias("r")).select("created_at", "status", "r.*", F.lit(None).cast("timestamp_ntz").alias("at"))
+    early, late = refs.filter(F.col("created_at") < split), refs.filter(F.col("created_at") >= split)
+    plus, minus = F.lit(1).alias("delta"), F.lit(-1).alias("delta")
+
+    seen = table(spark, d, "dbt_models").select(clean_id("unique_id").alias("key"), utc_instant("generated_at").alias("seen"))
+    last = seen.filter("seen IS NOT NULL").groupBy("key").agg(F.max("seen").alias("last_seen"))
+    newest = last.agg(F.max("last_seen").alias("newest"))
+    models = last.select(F.lit("unique_id").alias("target"), "key", F.lit(None).cast("timestamp_ntz").alias("at"), "last_seen")
+    gone = models.join(F.broadcast(newest), F.col("last_seen") < F.expr("newest - INTERVAL 14 DAY"))
+    runs = table(spark, d, "dbt_invocations").groupBy(clean_id("invocation_id").alias("key")).agg(F.max("run_started_at").alias("started"))
+    runs = runs.select(F.lit("invocation_id").alias("target"), "key", F.lit(None).cast("timestamp_ntz").alias("at"), "started")
+
+    cols = [*orphans.LEDGER, "delta"]
+    every = models.select("target", "key", "at", plus).unionByName(runs.select("target", "key", "at", plus)).filter("key <> ''")
+    less = gone.select("target", "key").unionByName(runs.filter("started IS NULL").select("target", "key")).filter("key <> ''")
+    less = less.select("target", "key", split.alias("at"), minus)
+    before = orphans.apply_deltas(None, orphans.reference_deltas(early.select("target", "key", "at", plus)), every.select(*cols))
+    withdrawn = refs.filter("status = 'skipped' AND created_at IS NOT NULL").select("target", "key", "at", minus)
+    more = orphans.reference_deltas(late.select("target", "key", "at", plus).unionByName(withdrawn))
+    found = orphans.current_orphans(orphans.apply_deltas(before, more, less.select(*cols)))
+    return found.select(F.col("target").alias("ref_field"), "key", F.col("refs").cast("bigint").alias("references"), F.col("seen").alias("existed"))
+
+
 def p2_report(spark: SparkSession, d: str) -> DataFrame:
     """Broken references per referenced table and month of the message's earliest generated_at."""
     target = F.when(F.col("field") == "unique_id", "dbt_models").otherwise("dbt_invocations")
@@ -185,6 +218,21 @@ P2_REPORT_SQL = (
   CAST(sum(CASE WHEN seen THEN 0 ELSE 1 END) AS BIGINT) never_existed FROM bad GROUP BY 1, 2"""
 )
 
+P2_CURRENT_SQL = f"""
+WITH r AS (
+  SELECT lower(regexp_replace(unique_id, '^\\s+|\\s+$', '', 'g')) u, lower(regexp_replace(invocation_id, '^\\s+|\\s+$', '', 'g')) i
+  FROM dbt_run_results WHERE created_at IS NOT NULL AND status IS DISTINCT FROM 'skipped'),
+ref AS (SELECT 'unique_id' f, u k, count(*) n FROM r WHERE starts_with(u, 'model.') GROUP BY 2
+        UNION ALL SELECT 'invocation_id', i, count(*) FROM r WHERE i <> '' GROUP BY 2),
+mo AS (SELECT lower(regexp_replace(unique_id, '^\\s+|\\s+$', '', 'g')) k, max({_SQL_TIME.format('trim(generated_at)')}) b
+       FROM dbt_models GROUP BY 1 HAVING b IS NOT NULL),
+inv AS (SELECT lower(regexp_replace(invocation_id, '^\\s+|\\s+$', '', 'g')) k, max(run_started_at) b FROM dbt_invocations GROUP BY 1),
+ex AS (SELECT 'unique_id' f, k, b >= (SELECT max(b) FROM mo) - INTERVAL 14 DAY there FROM mo
+       UNION ALL SELECT 'invocation_id', k, b IS NOT NULL FROM inv)
+SELECT ref.f ref_field, ref.k "key", ref.n "references", ex.k IS NOT NULL existed
+FROM ref LEFT JOIN ex ON ref.f = ex.f AND ref.k = ex.k WHERE NOT coalesce(ex.there, false)
+"""
+
 
 # 3. Messages delivered more than once
 
@@ -317,15 +365,18 @@ UNION ALL SELECT u, 'cycle', CAST(-1 AS BIGINT) FROM bad"""
 # 6. History of changing entity attributes
 
 
+def _p6(spark: SparkSession, d: str) -> dict:
+    return {
+        "df": table(spark, d, "dbt_models"),
+        "key": clean_id("unique_id"),
+        "at": utc_instant("generated_at"),
+        "attributes": {"checksum": F.lower(F.trim("checksum")), "owner": history.name_set(F.col("owner"))},
+    }
+
+
 def p6_history(spark: SparkSession, d: str) -> DataFrame:
     """Every version of every model with its checksum and owners."""
-    found = history.attribute_history(
-        table(spark, d, "dbt_models"),
-        key=clean_id("unique_id"),
-        at=utc_instant("generated_at"),
-        attributes={"checksum": F.lower(F.trim("checksum")), "owner": history.name_set(F.col("owner"))},
-    )
-    return found.select(
+    return history.attribute_history(**_p6(spark, d)).select(
         F.col("key").alias("unique_id"),
         "checksum",
         "owner",
@@ -334,26 +385,41 @@ def p6_history(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p6_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Inserted, changed and deleted models; one is deleted if it was last seen 14 days before the newest upload."""
+    newest = table(spark, d, "dbt_models").agg(F.max(utc_instant("generated_at"))).first()[0]
+    as_of = F.lit(newest).cast("timestamp_ntz") - F.expr("INTERVAL 14 DAY")
+    found = history.attribute_events(**_p6(spark, d), as_of=as_of)
+    return found.select(F.col("key").alias("unique_id"), "change", instant_text("at").alias("at"), "checksum", "owner")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_history(spark, d).select("unique_id", "valid_from", "valid_to")
 
 
-P6_FOUND_SQL = f"""
+_P6_CTES = f"""
 WITH o AS (
   SELECT DISTINCT lower(trim(unique_id)) u, {_SQL_TIME.format('trim(generated_at)')} g, lower(trim(checksum)) c,
-    CASE WHEN owner IS NOT NULL THEN list_sort(list_distinct(list_filter(list_transform(
-      CAST(from_json(owner, '["VARCHAR"]') AS VARCHAR[]), lambda x: lower(trim(x))), lambda x: x <> ''))) END w
+    CASE WHEN owner IS NOT NULL THEN CAST(to_json(list_sort(list_distinct(list_filter(list_transform(
+      CAST(from_json(owner, '["VARCHAR"]') AS VARCHAR[]), lambda x: lower(trim(x))), lambda x: x <> '')))) AS VARCHAR) END w
   FROM dbt_models),
-f AS (SELECT u, g, last_value(c IGNORE NULLS) OVER b c, CAST(last_value(w IGNORE NULLS) OVER b AS VARCHAR) w,
+f AS (SELECT u, g, last_value(c IGNORE NULLS) OVER b c, last_value(w IGNORE NULLS) OVER b w,
         row_number() OVER (PARTITION BY u ORDER BY g, c NULLS FIRST, w NULLS FIRST) n
       FROM o WHERE u IS NOT NULL AND g IS NOT NULL
       WINDOW b AS (PARTITION BY u ORDER BY g, c NULLS FIRST, w NULLS FIRST ROWS UNBOUNDED PRECEDING)),
-l AS (SELECT *, lag(c) OVER k lc, lag(w) OVER k lw, n = 1 OR c IS DISTINCT FROM lag(c) OVER k OR w IS DISTINCT FROM lag(w) OVER k new
-      FROM f WINDOW k AS (PARTITION BY u ORDER BY n))
-SELECT u unique_id, strftime(g, '%Y-%m-%d %H:%M:%S') valid_from,
-       coalesce(strftime(lead(g) OVER (PARTITION BY u ORDER BY n), '%Y-%m-%d %H:%M:%S'), '') valid_to
-FROM l WHERE new
+l AS (SELECT *, n = 1 OR c IS DISTINCT FROM lag(c) OVER k OR w IS DISTINCT FROM lag(w) OVER k new, n = max(n) OVER (PARTITION BY u) last
+      FROM f WINDOW k AS (PARTITION BY u ORDER BY n)),
+v AS (SELECT u unique_id, c checksum, w owner, strftime(g, '%Y-%m-%d %H:%M:%S') valid_from,
+        coalesce(strftime(lead(g) OVER (PARTITION BY u ORDER BY n), '%Y-%m-%d %H:%M:%S'), '') valid_to
+      FROM l WHERE new)
 """
+P6_FOUND_SQL = _P6_CTES + "SELECT unique_id, valid_from, valid_to FROM v"
+P6_HISTORY_SQL = _P6_CTES + "SELECT * FROM v"
+P6_CHANGES_SQL = (
+    _P6_CTES
+    + """SELECT u unique_id, CASE WHEN n = 1 THEN 'inserted' ELSE 'changed' END "change", strftime(g, '%Y-%m-%d %H:%M:%S') "at", c checksum, w "owner" FROM l WHERE new
+UNION ALL SELECT u, 'deleted', strftime(g, '%Y-%m-%d %H:%M:%S'), c, w FROM l WHERE last AND g < (SELECT max(g) FROM l) - INTERVAL 14 DAY"""
+)
 
 
 # 7. What changed between full snapshots
@@ -396,6 +462,7 @@ QUERIES = {
     "p1_grid": p1_grid,
     "p2_found": p2_found,
     "p2_report": p2_report,
+    "p2_current": p2_current,
     "p3_found": p3_found,
     "p3_kept": p3_kept,
     "p3_new": p3_new,
@@ -406,16 +473,20 @@ QUERIES = {
     "p5_descendants": p5_descendants,
     "p6_found": p6_found,
     "p6_history": p6_history,
+    "p6_changes": p6_changes,
     "p7_found": p7_found,
 }
 ORACLES = {
     "p1_found": P1_FOUND_SQL,
     "p2_found": P2_FOUND_SQL,
     "p2_report": P2_REPORT_SQL,
+    "p2_current": P2_CURRENT_SQL,
     "p3_found": P3_FOUND_SQL,
     "p3_kept": P3_KEPT_SQL,
     "p3_new": P3_NEW_SQL,
     "p5_found": P5_FOUND_SQL,
     "p6_found": P6_FOUND_SQL,
+    "p6_history": P6_HISTORY_SQL,
+    "p6_changes": P6_CHANGES_SQL,
     "p7_found": P7_FOUND_SQL,
 }

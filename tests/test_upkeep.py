@@ -398,6 +398,48 @@ def test_implausible_hot_series_in_chunks(spark, monkeypatch):
     assert got == {"i150", "i199", "i201", "i640"}
 
 
+def test_long_series_in_spans_equal_the_whole(spark):
+    """A stuck run longer than a span, spikes at borders and changes of level: judged in spans as at once."""
+    rng = np.random.default_rng(6)
+    n = 30_000
+    hour = np.arange(n) % 24
+    v = 500 + 40 * np.sin(hour / 24 * 2 * np.pi) + 3 * rng.normal(size=n)
+    v[20_000:] += 300
+    v[9_000:15_000] = 512.0
+    v[[100, 4096, 4097, 8192, 17_000, 19_998, 25_000]] += 90
+    data = [(f"i{k}", "long", None, T0 + timedelta(hours=k + 1), 1, float(x), T0, "average") for k, x in enumerate(v)]
+    data += [(f"j{k}", "short", None, T0 + timedelta(hours=k + 1), 1, float(k // 7), T0, "average") for k in range(200)]
+    got = {(r["id"], r["kind"]) for r in implausible(spark.createDataFrame(data, SPIKES)).collect()}
+    whole = spikes.judge(np.arange(1, n + 1), v, 1, np.full(n, np.nan), np.full(n, np.nan))
+    assert got == {(f"i{k}", ["", "limit", "stuck", "spike"][whole[k]]) for k in np.flatnonzero(whole)}
+    assert int((whole == 2).sum()) == 6000 and {k for k in np.flatnonzero(whole == 3)} >= {100, 4096, 4097, 8192, 17_000, 19_998, 25_000}
+
+
+def test_flat_series_stays_flat_in_spans(spark, monkeypatch):
+    monkeypatch.setattr(spikes, "CHUNK", 100)
+    monkeypatch.setattr(spikes, "HALO", 30)
+    rng = np.random.default_rng(7)
+    flat = np.repeat(rng.integers(0, 5, 100), 9).astype(float)
+    lively = np.concatenate([rng.normal(size=600), np.repeat(rng.normal(size=20), 15)])
+    data = [(f"f{k}", "flat", None, T0 + timedelta(hours=k + 1), 1, float(x), T0, "average") for k, x in enumerate(flat)]
+    data += [(f"l{k}", None, None, T0 + timedelta(hours=k + 1), 1, float(x), T0, "average") for k, x in enumerate(lively)]
+    got = {r["id"] for r in implausible(spark.createDataFrame(data, SPIKES)).filter("kind = 'stuck'").collect()}
+    assert got == {f"l{k}" for k in range(600, 900)}
+
+
+def test_outliers_of_an_autoregressive_series():
+    rng = np.random.default_rng(8)
+    d = np.zeros(400)
+    for k in range(1, 400):
+        d[k] = 0.7 * d[k - 1] + rng.normal()
+    v = 1000 + 10 * d
+    v[150] += 300
+    v[250:253] -= 300
+    v[300:] += 500
+    v[298] += 250
+    assert np.flatnonzero(judge(v, 24) == 3).tolist() == [150, 250, 251, 252, 298]
+
+
 def test_limits_by_metric(spark):
     df = spark.createDataFrame([("null_count",), ("NOT_NULL_PERCENT",), ("freshness_11",), ("max_length",), ("average",), ("sum",), (None,)], "m string")
     low, high = spikes.limits(F.col("m"))

@@ -10,18 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.regular_grid import ORIGIN_S
-from tidemark.session import join_lookup
+from tidemark.session import cut, join_lookup
 
-#: Readings (at the regular pace) that one task step sees of a source, and what it sees beyond either end.
+#: Readings that one task step judges of a source at least (a source of fewer than twice as many is judged whole),
+#: and about how many it sees beyond either end.
 CHUNK, HALO = 4096, 256
 #: Equal successive readings that make a stuck run.
 STUCK = 6
+#: Neighbours normally differ where readings outside such runs are at least this share of all, and at most that share
+#: of them equals the one before.
+VARIED, REPEATED = 0.4, 0.3
 #: Scatters from the expected value beyond which a reading is a spike, and the longest excursion in readings.
 SPIKE, BACK_WITHIN = 8.0, 3
 #: Readings on either side that say what the level is.
 SIDE = 9
+#: Standard errors by which the levels before and after a reading must differ for a level shift.
+SHIFT = 4.0
 LIMIT, RUN, JUMP = "limit", "stuck", "spike"
 FLAGGED = "id string, kind string"
+COUNTED = "g1 bigint, g2 bigint, n bigint, varied bigint, repeated bigint"
 
 
 def limits(metric: Column) -> tuple[Column, Column]:
@@ -47,23 +54,30 @@ def implausible(
 
     Of each id only the row with the latest version and a value counts (the larger value on a tie).
     A series is a tuple of texts, null equal to null; its readings are ordered by `at`, then id;
-    `hours` is its bucket length (that of most of its rows; a day where no row has one). A reading's
+    `hours` is its bucket length (that of most of its readings; a day where none has one). A reading's
     place in the rhythm is the period that holds the midpoint of start and `at`; a null start is `at`
-    minus the bucket length. Rows without id, value (null, NaN) or `at` are no readings. A series with fewer than 2 x SIDE readings has no spikes, only limits and
-    stuck runs. An empty table gives an empty result.
-
-    A series is cut into chunks of CHUNK periods with HALO periods of its neighbours on both sides,
-    so a source that holds a third of all rows is spread over many steps; within a partition the
-    sorted readings are streamed and one chunk is held at a time. The rows are reduced to one per id
-    by a map-side combined aggregate before they are sent to their series.
+    minus the bucket length. Rows without id, value (null, NaN) or `at` are no readings. A series with fewer than
+    2 x SIDE readings has no spikes, only limits and stuck runs. An empty table gives an empty result.
+
+    The table is read once: rows are reduced to one per id by a map-side combined aggregate and kept
+    in a written table, from which come the series' lengths and the readings. A series of 2 x CHUNK
+    readings or more is cut into spans of time of about CHUNK readings, with about HALO of its neighbours
+    on both sides, so a source that holds a third of all rows is spread over many steps; within a
+    partition the sorted readings are streamed and one span is held at a time. Whether a series' neighbours
+    normally differ is counted over all its spans first; rhythm, scatter and autoregression are those of the
+    span. Readings of one instant are not divided.
     """
     low, high = limits(metric)
-    latest = (
+    # A series by two hashes: 128 bits, nulls told from texts.
+    told = [x for c in series for x in (c.isNull(), c)]
+    latest = cut(
         df.select(
             identifier.alias("id"),
-            F.array(*series).alias("series"),
+            F.xxhash64(*told).alias("g1"),
+            F.xxhash64(F.lit("tidemark"), *told).alias("g2"),
             F.unix_micros(at.cast("timestamp_ntz").cast("timestamp")).alias("at"),
             F.unix_micros(start.cast("timestamp_ntz").cast("timestamp")).alias("start"),
+            F.when(hours > 0, hours).cast("int").alias("hours"),
             value.cast("double").alias("value"),
             version.alias("version"),
             low.alias("low"),
@@ -71,44 +85,63 @@ def implausible(
         )
         .filter("id IS NOT NULL AND at IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
         .groupBy("id")
-        .agg(F.max(F.struct("version", "value", "at", "start", "low", "high", "series")).alias("r"))
-        .select("id", "r.*")
+        .agg(F.max(F.struct("version", "value", "at", "start", "hours", "low", "high", "g1", "g2")).alias("r"))
+        .select("id", "r.at", "r.start", "r.hours", "r.value", "r.low", "r.high", "r.g1", "r.g2")
+    )
+    sizes = latest.groupBy("g1", "g2", "hours").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    known = F.when(F.col("hours").isNotNull(), F.struct("n", -F.col("hours")))
+    spans = sizes.groupBy("g1", "g2").agg(
+        F.coalesce(F.max_by("hours", known), F.lit(24)).alias("length"), F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")
     )
-    lengths = (
-        df.select(F.array(*series).alias("series"), F.when(hours > 0, hours).cast("int").alias("hours"))
-        .filter("hours IS NOT NULL")
-        .groupBy("series", "hours")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("series")
-        .agg(F.max_by("hours", F.struct("n", -F.col("hours"))).alias("length"))
+    parts = F.when(F.col("n") < 2 * CHUNK, F.lit(1)).otherwise(F.floor(F.col("n") / CHUNK)).cast("bigint")
+    whole = F.col("last") - F.col("first") + 1
+    facts = cut(
+        spans.withColumn("parts", parts)
+        .withColumn("width", F.ceil(whole / F.col("parts")))
+        .withColumn("halo", F.ceil(whole * HALO / F.col("n")))
+        .select("g1", "g2", "length", "first", "parts", "width", "halo")
     )
-    known = join_lookup(latest, lengths, ["series"], how="left").withColumn("hours", F.coalesce("length", F.lit(24)))
-    step = F.col("hours") * F.lit(3_600_000_000)
+    if facts.filter("parts > 1").isEmpty():
+        return _ordered(latest, facts.withColumn("differs", F.lit(None).cast("boolean"))).mapInArrow(_scan, FLAGGED)
+    counts = _ordered(latest, facts.filter("parts > 1").withColumn("differs", F.lit(None).cast("boolean"))).mapInArrow(_count, COUNTED)
+    long = counts.groupBy("g1", "g2").agg(*[F.sum(c).alias(c) for c in ("n", "varied", "repeated")])
+    differs = (F.col("varied") >= VARIED * F.col("n")) & (F.col("repeated") <= REPEATED * F.col("varied"))
+    return _ordered(latest, cut(facts.join(long.select("g1", "g2", differs.alias("differs")), ["g1", "g2"], "left"))).mapInArrow(_scan, FLAGGED)
+
+
+def _ordered(latest: DataFrame, facts: DataFrame) -> DataFrame:
+    """The readings of the series in facts, span by span, those of the halo included, in order."""
+    rows = join_lookup(latest, facts, ["g1", "g2"])
+    step = F.col("length") * F.lit(3_600_000_000)
     begun = F.coalesce("start", F.col("at") - step)
     middle = begun + F.floor((F.col("at") - begun) / 2) - F.lit(ORIGIN_S * 1_000_000)
-    period = F.floor(middle / step).cast("bigint")
-    spots = F.array(F.floor(period / CHUNK), F.floor((period - HALO) / CHUNK), F.floor((period + HALO) / CHUNK))
-    chunked = known.withColumn("period", period).withColumn("chunk", F.explode(F.array_distinct(spots)))
-    ordered = (
-        chunked.select(
-            F.xxhash64("series", "chunk").alias("g1"),
-            F.xxhash64(F.lit("tidemark"), "chunk", "series").alias("g2"),
+    spot = lambda t: F.least(F.greatest(F.floor((t - F.col("first")) / F.col("width")), F.lit(0)), F.col("parts") - 1)
+    here = spot(F.col("at"))
+    spots = F.array_distinct(F.array(here, spot(F.col("at") - F.col("halo")), spot(F.col("at") + F.col("halo"))))
+    return (
+        rows.withColumn("here", here)
+        .withColumn("span", F.explode(spots))
+        .select(
+            "g1",
+            "g2",
+            "span",
             "at",
             "id",
             "value",
-            "period",
-            "hours",
+            F.floor(middle / step).cast("bigint").alias("period"),
+            F.col("length").alias("hours"),
             "low",
             "high",
-            (F.floor(F.col("period") / CHUNK) == F.col("chunk")).alias("own"),
+            "differs",
+            (F.col("here") == F.col("span")).alias("own"),
         )
-        .repartition("g1", "g2")
-        .sortWithinPartitions("g1", "g2", "at", "id")
+        .repartition("g1", "g2", "span")
+        .sortWithinPartitions("g1", "g2", "span", "at", "id")
     )
-    return ordered.mapInArrow(_scan, FLAGGED)
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, starts of the spans in them and their end); a span is never divided."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
@@ -116,13 +149,29 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches([batch])
         if held is not None:
             rows = pa.concat_tables([held, rows])
-        g1, g2 = rows["g1"].to_numpy(), rows["g2"].to_numpy()
-        starts = np.concatenate([[0], np.flatnonzero((g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])) + 1])
+        key = np.stack([rows[c].to_numpy() for c in ("g1", "g2", "span")])
+        starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1])
         held = rows.slice(starts[-1]).combine_chunks()
         if len(starts) > 1:
-            yield from _judge_all(rows.slice(0, starts[-1]), starts)
+            yield rows.slice(0, starts[-1]), starts
     if held is not None:
-        yield from _judge_all(held, np.array([0, held.num_rows]))
+        yield held, np.array([0, held.num_rows])
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, starts in _spans(batches):
+        value, own = rows["value"].to_numpy(), rows["own"].to_numpy(zero_copy_only=False)
+        out = []
+        for a, b in zip(starts[:-1], starts[1:]):
+            long, repeat = _runs(value[a:b])
+            mine = own[a:b]
+            out.append((rows["g1"][a].as_py(), rows["g2"][a].as_py(), int(mine.sum()), int((mine & ~long).sum()), int((mine & repeat).sum())))
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["g1", "g2", "n", "varied", "repeated"])
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, starts in _spans(batches):
+        yield from _judge_all(rows, starts)
 
 
 def _judge_all(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -130,20 +179,27 @@ def _judge_all(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
     low, high = (rows[c].to_numpy(zero_copy_only=False).astype(float) for c in ("low", "high"))
     kind = np.zeros(len(value), dtype=np.int8)
     for a, b in zip(starts[:-1], starts[1:]):
-        kind[a:b] = judge(period[a:b], value[a:b], int(hours[a]), low[a:b], high[a:b])
+        kind[a:b] = judge(period[a:b], value[a:b], int(hours[a]), low[a:b], high[a:b], rows["differs"][a].as_py())
     at = np.flatnonzero((kind > 0) & rows["own"].to_numpy(zero_copy_only=False))
     if len(at):
         names = np.array(["", LIMIT, RUN, JUMP], dtype=object)[kind[at]]
         yield pa.RecordBatch.from_arrays([rows["id"].combine_chunks().take(pa.array(at)).cast(pa.string()), pa.array(list(names), pa.string())], names=["id", "kind"])
 
 
-def judge(period: np.ndarray, value: np.ndarray, hours: int, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """0 plausible, 1 limit, 2 stuck, 3 spike, for one source's readings in order of time."""
+def judge(period: np.ndarray, value: np.ndarray, hours: int, low: np.ndarray, high: np.ndarray, differs: bool | None = None) -> np.ndarray:
+    """0 plausible, 1 limit, 2 stuck, 3 spike, for one source's readings in order of time.
+
+    differs: whether the source's neighbouring readings normally differ; None: as these readings say.
+    """
     n = len(value)
     kind = np.zeros(n, dtype=np.int8)
-    stuck = _stuck(value)
+    long, repeat = _runs(value)
+    if differs is None:
+        varied = n - int(long.sum())
+        differs = varied >= VARIED * n and int(repeat.sum()) <= REPEATED * varied
     limit = (value < low) | (value > high)
-    kind[stuck] = 2
+    if differs:
+        kind[long] = 2
     kind[limit] = 1
     ok = np.flatnonzero(kind == 0)
     if len(ok) >= 2 * SIDE:
@@ -152,22 +208,14 @@ def judge(period: np.ndarray, value: np.ndarray, hours: int, low: np.ndarray, hi
     return kind
 
 
-def _stuck(value: np.ndarray) -> np.ndarray:
-    """Readings in runs of at least STUCK equal ones, in a series whose neighbours otherwise differ."""
-    n = len(value)
-    if n < STUCK:
-        return np.zeros(n, dtype=bool)
-    edge = np.flatnonzero(np.diff(value) != 0) + 1
-    first = np.concatenate([[0], edge])
-    size = np.diff(np.append(first, n))
-    long = size >= STUCK
-    if not long.any():
-        return np.zeros(n, dtype=bool)
-    others = size[~long]
-    # Neighbours normally differ: much lies outside long runs, and few there equal the one before them.
-    if others.sum() < 0.4 * n or (others - 1).sum() > 0.3 * others.sum():
-        return np.zeros(n, dtype=bool)
-    return np.repeat(long, size)
+def _runs(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(readings in runs of at least STUCK equal ones, readings outside of these that equal the one before)."""
+    first = np.concatenate([[0], np.flatnonzero(np.diff(value) != 0) + 1])[: len(value)]
+    size = np.diff(np.append(first, len(value)))
+    long = np.repeat(size >= STUCK, size)
+    repeat = ~long
+    repeat[first] = False
+    return long, repeat
 
 
 def _running(x: np.ndarray, side: int) -> np.ndarray:
@@ -251,12 +299,13 @@ def _scatter(y: np.ndarray) -> float:
 def _spikes(period: np.ndarray, v: np.ndarray, hours: int) -> np.ndarray:
     """Additive outliers of at most BACK_WITHIN readings, lasting changes of level being none.
 
-    The rhythm is taken off (as factors or as terms, whichever leaves less scatter). The level on
-    either side of a reading is the median of its clean neighbours there, and what is left follows
-    a first-order autoregression estimated robustly. A reading that is off from both sides' levels,
-    and from what the autoregression expects, by more than SPIKE scatters is a candidate;
-    candidates are taken out and everything is estimated anew until no more change. Longer runs of
-    candidates are level shifts and stay.
+    The rhythm is taken off (as factors or as terms, whichever leaves less scatter). What is left is a
+    level with robust first-order autoregression around it. In each round the level-shift test divides
+    the readings into stretches of one level, and the additive-outlier test takes the readings that are off
+    from their stretch's level on both sides, less what the autoregression expects from their
+    neighbours, by more than SPIKE scatters. These are taken out and everything is estimated anew
+    until nothing changes any more; where rounds go in circles, what any round of the circle finds is
+    taken. Longer runs of outliers are changes of level and stay.
     """
     best = None
     for multiply in (True, False) if np.quantile(v, 0.05) > 0.1 * np.median(v) > 0 else (False,):
@@ -265,25 +314,80 @@ def _spikes(period: np.ndarray, v: np.ndarray, hours: int) -> np.ndarray:
         s = _scatter(y) * float(np.median(np.abs(unit)))
         if best is None or s < 0.97 * best[0]:
             best = (s, y, unit)
-    _, y, unit = best
-    clean = np.ones(len(v), dtype=bool)
+    y = best[1]
     flagged = np.zeros(len(v), dtype=bool)
-    for _ in range(6):
-        sigma, phi = _noise(y, clean)
-        left, right = _sides(y, clean)
-        dl, dr = y - left, y - right
-        dl, dr = np.where(np.isnan(dl), dr, dl), np.where(np.isnan(dr), dl, dr)
-        away = np.where(np.sign(dl) == np.sign(dr), np.minimum(np.abs(dl), np.abs(dr)), 0.0)
-        if phi > 0.2:
-            lag = np.concatenate([[0.0], np.where(clean[:-1], (y - (left + right) / 2)[:-1], 0.0)])
-            expected = phi * np.nan_to_num(np.clip(lag, -3 * sigma, 3 * sigma))
-            away = np.maximum(0.0, np.sign(dl) * (np.sign(dl) * away - expected))
-        found = _short_runs(away > SPIKE * sigma, y, right, sigma)
-        if (found == flagged).all():
-            break
-        flagged = found
+    rounds: list[np.ndarray] = []
+    while True:
+        rounds.append(flagged)
         clean = ~flagged
-    return flagged
+        sigma, phi = _noise(y, clean)
+        edges = _shifts(y, clean, sigma, phi)
+        flagged = _short_runs(np.abs(_additive(y, clean, edges, sigma, phi)) > SPIKE * sigma)
+        for k, earlier in enumerate(rounds):
+            if (earlier == flagged).all():
+                return np.logical_or.reduce(rounds[k:])
+
+
+def _shifts(y: np.ndarray, clean: np.ndarray, sigma: float, phi: float) -> np.ndarray:
+    """Level-shift test: where stretches of one level begin, and the end.
+
+    The statistic of a reading is the difference of the median levels of SIDE clean readings before and
+    from it on, over its standard error under the autoregression. Only shifts beyond SPIKE scatters matter, as
+    smaller ones hide no outlier.
+    """
+    at = np.flatnonzero(clean)
+    x = y[at]
+    if len(x) < 2 * SIDE:
+        return np.array([0, len(y)])
+    level = np.median(np.lib.stride_tricks.sliding_window_view(x, SIDE), axis=1)
+    change = np.abs(level[SIDE:] - level[:-SIDE])
+    error = sigma * np.sqrt(np.pi / SIDE * (1 + phi) / (1 - phi))
+    spots = np.flatnonzero((change > SPIKE * sigma) & (change > SHIFT * error))
+    edges = [0]
+    for group in np.split(spots, np.flatnonzero(np.diff(spots) > 1) + 1) if len(spots) else []:
+        top = group[change[group] >= 0.8 * change[group].max()] + SIDE
+        # The place that leaves least distance from the levels on its two sides.
+        cost = [np.abs(x[k - SIDE : k] - level[k - SIDE]).sum() + np.abs(x[k : k + SIDE] - level[k]).sum() for k in top.tolist()]
+        edges.append(int(at[top[int(np.argmin(cost))]]))
+    return np.unique([*edges, len(y)])
+
+
+def _additive(y: np.ndarray, clean: np.ndarray, edges: np.ndarray, sigma: float, phi: float) -> np.ndarray:
+    """Additive-outlier test: the estimated outlier at each reading, 0 where the two sides disagree.
+
+    Against the level on either side the estimate is what remains of the reading when the
+    autoregression's expectation from both neighbours, phi / (1 + phi^2) times their distances, is
+    taken off; the smaller one counts. Beside a shift the distance from the level beyond it counts too.
+    """
+    left, right = np.empty(len(y)), np.empty(len(y))
+    for a, b in zip(edges[:-1], edges[1:]):
+        left[a:b], right[a:b] = _sides(y[a:b], clean[a:b])
+        # Right beside a shift too few readings say what that side's level is.
+        known = np.cumsum(clean[a:b])
+        if a:
+            left[a:b][known - clean[a:b] < BACK_WITHIN + 1] = np.nan
+        if b < len(y):
+            right[a:b][known[-1] - known < BACK_WITHIN + 1] = np.nan
+    left, right = np.where(np.isnan(left), right, left), np.where(np.isnan(right), left, right)
+    # A distance that is unusual itself says nothing about its neighbour.
+    usual = lambda d: np.where(np.abs(d) <= 3 * sigma, d, 0.0)
+    before = np.concatenate([[0.0], np.where(clean[:-1], usual(y[:-1] - left[1:]), 0.0)])
+    after = np.concatenate([np.where(clean[1:], usual(y[1:] - right[:-1]), 0.0), [0.0]])
+    expected = phi / (1 + phi * phi) * (before + after)
+    dl, dr = y - left - expected, y - right - expected
+    off = np.where(np.sign(dl) == np.sign(dr), np.where(np.abs(dl) < np.abs(dr), dl, dr), 0.0)
+    off = np.nan_to_num(off)
+    for e in edges[1:-1].tolist():
+        old, new = left[e - 1], right[e]
+        for near, beyond in ((range(e - 1, max(-1, e - 1 - BACK_WITHIN), -1), new), (range(e, min(len(y), e + BACK_WITHIN)), old)):
+            under_way = True
+            for k in near:
+                off[k] = np.sign(off[k]) * min(abs(off[k]), abs(y[k] - beyond))
+                # Next to the shift a reading between the levels is on its way from one to the other.
+                under_way &= abs(off[k]) > SPIKE * sigma and min(old, new) < y[k] < max(old, new)
+                if under_way:
+                    off[k] = 0.0
+    return off
 
 
 def _noise(y: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
@@ -305,7 +409,7 @@ def _noise(y: np.ndarray, clean: np.ndarray) -> tuple[float, float]:
     return sigma, min(max(phi, -0.9), 0.9)
 
 
-def _short_runs(off: np.ndarray, y: np.ndarray, right: np.ndarray, sigma: float) -> np.ndarray:
+def _short_runs(off: np.ndarray) -> np.ndarray:
     """The runs of readings that are off and end within BACK_WITHIN readings, before the series does."""
     out = np.zeros(len(off), dtype=bool)
     at = np.flatnonzero(off)

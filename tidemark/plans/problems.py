@@ -304,6 +304,36 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_flags(spark, d).select("id")
 
 
+def p4_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The readings beyond what their metric can be."""
+    return p4_flags(spark, d).filter(F.col("kind") == spikes.LIMIT).select("id")
+
+
+def p4_stuck(spark: SparkSession, d: str) -> DataFrame:
+    """The readings in stuck runs that are within their limits."""
+    return p4_flags(spark, d).filter(F.col("kind") == spikes.RUN).select("id")
+
+
+_P4_CTES = """
+WITH l AS (
+  SELECT id, full_table_name t, column_name c, metric_name m, dimension_value d, bucket_end e, metric_value v,
+    lower(coalesce(metric_type, metric_name, '')) k,
+    row_number() OVER (PARTITION BY id ORDER BY updated_at DESC NULLS LAST, metric_value DESC, bucket_end DESC) nth
+  FROM data_monitoring_metrics WHERE id IS NOT NULL AND metric_value IS NOT NULL AND NOT isnan(metric_value) AND bucket_end IS NOT NULL),
+r AS (
+  SELECT *, coalesce((regexp_matches(k, 'percent') OR regexp_matches(k, 'count|length|freshness|deviation|variance|duration|^dimension')) AND v < 0
+      OR regexp_matches(k, 'percent') AND v > 100, FALSE) beyond,
+    v IS DISTINCT FROM lag(v) OVER w fresh, row_number() OVER w n
+  FROM l WHERE nth = 1 WINDOW w AS (PARTITION BY t, c, m, d ORDER BY e, id)),
+g AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY t, c, m, d ORDER BY n) g FROM r),
+q AS (SELECT *, count(*) OVER (PARTITION BY t, c, m, d, g) >= 6 long FROM g),
+z AS (SELECT *, count(*) OVER s n_all, sum(CASE WHEN long THEN 0 ELSE 1 END) OVER s varied,
+    sum(CASE WHEN long OR fresh THEN 0 ELSE 1 END) OVER s repeated FROM q WINDOW s AS (PARTITION BY t, c, m, d))
+"""
+P4_LIMITS_SQL = _P4_CTES + "SELECT id FROM r WHERE beyond"
+P4_STUCK_SQL = _P4_CTES + "SELECT id FROM z WHERE long AND NOT beyond AND varied >= 0.4 * n_all AND repeated <= 0.3 * varied"
+
+
 # 5. Parent-child links to full hierarchies
 
 
@@ -468,6 +498,8 @@ QUERIES = {
     "p3_new": p3_new,
     "p4_found": p4_found,
     "p4_flags": p4_flags,
+    "p4_limits": p4_limits,
+    "p4_stuck": p4_stuck,
     "p5_found": p5_found,
     "p5_paths": p5_paths,
     "p5_descendants": p5_descendants,
@@ -484,6 +516,8 @@ ORACLES = {
     "p3_found": P3_FOUND_SQL,
     "p3_kept": P3_KEPT_SQL,
     "p3_new": P3_NEW_SQL,
+    "p4_limits": P4_LIMITS_SQL,
+    "p4_stuck": P4_STUCK_SQL,
     "p5_found": P5_FOUND_SQL,
     "p6_found": P6_FOUND_SQL,
     "p6_history": P6_HISTORY_SQL,

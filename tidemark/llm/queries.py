@@ -25,14 +25,24 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
-    """The leaked items with their task, the number of documents that hold them, and of those that hold the answer too."""
-    held = table(spark, d, "eval_items")
-    found = leakage.leaked_answers(table(spark, d, "documents"), held).distinct()
+    """The leaked items with their task and the number of documents that hold them."""
+    items = table(spark, d, "eval_items").select("item_id", "task")
     return (
-        found.groupBy("item_id")
+        p9_found(spark, d)
+        .groupBy("item_id")
+        .agg(F.count(F.lit(1)).alias("documents"))
+        .join(items, "item_id")
+        .select("item_id", "task", "documents")
+    )
+
+
+def p9_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The leaked items that have an answer, with the documents that hold the item and of these the ones that hold the answer too."""
+    found = leakage.leaked_answers(table(spark, d, "documents"), table(spark, d, "eval_items")).distinct()
+    return (
+        found.filter("answer IS NOT NULL")
+        .groupBy("item_id")
         .agg(F.count(F.lit(1)).alias("documents"), F.count_if("answer").alias("with_answer"))
-        .join(held.select("item_id", "task"), "item_id")
-        .select("item_id", "task", "documents", "with_answer")
     )
 
 
@@ -50,6 +60,7 @@ QUERIES = {
     "p8_certificate": p8_certificate,
     "p9_found": p9_found,
     "p9_report": p9_report,
+    "p9_answers": p9_answers,
     "p10_found": p10_found,
     "p10_repaired": p10_repaired,
 }

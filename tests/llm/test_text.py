@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -343,7 +344,6 @@ def test_nothing_to_do(spark):
 
 def test_cipher_is_learned_from_bigrams_alone():
     """An unknown substitution of Russian letters, found without any start from their contexts."""
-    import pandas as pd
 
     rng = random.Random(2)
     vocabulary = CLEAN["ru"].lower().split() + "дом дорога вода гора лес поле ветер город народ слово дело время".split()
@@ -368,6 +368,50 @@ def test_cipher_is_learned_from_bigrams_alone():
     assert right >= 4
 
 
+@pytest.mark.parametrize(("written", "read", "lang"), [("iso8859_5", "cp1252", "ru"), ("cp1252", "cp1253", "fr"), ("cp852", "cp1252", "pl"), ("iso8859_2", "cp1253", "pl")])
+def test_pair_of_pages_that_is_not_listed_is_proposed(spark, written, read, lang):
+    """Documents misread by any pair of pages are found and come back letter by letter; the others stay."""
+    rng = random.Random(11)
+    docs, true = [], {}
+    for i in range(900):
+        own = lang if i < 60 else rng.choice(list(CLEAN))
+        text = " ".join(rng.choice(CLEAN[own].split()) for _ in range(60))
+        if i < 60:
+            true[i] = text.encode(written, "ignore").decode(written)
+            text = "".join(bytes([b]).decode(read, "ignore") or chr(b) for b in true[i].encode(written))
+        docs.append((i, f"s{i % 3}", text))
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    got = {r["doc_id"]: r["repaired"] for r in encoding.wrongly_decoded(df).collect()}
+    assert set(got) <= set(true) and len(got) >= 0.9 * len(true)
+    letters = [(a, b) for i, text in got.items() for a, b in zip(text, true[i]) if not b.isascii()]
+    assert sum(a == b for a, b in letters) >= 0.98 * len(letters)
+
+
+def test_learned_tables_are_never_worse_than_their_pages(spark):
+    """Letters of ASCII are never learned, and no symbol leaves its page without many places that say so."""
+    model = encoding.bigram_model(encoding.language_counts(corpus(spark)).toPandas())
+    start = encoding.code_page_table("cp1252", "cp1250")
+    rng = random.Random(12)
+    seen = {}
+    for _ in range(300):
+        w = " " + rng.choice(CLEAN[rng.choice(["de", "fr", "en"])].split()) + " "
+        g = garbled(w, "cp1252", "cp1250")
+        for x, y, z in zip(g, g[1:], g[2:]):
+            if ord(y) in start:
+                seen[ord(x), ord(y), ord(z)] = seen.get((ord(x), ord(y), ord(z)), 0) + 1
+    seen.update({(ord("a"), ord("“"), ord("b")): 4, (ord("x"), ord("”"), ord("q")): 9, (ord(" "), ord("’"), ord("s")): 50})
+    table = encoding.maximize(pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["before", "symbol", "after", "n"]), model, start)
+    assert all(table[k] == v for k, v in start.items()) and not any(c.isascii() for c in table.values())
+
+
+def test_clean_texts_propose_nothing(spark):
+    assert encoding.propose(encoding.language_counts(corpus(spark).select(F.lit("s").alias("source"), "text").limit(0)).toPandas()) == ()
+    rng = random.Random(13)
+    texts = [(" ".join(rng.choice(CLEAN[own].split()) for _ in range(80)), "s") for own in CLEAN for _ in range(60)]
+    counts = encoding.language_counts(spark.createDataFrame(texts, "text string, source string")).toPandas()
+    assert encoding.propose(counts) == ()
+
+
 # queries
 
 

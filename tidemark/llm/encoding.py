@@ -2,13 +2,17 @@
 
 A code-page swap is a substitution cipher: each byte of the text stands for another letter. Which
 swap was at work is unknown and differs by source and stretch. The text's own language decides: a
-bigram model over all documents says how likely each reading is, ciphers start from pairs of code
-pages and their byte-to-letter tables are re-estimated per source by expectation-maximization
-against the bigrams, and the stretches that a cipher explains better are rewritten with translate().
+bigram model over all documents says how likely each reading is. Ciphers start from pairs of code
+pages: the usual ones, and of all others those that the texts' own counts of neighbours propose;
+their byte-to-letter tables are re-estimated per source by expectation-maximization against the
+bigrams, and the stretches that a cipher explains better are rewritten with translate().
 """
 
 from __future__ import annotations
 
+import importlib
+import json
+import pkgutil
 import re
 import zlib
 from collections import defaultdict
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, join_lookup
 
 #: Encodings in which text may have been written, and in which it may have been read instead.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850")
@@ -54,6 +58,13 @@ LOST = "�"
 #: Nats by which a stretch must read better under a cipher to be a case: one of single bytes, and UTF-8,
 #: whose byte sequences hardly come about by chance.
 CASE, CASE_UTF8 = 5.0, 4.0
+#: A pair of pages that is not of SWAPS is proposed if it explains so many symbols, of so many places each at least: where
+#: they stand is then known, within these factors, as well as where the letters stand that they would be, and those are
+#: so many times as frequent.
+SYMBOLS, PLACES_EACH, FIT, COMMONER = 3, 10, (0.7, 1.3), 2
+#: A symbol leaves the letter of its start only if another one fits better in so many different places, in this share
+#: of them, and by so many nats in all.
+PLACES, VOTES, LEAVE = 5, 0.95, 20.0
 #: A token speaks for a single-byte cipher with its whole gain only if what it becomes is known: each
 #: changed letter stands between its neighbours at least SEEN times in all texts and RATIO times as often
 #: as the one it replaces; else with at most WEAK nats.
@@ -168,7 +179,7 @@ def language_counts(docs: DataFrame) -> DataFrame:
     return docs.select("source", "text").mapInPandas(count, _COUNTS).groupBy("a", "b").agg(F.sum("n").alias("n"), F.bit_or("groups").alias("groups"))
 
 
-def suspect_counts(docs: DataFrame, tables) -> DataFrame:
+def suspect_counts(docs: DataFrame, tables, proposed: tuple[int, ...] = ()) -> DataFrame:
     """(a, b, n) as language_counts(), negative: what the suspected stretches of docs(text) add to the counts.
 
     tables are the broadcast triple_table() and group_table() of all texts, suspected stretches included.
@@ -176,7 +187,7 @@ def suspect_counts(docs: DataFrame, tables) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, less, where = _no_counts()
-        suspects = Suspects(*tables.value)
+        suspects = Suspects(*tables.value, proposed)
         for batch in batches:
             texts = batch["text"].tolist()
             for i in range(0, len(texts), 256):
@@ -289,18 +300,149 @@ def _from_utf8(text: str, read: str) -> str:
     return _runs(read).sub(run, text)
 
 
+@cache
+def _pages() -> tuple[str, ...]:
+    """Every single-byte code page that extends ASCII, of those that come with Python; one name per table."""
+    import encodings
+
+    out: dict[str, str] = {}
+    plain = bytes(range(0x80)).decode("ascii")
+    for name in sorted(m.name for m in pkgutil.iter_modules(encodings.__path__)):
+        try:
+            table = getattr(importlib.import_module(f"encodings.{name}"), "decoding_table", None)
+        except ImportError:
+            continue
+        if isinstance(table, str) and len(table) == 256 and table[:0x80] == plain:
+            out.setdefault(table[0x80:], name)
+    return tuple(out.values())
+
+
+@cache
+def _page_codes() -> np.ndarray:
+    """Code point of each upper byte in each page, -1 where it has none (or none of 16 bits)."""
+    out = np.full((len(_pages()), 0x80), -1, dtype=np.int64)
+    for i, page in enumerate(_pages()):
+        for b in range(0x80):
+            try:
+                out[i, b] = ord(bytes([b + 0x80]).decode(page))
+            except UnicodeDecodeError:
+                pass
+    return np.where(out < 0x10000, out, -1)
+
+
+def pages_of(swap: int) -> tuple[str, str]:
+    """(written, read) of a swap's number: SWAPS come first, then all pairs of pages."""
+    if swap < len(SWAPS):
+        return SWAPS[swap]
+    written, read = divmod(swap - len(SWAPS), len(_pages()))
+    return _pages()[written], _pages()[read]
+
+
+def swap_name(swap: int) -> str:
+    return ">".join(pages_of(swap))
+
+
+def start_table(swap: int) -> dict[int, str]:
+    return code_page_table(*pages_of(swap))
+
+
+def propose(counts: pd.DataFrame) -> tuple[int, ...]:
+    """The pairs of code pages beyond SWAPS that the counts of neighbours speak for, by their numbers.
+
+    The expectation of expectation-maximization, with each pair of pages as start: the symbols that a
+    pair changes are taken for its letters, and so are their neighbours. A symbol is explained if its
+    neighbours are as likely beside that letter as the letter's own ones are (both against any letter's).
+    Rare but right letters have neighbours of their own, and a wrong pair hardly explains several
+    symbols; of pairs that explain the same symbols the first is taken, then what explains other ones.
+    """
+    letters, table = _classes()[1], _classes()[0]
+    size = len(letters)
+    counts = counts[counts["b"] >= 0]
+    n = np.zeros((size, size))
+    np.add.at(n, (counts["a"], counts["b"]), counts["n"])
+    if not n.sum():
+        return ()
+    alpha = np.array([c.isalpha() and not c.isascii() for c in letters])
+    often = np.maximum(n.sum(0), n.sum(1))
+    gains, own = [], np.zeros(size)
+    # Once for what stands before a class, once for what stands after it.
+    for m in (n, n.T):
+        any_ = np.maximum(m.sum(1) / m.sum(), 1e-12)
+        beside = (m + 0.5 * any_[:, None]) / (m.sum(0) + 0.5)
+        gain = np.maximum(np.log(np.maximum(beside, 1e-12) / any_[:, None]), -8.0)
+        own += (beside * gain).sum(0)
+        gains.append(gain)
+    codes = _page_codes()
+    classes = np.where(codes >= 0, table[np.maximum(codes, 0)], -1)
+    present = np.flatnonzero(often)
+    near = [m[present] for m in (n, n.T)]
+    found, tried = [], {}
+    for r, w in np.ndindex(len(codes), len(codes)):
+        if (_pages()[w], _pages()[r]) in _listed():
+            continue
+        changed = (codes[r] >= 0) & (codes[w] >= 0) & (codes[r] != codes[w])
+        s, t = classes[r][changed], classes[w][changed]
+        keep = (s != t) & (s > 1) & alpha[t] & (often[s] >= PLACES_EACH) & (often[t] >= COMMONER * often[s])
+        if keep.sum() < SYMBOLS:
+            continue
+        # Upper and lower case are one class: of two letters for it the commoner one.
+        becomes = np.arange(size)
+        order = np.argsort(often[t], kind="stable")
+        becomes[s[order]] = t[order]
+        symbols = np.unique(s[keep])
+        symbols = symbols[(becomes[symbols] != symbols) & alpha[becomes[symbols]] & (often[becomes[symbols]] >= COMMONER * often[symbols])]
+        if len(symbols) < SYMBOLS:
+            continue
+        letter, neighbour = becomes[symbols], becomes[present]
+        # Pages that do the same to what is there are one.
+        known = tried.setdefault(neighbour.tobytes(), [])
+        if not known:
+            score = sum((m[:, symbols] * gain[np.ix_(neighbour, letter)]).sum(0) for m, gain in zip(near, gains))
+            fit = score / (often[symbols] * np.maximum(own[letter], 1e-9))
+            known.append((fit >= FIT[0]) & (fit <= FIT[1]))
+        good = known[0]
+        if good.sum() >= SYMBOLS:
+            pairs = set(zip(symbols[good].tolist(), letter[good].tolist()))
+            found.append((-good.sum() * often[symbols[good]].sum(), len(SWAPS) + w * len(_pages()) + r, pairs))
+    out, explained = [], set()
+    for _, swap, pairs in sorted(found, key=lambda x: x[:2]):
+        if len(pairs - explained) >= SYMBOLS:
+            out.append(swap)
+            explained |= pairs
+    return tuple(out)
+
+
+@cache
+def _listed() -> set[tuple[str, str]]:
+    """SWAPS in the names of _pages()."""
+    same = {bytes(range(0x80, 0x100)).decode(p, "replace"): p for p in _pages()}
+    name = lambda p: p if p == "utf-8" else same.get(bytes(range(0x80, 0x100)).decode(p, "replace"), p)
+    return {(name(w), name(r)) for w, r in SWAPS}
+
+
 @dataclass
 class Ciphers:
     """Byte-to-letter tables per (source, swap); where a source has none, those of the code pages."""
 
     learned: dict[tuple[str, int], dict[int, str]] = field(default_factory=dict)
+    sources: set[str] = field(default_factory=set)
+    #: Swaps beyond SWAPS that are tried.
+    proposed: tuple[int, ...] = ()
+
+    def add(self, source: str, text: str) -> None:
+        """Tables of a source from rows (swap, symbol, letter) as JSON, each on top of its code page's."""
+        self.sources.add(source)
+        for swap, symbol, letter in json.loads(text):
+            table = self.learned.setdefault((source, int(swap)), dict(start_table(int(swap))))
+            table[int(symbol)] = letter
 
     def table(self, source: str, swap: int) -> dict[int, str]:
-        return self.learned.get((source, swap)) or code_page_table(*SWAPS[swap])
+        return self.learned.get((source, swap)) or start_table(swap)
 
     def read(self, text: str, source: str, swap: int) -> str:
-        written, read = SWAPS[swap]
-        return _from_utf8(text, read) if written == "utf-8" else text.translate(self.table(source, swap))
+        if swap < len(SWAPS) and SWAPS[swap][0] == "utf-8":
+            return _from_utf8(text, SWAPS[swap][1])
+        return text.translate(self.table(source, swap))
 
 
 SINGLE = tuple(k for k, (w, _) in enumerate(SWAPS) if w != "utf-8")
@@ -315,15 +457,18 @@ class Reader:
         self.model, self.triples, self.ciphers = model, triples, ciphers
         self.seen: dict[tuple[str, str], dict[int, float] | None] = {}
         self.maps: dict[str, np.ndarray] = {}
-        self.known_sources = {s for s, _ in ciphers.learned}
+        self.single = (*SINGLE, *ciphers.proposed)
+
+    def learn(self, source: str, tables: str) -> None:
+        if source not in self.ciphers.sources:
+            self.ciphers.add(source, tables)
 
     def _map(self, source: str) -> np.ndarray:
         """Class of each 16-bit unit after each single-byte cipher of the source."""
-        source = source if source in self.known_sources else ""
         if source not in self.maps:
             plain = _classes()[0]
-            out = np.repeat(plain[None, :].astype(np.int16), len(SINGLE), axis=0)
-            for i, k in enumerate(SINGLE):
+            out = np.repeat(plain[None, :].astype(np.int16), len(self.single), axis=0)
+            for i, k in enumerate(self.single):
                 table = self.ciphers.table(source, k)
                 for a, b in table.items():
                     if a < 0x10000:
@@ -336,6 +481,8 @@ class Reader:
 
     def gains(self, token: str, source: str) -> dict[int, float] | None:
         """Nats that speak for each swap that changes the token; None for a token that reads well as it is."""
+        # Sources without ciphers of their own share what is known of a token.
+        source = source if source in self.ciphers.sources else ""
         key = (token, source)
         if key in self.seen:
             return self.seen[key]
@@ -354,9 +501,9 @@ class Reader:
             for i in np.flatnonzero(changed.any(1)).tolist():
                 g = float(gain[i])
                 if g > WEAK:
-                    known = self._known(u, new[i], changed[i]) if len(u) > 3 else self._known_alone(token, source, SINGLE[i])
+                    known = self._known(u, new[i], changed[i]) if len(u) > 3 else self._known_alone(token, source, self.single[i])
                     g = g if known else WEAK
-                out[SINGLE[i]] = g
+                out[self.single[i]] = g
             if _TWO.search(token):
                 for k in UTF8:
                     fixed = _from_utf8(token, SWAPS[k][1])
@@ -403,7 +550,7 @@ class Reader:
         swaps = {k for g in each if g for k, v in g.items() if v > WEAK}
         best = (0.0, -1, 0, 0)
         for k in sorted(swaps):
-            least = CASE_UTF8 if SWAPS[k][0] == "utf-8" else CASE
+            least = CASE_UTF8 if k < len(SWAPS) and SWAPS[k][0] == "utf-8" else CASE
             run, first = 0.0, 0
             for i, g in enumerate(each):
                 if g is None:
@@ -427,8 +574,9 @@ class Suspects:
     What counts is the frequency times the number of groups of sources.
     """
 
-    def __init__(self, triples: np.ndarray, groups: np.ndarray):
-        self.reader = Reader(np.zeros((1, 1), dtype=np.float32), triples, Ciphers())
+    def __init__(self, triples: np.ndarray, groups: np.ndarray, proposed: tuple[int, ...] = ()):
+        self.reader = Reader(np.zeros((1, 1), dtype=np.float32), triples, Ciphers(proposed=proposed))
+        self.swaps = len(SWAPS) + len(proposed)
         self.logs = np.log(triples + 0.5, dtype=np.float32) + np.log(groups + 0.5, dtype=np.float32)
         self.known: dict[str, np.ndarray] = {}
 
@@ -441,8 +589,8 @@ class Suspects:
         before = self.logs[_triples(u)]
         inside = np.ones(len(u) - 2, dtype=bool)
         inside[blanks[1:-1] - 1] = False
-        out = np.zeros((len(tokens), len(SWAPS)), dtype=np.float32)
-        for i, k in enumerate(SINGLE):
+        out = np.zeros((len(tokens), self.swaps), dtype=np.float32)
+        for i, k in enumerate([*SINGLE, *range(len(SWAPS), self.swaps)]):
             new = self.reader._map("")[i][raw]
             changed = new != u
             touched = np.flatnonzero((changed[:-2] | changed[1:-1] | changed[2:]) & inside)
@@ -556,8 +704,9 @@ def maximize(contexts: pd.DataFrame, model: np.ndarray, start: dict[int, str] |
     contexts(before, symbol, after, n): how often a garbled symbol stood between two characters
     (themselves garbled or not). P(letter | symbol) starts with most of its weight on `start` (or
     flat, where nothing is known); the expectation weighs each letter by how well it fits its
-    neighbours' present letters, the maximization adds the weights up. A symbol leaves its start only
-    if the new letter fits better in nine of ten of at least 3 different places beside another letter.
+    neighbours' present letters, the maximization adds the weights up. No letter of ASCII is ever
+    allowed: those stand for themselves on every page. A symbol leaves its start only if the new letter fits
+    better in VOTES of at least PLACES different places beside another letter, by LEAVE nats in all.
     """
     start = start or {}
     _, letters = _classes()
@@ -586,25 +735,33 @@ def maximize(contexts: pd.DataFrame, model: np.ndarray, start: dict[int, str] |
             fit = np.log(p[s] + 1e-12) + lm[a] + lm[:, b]
             fit = np.exp(fit - fit.max()) * (p[s] > 0)
             added[s] += n * fit / fit.sum()
-        p = {s: row / row.sum() for s, row in added.items()}
+        p = {s: row * allowed / (row * allowed).sum() for s, row in added.items()}
     best = {s: int(row.argmax()) for s, row in p.items()}
-    votes: dict[int, list[int]] = {s: [0, 0] for s in symbols}
+    votes: dict[int, list[float]] = {s: [0, 0, 0.0] for s in symbols}
     for before, s, after, _ in rows:
         if chr(before).isspace() and chr(after).isspace():
             continue
         a, b = best.get(before, cls(chr(before))), best.get(after, cls(chr(after)))
-        old = cls(start[s]) if s in start else None
+        old = cls(start[s]) if s in start else cls(chr(s))
+        more = float(lm[a, best[s]] + lm[best[s], b] - lm[a, old] - lm[old, b])
         votes[s][0] += 1
-        votes[s][1] += old is None or lm[a, best[s]] + lm[best[s], b] > lm[a, old] + lm[old, b]
+        votes[s][1] += more > 0
+        votes[s][2] += n * more
     out = dict(start)
     for s in symbols:
-        places, better = votes[s]
-        if p[s][best[s]] > 0.8 and places >= 3 and better >= 0.9 * places and (s not in start or cls(start[s]) != best[s]):
+        places, better, nats = votes[s]
+        least = PLACES if s in start else 3
+        if p[s][best[s]] > 0.8 and places >= least and better >= VOTES * places and nats >= LEAVE and (s not in start or cls(start[s]) != best[s]):
             low = letters[best[s]]
-            out[s] = low.upper() if s in start and start[s].isupper() else low
+            out[s] = low.upper() if (start[s] if s in start else chr(s)).isupper() else low
     return out
 
 
+def _less(counts: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+    out = pd.concat([counts, more]).groupby(["a", "b"], as_index=False)["n"].sum()
+    return out.assign(n=out["n"].clip(lower=0))
+
+
 def wrongly_decoded(docs: DataFrame) -> DataFrame:
     """(doc_id, source, repaired, gain, swaps) of the documents that hold wrongly decoded stretches.
 
@@ -615,8 +772,8 @@ def wrongly_decoded(docs: DataFrame) -> DataFrame:
     texts of one source get equal results; an empty table gives an empty result.
 
     All whole texts are read: once for the bigrams and triples (sums of two tables of fixed size, the
-    only thing that comes to the driver), once to take suspected stretches out of these, once for the
-    candidate stretches. Only candidates are kept (text included) for the estimation of
+    only thing that comes to the driver), once to take suspected stretches out of these (twice where pairs of
+    pages are proposed), once for the candidate stretches. Only candidates are kept (text included) for the estimation of
     the ciphers, which gathers counts per (source, swap, context) by shuffled sums, and for the
     final decision.
     """
@@ -625,14 +782,16 @@ def wrongly_decoded(docs: DataFrame) -> DataFrame:
     odd = docs.filter(F.col("text").rlike(r"[^\x00-\x7F]"))
     counts = language_counts(docs).toPandas()
     everything = spark.sparkContext.broadcast((triple_table(counts), group_table(counts)))
-    less = suspect_counts(odd, everything).toPandas()
+    pruned = _less(counts, suspect_counts(odd, everything).toPandas())
+    proposed = propose(pruned)
+    if proposed:
+        pruned = _less(counts, suspect_counts(odd, everything, proposed).toPandas())
     everything.unpersist()
-    counts = pd.concat([counts, less]).groupby(["a", "b"], as_index=False)["n"].sum()
-    counts["n"] = counts["n"].clip(lower=0)
+    counts = pruned
     shared = spark.sparkContext.broadcast((bigram_model(counts), triple_table(counts)))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*shared.value, Ciphers())
+        reader = Reader(*shared.value, Ciphers(proposed=proposed))
         for batch in batches:
             keep = []
             for i, (text, source) in enumerate(zip(batch["text"], batch["source"])):
@@ -647,19 +806,19 @@ def wrongly_decoded(docs: DataFrame) -> DataFrame:
     found = cut(odd.mapInPandas(candidates, "doc_id bigint, source string, text string"))
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*shared.value, Ciphers())
+        reader = Reader(*shared.value, Ciphers(proposed=proposed))
         counts: dict = defaultdict(int)
         for batch in batches:
             for text, source in zip(batch["text"], batch["source"]):
                 _, tokens = split_tokens(text)
                 gain, k, first, last = reader.best_stretch(tokens, source)
-                if gain <= 0 or SWAPS[k][0] == "utf-8":
+                if gain <= 0 or k < len(SWAPS) and SWAPS[k][0] == "utf-8":
                     continue
-                table = code_page_table(*SWAPS[k])
+                symbols = start_table(k)
                 for _, t in tokens[first : last + 1]:
                     t = " " + t + " "
                     for x, y, z in zip(t, t[1:], t[2:]):
-                        if ord(y) in table:
+                        if ord(y) in symbols:
                             counts[source, k, ord(x), ord(y), ord(z)] += 1
         rows = [(*key, n) for key, n in counts.items()]
         yield pd.DataFrame(rows, columns=["source", "swap", "before", "symbol", "after", "n"])
@@ -672,24 +831,34 @@ def wrongly_decoded(docs: DataFrame) -> DataFrame:
 
     def learn(group: pd.DataFrame) -> pd.DataFrame:
         source, k = group["source"].iloc[0], int(group["swap"].iloc[0])
-        table = maximize(group, shared.value[0], code_page_table(*SWAPS[k]))
-        return pd.DataFrame({"source": source, "swap": k, "symbol": list(table), "letter": list(table.values())})
-
-    tables = seen.groupBy("source", "swap").applyInPandas(learn, "source string, swap int, symbol int, letter string").toPandas()
-    ciphers = Ciphers({(s, int(k)): dict(zip(g["symbol"].astype(int), g["letter"])) for (s, k), g in tables.groupby(["source", "swap"])})
-    learned = spark.sparkContext.broadcast(ciphers)
+        start = start_table(k)
+        table = maximize(group, shared.value[0], start)
+        new = {s: c for s, c in table.items() if start.get(s) != c}
+        rows = [(source, k, symbol, letter) for symbol, letter in new.items()]
+        return pd.DataFrame(rows, columns=["source", "swap", "symbol", "letter"], dtype=object)
+
+    # What a source's ciphers have beyond their pages goes to its documents with them, however many sources there are.
+    tables = cut(
+        seen.groupBy("source", "swap")
+        .applyInPandas(learn, "source string, swap int, symbol int, letter string")
+        .groupBy("source")
+        .agg(F.to_json(F.collect_list(F.array(F.col("swap").cast("string"), F.col("symbol").cast("string"), F.col("letter")))).alias("tables"))
+    )
+    known = join_lookup(found, tables, ["source"], how="left")
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(*shared.value, learned.value)
+        reader = Reader(*shared.value, Ciphers(proposed=proposed))
         for batch in batches:
             rows = []
-            for doc_id, source, text in zip(batch["doc_id"], batch["source"], batch["text"]):
+            for doc_id, source, text, learned in zip(batch["doc_id"], batch["source"], batch["text"], batch["tables"]):
+                if learned is not None:
+                    reader.learn(source, learned)
                 fixed, gain, swaps = repair(text, source, reader)
-                names = [f"{SWAPS[k][0]}>{SWAPS[k][1]}" for k, _ in swaps]
+                names = [swap_name(k) for k, _ in swaps]
                 if LOST in fixed:
                     fixed, names = fill_lost(fixed, shared.value[0]), [*names, "lost"]
                 if names:
                     rows.append((doc_id, source, fixed, gain, names))
             yield pd.DataFrame(rows, columns=["doc_id", "source", "repaired", "gain", "swaps"])
 
-    return found.mapInPandas(decide, "doc_id bigint, source string, repaired string, gain double, swaps array<string>")
+    return known.mapInPandas(decide, "doc_id bigint, source string, repaired string, gain double, swaps array<string>")

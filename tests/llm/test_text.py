@@ -389,7 +389,7 @@ def test_pair_of_pages_that_is_not_listed_is_proposed(spark, written, read, lang
 
 def test_learned_tables_are_never_worse_than_their_pages(spark):
     """Letters of ASCII are never learned, and no symbol leaves its page without many places that say so."""
-    model = encoding.bigram_model(encoding.language_counts(corpus(spark)).toPandas())
+    model = encoding.bigram_model(encoding.language_counts(corpus(spark)[0]).toPandas())
     start = encoding.code_page_table("cp1252", "cp1250")
     rng = random.Random(12)
     seen = {}
@@ -405,7 +405,7 @@ def test_learned_tables_are_never_worse_than_their_pages(spark):
 
 
 def test_clean_texts_propose_nothing(spark):
-    assert encoding.propose(encoding.language_counts(corpus(spark).select(F.lit("s").alias("source"), "text").limit(0)).toPandas()) == ()
+    assert encoding.propose(encoding.language_counts(corpus(spark)[0].select("source", "text").limit(0)).toPandas()) == ()
     rng = random.Random(13)
     texts = [(" ".join(rng.choice(CLEAN[own].split()) for _ in range(80)), "s") for own in CLEAN for _ in range(60)]
     counts = encoding.language_counts(spark.createDataFrame(texts, "text string, source string")).toPandas()

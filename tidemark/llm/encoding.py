@@ -161,7 +161,7 @@ _COUNTS = "a int, b int, n bigint, groups int"
 
 
 def language_counts(docs: DataFrame) -> DataFrame:
-    """(a, b, n, groups) over all whole texts of docs(source, text): how often class b follows class a, and, with
+    """(a, b, n, groups) over all whole texts of docs(source, text), a null source being '': how often class b follows class a, and, with
     b = -1, how often the triples of slot a stand in the texts (those with a character that is not ASCII, and
     such characters between blanks) and in which of 31 groups of sources, a bit per group."""
 
@@ -171,7 +171,7 @@ def language_counts(docs: DataFrame) -> DataFrame:
             groups: dict[int, list[str]] = defaultdict(list)
             for source, text in zip(batch["source"], batch["text"]):
                 if text:
-                    groups[zlib.crc32(source.encode("utf-8", "surrogatepass")) % 31].append(text)
+                    groups[zlib.crc32((source or "").encode("utf-8", "surrogatepass")) % 31].append(text)
             for g, texts in groups.items():
                 _add_counts(texts, total, triples, where=where, bit=1 << g)
         yield from _count_rows(total, triples, where)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -23,23 +24,25 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PARTITION_ITEMS = 50_000
 #: Containers fuller than this keep their items when a partition with a gap gives up documents.
 KEEP_FILL = 0.995
-ROUNDS = 3
 ASSIGNED = "doc_id bigint, part int, n_tokens int, container string, released boolean"
 
 
 @cache
-def _encoding(path: str):
+def _encoding(digest: str, content: bytes):
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in Path(path).read_bytes().splitlines() if line)}
-    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in content.splitlines() if line)}
+    return tiktoken.Encoding(digest, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_sizes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens) of whole texts; null and empty texts have none."""
+    """(doc_id, n_tokens) of whole texts; null and empty texts have none. The vocabulary file is read here and sent to the workers."""
+    content = Path(vocabulary).read_bytes()
+    digest = hashlib.sha256(content).hexdigest()
+    shared = docs.sparkSession.sparkContext.broadcast(content)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _encoding(vocabulary).encode_ordinary
+        encode = _encoding(digest, shared.value).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(n, dtype=np.int64)})
@@ -114,7 +117,7 @@ def pieces(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return sizes.withColumn("part", F.explode(F.sequence(F.lit(0), last))).select("doc_id", "part", size.cast("int").alias("n_tokens"))
 
 
-def pack(sizes: DataFrame, capacity: int = CAPACITY, partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int = CAPACITY, partition_items: int = PARTITION_ITEMS) -> DataFrame:
     """(doc_id, part, n_tokens, container) for sizes (doc_id, n_tokens).
 
     Containers hold at most `capacity`; only texts above that are split, into full pieces and a rest.
@@ -124,27 +127,26 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, partition_items: int = PART
     Items are spread over partitions of about `partition_items` by hash and packed there by best-fit
     decreasing. The dual-feasible lower bound certifies the partition's bin count; a partition that
     has more bins than its bound keeps its full containers and gives up the documents of the others.
-    Those are pooled, spread anew over fewer partitions, and packed again, up to `rounds` times.
-    Full pieces fill a container each and are never moved.
+    Those are pooled, spread anew over fewer partitions, and packed again, until every partition is certified, or the
+    pool no longer shrinks; what is then left is packed once more in its partitions. certificate() says
+    how far the whole is from its bound. Full pieces fill a container each and are never moved.
     """
     every = cut(pieces(sizes.filter("doc_id IS NOT NULL AND n_tokens >= 0"), capacity))
     alone = every.filter(F.col("n_tokens") == capacity).select(
         "doc_id", "part", "n_tokens", F.concat_ws("-", F.lit("full"), "doc_id", "part").alias("container")
     )
-    pool = every.filter(F.col("n_tokens") < capacity)
-    out = alone
-    for r in range(rounds):
+    pool, out, before, number = every.filter(F.col("n_tokens") < capacity), alone, None, 0
+    while True:
         items = pool.count()
-        if not items and r:
-            break
+        if not items and number:
+            return out
         spread = max(1, -(-items // partition_items))
-        last = r == rounds - 1 or spread == 1
-        packed = cut(_pack_round(pool, r, spread, last, capacity))
+        last = spread == 1 or before is not None and items >= before
+        packed = cut(_pack_round(pool, number, spread, last, capacity))
         out = out.unionByName(packed.filter("NOT released").select("doc_id", "part", "n_tokens", "container"))
-        pool = packed.filter("released").select("doc_id", "part", "n_tokens")
         if last:
-            break
-    return out
+            return out
+        pool, before, number = packed.filter("released").select("doc_id", "part", "n_tokens"), items, number + 1
 
 
 def _pack_round(pool: DataFrame, number: int, spread: int, last: bool, capacity: int) -> DataFrame:

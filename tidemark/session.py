@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import itertools
+import re
 import tempfile
 import uuid
 
@@ -37,10 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where none is named (tests)."""
+    """The shared folder named by the session; a local one only where none is named and all work is done on this machine."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")

@@ -163,7 +163,6 @@ def classify(scores: DataFrame, config: CheckConfig, ctx: RunContext) -> DataFra
         condition = condition & (F.col("metric_value") >= config.min_value)
     if config.fail_on_zero:
         condition = condition | ((F.col("metric_value") == 0) & F.col("anomaly_score").isNotNull())
-    latest = F.max("bucket_end").over(W.partitionBy("test_execution_id"))
     recent = F.col("bucket_end") > F.col("max_bucket_end") - F.expr(f"INTERVAL {config.backfill_days} DAY")
     series = W.partitionBy("full_table_name", "column_name", "metric_name", "dimension", "dimension_value", "bucket_seasonality").orderBy("bucket_end")
     # An anomalous value is part of its own limits; those of the bucket before show what was expected. A
@@ -172,7 +171,7 @@ def classify(scores: DataFrame, config: CheckConfig, ctx: RunContext) -> DataFra
     lowest = before("metric_value" if config.anomaly_direction == "spike" else "min_metric_value")
     highest = before("metric_value" if config.anomaly_direction == "drop" else "max_metric_value")
     out = (
-        scores.withColumn("max_bucket_end", latest)
+        _with_latest(scores)
         .withColumn("is_anomalous", F.coalesce(condition & recent, F.lit(False)))
         .withColumn("anomaly_description", description())
         .withColumn("value", F.col("metric_value"))
@@ -185,6 +184,18 @@ def classify(scores: DataFrame, config: CheckConfig, ctx: RunContext) -> DataFra
     return out.where(config.exclude_final_results) if config.exclude_final_results else out
 
 
+def _with_latest(scores: DataFrame) -> DataFrame:
+    """scores with max_bucket_end, the last bucket of their run: a sum of one row, not a window over all rows.
+
+    The maximum is taken over whole rows, so that both uses of the scores need the same columns and
+    their shuffle (and the scan below it) is computed once.
+    """
+    first = ["bucket_end", *[c for c in scores.columns if c != "bucket_end"]]
+    last = scores.groupBy(F.col("test_execution_id").alias("_run")).agg(F.max(F.struct(*first)).alias("_row"))
+    last = F.broadcast(last.select("_run", F.col("_row.bucket_end").alias("max_bucket_end")))
+    return scores.join(last, F.col("test_execution_id") == F.col("_run"), "left").drop("_run")
+
+
 def _number(c: Column, digits: int = 3) -> Column:
     return F.round(c, digits).cast("string")
 

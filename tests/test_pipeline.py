@@ -9,7 +9,7 @@ from tests.conftest import rows
 from tidemark import artifacts, catalogue, commands, results
 from tidemark.config import CheckConfig, RunContext, TableRef, TimeBucket
 from tidemark.plans import views
-from tidemark.sources import tables
+from tidemark.sources import store, tables
 from tidemark.sources.store import MetricStore, ParquetTable
 from tidemark.streaming.volume import into_store, stream_metrics, stream_once
 
@@ -181,3 +181,43 @@ def test_views_without_matches(spark):
     fresh = tables.constant(spark, [{"unique_id": "s", "status": "error"}], artifacts.SCHEMAS["dbt_source_freshness_results"])
     assert views.alerts_source_freshness(fresh, sources).count() == 0
     assert views.alerts_source_freshness(fresh, tables.constant(spark, [{"unique_id": "s"}], artifacts.SCHEMAS["dbt_sources"])).count() == 1
+
+
+STORED = "id string, v int, updated_at timestamp_ntz, day string"
+
+
+def stored(spark, data):
+    return spark.createDataFrame([(i, v, datetime(2024, 1, 1, v), d) for i, v, d in data], STORED)
+
+
+def test_upsert_writes_touched_partitions_only(spark, tmp_path):
+    t = ParquetTable(spark, str(tmp_path / "t"), STORED, ("day",))
+    t.upsert(stored(spark, [("a", 1, "x"), ("b", 1, "y"), ("c", 1, None), ("d", 1, "z:1")]), "id", "updated_at")
+    before = set(t._current()[1]["folders"])
+    old = t.read()
+    t.upsert(stored(spark, [("b", 2, "y"), ("b", 3, "y"), ("e", 1, "w")]), "id", "updated_at")
+    after = set(t._current()[1]["folders"])
+    assert {f.split("/")[0] for f in before & after} == {"day=x", "day=__HIVE_DEFAULT_PARTITION__", "day=z%3A1"}
+    assert rows(t.read().select("id", "v", "day")) == rows(stored(spark, [("a", 1, "x"), ("b", 3, "y"), ("c", 1, None), ("d", 1, "z:1"), ("e", 1, "w")]).select("id", "v", "day"))
+    # Whoever listed the table before still reads it whole.
+    assert old.count() == 4
+    t.upsert(stored(spark, [("a", 5, "y"), ("c", 5, "x")]), "id", "updated_at")
+    assert rows(t.read().select("id", "v", "day")) == rows(stored(spark, [("a", 5, "y"), ("b", 3, "y"), ("c", 5, "x"), ("d", 1, "z:1"), ("e", 1, "w")]).select("id", "v", "day"))
+    t.delete("v = 5")
+    t.delete_and_insert(stored(spark, [("d", 0, None)]), stored(spark, [("n", 1, "x")]), "id")
+    assert rows(t.read().select("id", "day")) == [("b", "y"), ("e", "w"), ("n", "x")]
+
+
+def test_appends_once_by_token_and_writers_that_meet(spark, tmp_path):
+    t = ParquetTable(spark, str(tmp_path / "t"), STORED)
+    t.append(stored(spark, [("a", 1, "x")]), "batch 1")
+    t.append(stored(spark, [("a", 1, "x")]), "batch 1")
+    assert t.count() == 1
+    number, now = t._current()
+    t.append(stored(spark, [("b", 1, "x")]))
+    with pytest.raises(store.Conflict):
+        t._publish(number, now["folders"], [])
+    assert t.count() == 2
+    t.delete_and_insert(None, stored(spark, [(None, 1, "x")]), "id")
+    t.delete_and_insert(stored(spark, []), None, "id")
+    assert rows(t.read().select("id")) == [("a",), ("b",)]

@@ -49,11 +49,15 @@ def stream_metrics(stream: DataFrame, config: CheckConfig, ctx: RunContext, colu
 
 def into_store(metrics: DataFrame, store: MetricStore, ctx: RunContext, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
     """Write a stream of metrics to history; in update mode a bucket's row replaces its earlier one, which is
-    how buckets are recomputed while late rows come in. A repeated batch writes the same ids again."""
+    how buckets are recomputed while late rows come in, and only the days touched are written. In append mode a bucket
+    comes once and is appended. A repeated batch changes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
         stamped = batch.withColumn("created_at", F.lit(ctx.now).cast("timestamp_ntz")).withColumn("bucket_date", F.to_date("bucket_end"))
-        store.upsert(stamped, "id", "updated_at")
+        if mode == "append":
+            store.append(stamped, f"{checkpoint}:{number}")
+        else:
+            store.upsert(stamped, "id", "updated_at")
 
     return metrics.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

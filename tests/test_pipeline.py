@@ -87,6 +87,11 @@ def test_anomaly_outcomes(spark):
     out = {o.column_name: o for o in results.anomaly_outcomes(node(), spark.createDataFrame(data, shape))}
     assert out[None].status == "pass" and out[None].description.startswith("Not enough")
     assert out["c"].status == "fail" and out["c"].failures == 2 and out["c"].description.startswith("2 values") and len(out["c"].samples) == 3
+    assert "x, y" in out["c"].description and out["c"].samples[-1]["bucket_end"] == NOW
+    few = {o.column_name: o for o in results.anomaly_outcomes(node(severity="WARN"), spark.createDataFrame(data, shape), most=1, samples=1)}
+    assert few["c"].status == "warn" and len(few["c"].samples) == 1 and "among them x." in few["c"].description
+    every = results.anomaly_rows(spark.createDataFrame(data, shape), list(few.values()), CTX)
+    assert [r["row_index"] for r in every.orderBy("row_index").collect()] == [0, 1, 2] and results.anomaly_outcomes(node(), spark.createDataFrame([], shape)) == []
 
 
 # metadata

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULTS, RunContext
@@ -100,10 +101,14 @@ def sample_limit(node: TestNode, selected: Iterable[str] | None = None, options:
 
 
 def sample_rows(failures: DataFrame, limit: int, failed: int | None = None) -> list[dict[str, Any]]:
-    """Up to limit failing rows as dicts; no query for a limit of 0 or a passed test; never more rows than failures."""
+    """Up to limit failing rows as dicts; no query for a limit of 0 or a passed test; never more rows than failures.
+
+    A limit below 0 asks for all rows, which are streamed here partition by partition; as_json_rows() keeps
+    all rows of a large table without the driver.
+    """
     if limit == 0 or failed == 0:
         return []
-    rows = failures.collect() if limit < 0 else failures.limit(limit).collect()
+    rows = failures.toLocalIterator() if limit < 0 else failures.limit(limit).collect()
     out = [r.asDict(recursive=True) for r in rows]
     return out[:failed] if failed else out
 
@@ -120,6 +125,7 @@ class Outcome:
     column_name: str | None = None
     other: Any = None
     id: str = field(default_factory=lambda: str(uuid.uuid4()))
+    table: str | None = None
 
 
 def run_check(node: TestNode, failures: DataFrame, calculation: str | None = "count(*)", warn_if: int = 1, error_if: int = 1, options: Mapping[str, Any] | None = None) -> Outcome:
@@ -136,32 +142,66 @@ def run_check(node: TestNode, failures: DataFrame, calculation: str | None = "co
         failures.unpersist()
 
 
-def anomaly_outcomes(node: TestNode, classified: DataFrame, most: int = 5) -> list[Outcome]:
+#: What one outcome of an anomaly check stands for.
+GROUP = ["full_table_name", "column_name", "metric_name"]
+
+
+def anomaly_outcomes(node: TestNode, classified: DataFrame, most: int = 5, samples: int = 100) -> list[Outcome]:
     """One outcome per (table, column, metric) of classified scores, which have one row per bucket and series.
 
-    All scored rows are kept as samples; a metric without any score passes with a note.
+    Counted and described in Spark: per outcome its counts, its last row and the `most` dimension values that
+    were anomalous last come to the driver, and as samples its last `samples` scored rows; anomaly_rows() has
+    all of them. A metric without any score passes with a note.
     """
-    groups: dict[tuple, list[dict[str, Any]]] = {}
-    order = ["full_table_name", "column_name", "metric_name", "bucket_end"]
-    for r in classified.orderBy(*order).toLocalIterator():
-        d = r.asDict()
-        groups.setdefault((d["full_table_name"], d["column_name"], d["metric_name"]), []).append(d)
+    rows = classified.withColumn("_scored", F.col("anomaly_score").isNotNull())
+    bad = F.col("_scored") & F.coalesce("is_anomalous", F.lit(False))
+    # The last anomalous row, else the last scored one, else the last.
+    rank = F.struct(bad.cast("int").alias("b"), F.col("_scored").alias("s"), F.col("bucket_end").alias("e"), F.col("anomaly_description").alias("d"))
+    counts = rows.groupBy(*GROUP).agg(
+        F.count_if("_scored").alias("scored"),
+        F.count_if(bad).alias("bad"),
+        F.max_by("anomaly_description", rank).alias("text"),
+        F.max_by("dimension", rank).alias("dimension"),
+    )
+    values = rows.where(bad & F.col("dimension").isNotNull()).groupBy(*GROUP, "dimension_value").agg(F.max("bucket_end").alias("last"))
+    of_group = W.partitionBy(*GROUP)
+    top = values.withColumn("_nth", F.row_number().over(of_group.orderBy(F.col("last").desc(), F.col("dimension_value").asc_nulls_last()))).where(F.col("_nth") <= most)
+    known: dict[tuple, tuple[int, list]] = {}
+    for r in values.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("n")).collect():
+        known[tuple(r[c] for c in GROUP)] = (r["n"], [])
+    for r in top.orderBy(*GROUP, "_nth").collect():
+        known[tuple(r[c] for c in GROUP)][1].append(r["dimension_value"])
+    last = of_group.orderBy(F.col("bucket_end").desc(), F.col("is_anomalous").desc())
+    kept: dict[tuple, list[dict[str, Any]]] = {}
+    picked = rows.where("_scored").withColumn("_nth", F.row_number().over(last)).where(F.col("_nth") <= samples)
+    for r in picked.orderBy(*GROUP, F.col("_nth").desc()).collect():
+        d = r.asDict(recursive=True)
+        kept.setdefault(tuple(d[c] for c in GROUP), []).append({k: v for k, v in d.items() if k not in ("_scored", "_nth")})
     out = []
-    for (_, column, metric), rows in groups.items():
-        scored = [r for r in rows if r["anomaly_score"] is not None]
-        bad = [r for r in scored if r["is_anomalous"]]
-        latest = (bad or scored or rows)[-1]
-        text = latest["anomaly_description"] if scored else "Not enough data to calculate anomaly score."
-        if bad and latest.get("dimension"):
-            values = list(dict.fromkeys(r["dimension_value"] for r in sorted(bad, key=lambda r: r["bucket_end"], reverse=True)))
-            if len(values) > 1:
-                text = f"{len(values)} values of dimension {latest['dimension']} are anomalous, among them " + ", ".join(map(str, values[:most])) + "."
-        severe = node.severity.upper() == "ERROR"
-        status = ("fail" if severe else "warn") if bad else "pass"
-        out.append(Outcome(node, status, len(bad), len(bad), scored, text, metric, column))
+    for r in counts.orderBy(*GROUP).collect():
+        group = tuple(r[c] for c in GROUP)
+        text = r["text"] if r["scored"] else "Not enough data to calculate anomaly score."
+        n, names = known.get(group, (0, []))
+        if r["bad"] and n > 1:
+            text = f"{n} values of dimension {r['dimension']} are anomalous, among them " + ", ".join(map(str, names)) + "."
+        status = ("fail" if node.severity.upper() == "ERROR" else "warn") if r["bad"] else "pass"
+        out.append(Outcome(node, status, r["bad"], r["bad"], kept.get(group, []), text, r["metric_name"], r["column_name"], table=r["full_table_name"]))
     return out
 
 
+def anomaly_rows(classified: DataFrame, outcomes: list[Outcome], ctx: RunContext) -> DataFrame:
+    """All scored rows as sample rows of their outcomes, for the table of sample rows; nothing comes to the driver."""
+    spark = classified.sparkSession
+    ids = spark.createDataFrame([(o.table, o.column_name, o.sub_type, o.id, check_type(o.node)) for o in outcomes], "_t string, _c string, _m string, test_results_id string, test_type string")
+    on = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(GROUP, ("_t", "_c", "_m"))]
+    scored = classified.where("anomaly_score IS NOT NULL")
+    nth = F.row_number().over(W.partitionBy("test_results_id").orderBy("bucket_end", F.col("dimension_value").asc_nulls_first())) - 1
+    # Outcomes are as many as metrics, not as rows.
+    return scored.withColumn("result_row", F.to_json(F.struct(*scored.columns))).join(F.broadcast(ids), on).select(
+        "test_results_id", "result_row", F.lit(ctx.run_started_at).cast("timestamp_ntz").alias("detected_at"), F.lit(ctx.now).cast("timestamp_ntz").alias("created_at"), nth.alias("row_index"), "test_type"
+    )
+
+
 def result_tables(spark: SparkSession, outcomes: list[Outcome], ctx: RunContext) -> tuple[DataFrame, DataFrame]:
     """(results, sample rows) of a run, ready to be appended to their tables."""
     rows, samples = [], []

@@ -5,12 +5,12 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidemark.plans import problems, reference, views
+from tidemark.plans import problems, reference, stored, views
 from tools.verify import norm
 
 DATA = Path("/root/testdata/sf0.001")
-QUERIES = {**reference.QUERIES, **views.QUERIES, **problems.QUERIES}
-ORACLES = {**reference.ORACLES, **views.ORACLES, **problems.ORACLES}
+QUERIES = {**reference.QUERIES, **views.QUERIES, **stored.QUERIES, **problems.QUERIES}
+ORACLES = {**reference.ORACLES, **views.ORACLES, **stored.ORACLES, **problems.ORACLES}
 
 
 @pytest.fixture(scope="module")

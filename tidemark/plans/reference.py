@@ -419,14 +419,16 @@ def schema_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def schema_changes_history(spark: SparkSession, d: str) -> DataFrame:
-    """The latest stored snapshot of each table against its columns of the day before that."""
-    rows = table(spark, d, "schema_columns_snapshot").select(F.upper("full_table_name").alias("full_table_name"), F.lower("column_name").alias("column_name"), "data_type", F.to_date("detected_at").alias("day"))
+    """The latest stored snapshot of each table against the one before it; of several types of a day the greatest counts."""
+    kind = F.upper(F.regexp_replace("data_type", r"\s", ""))
+    stored = table(spark, d, "schema_columns_snapshot").where("full_table_name IS NOT NULL AND column_name IS NOT NULL")
+    rows = stored.groupBy(F.upper("full_table_name").alias("full_table_name"), F.lower("column_name").alias("column_name"), F.to_date("detected_at").alias("day")).agg(F.max(kind).alias("data_type"))
     latest = rows.groupBy("full_table_name").agg(F.max("day").alias("last"))
     dated = rows.join(latest, "full_table_name")
     now = dated.where("day = last")
     before = dated.where("day < last").groupBy("full_table_name").agg(F.max("day").alias("previous"))
     old = dated.join(before, "full_table_name").where("day = previous")
-    return schema_checks.changes(now, old, types=False).select("full_table_name", "column_name", "change")
+    return schema_checks.changes(now, old).select("full_table_name", "column_name", "change")
 
 
 # Deadlines
@@ -718,11 +720,13 @@ SELECT id, full_table_name, column_name, dimension, dimension_value, metric_name
   SELECT column_name, 'column_added' change FROM (DESCRIBE orders) WHERE column_name NOT IN ('o_orderkey', 'o_totalprice', 'o_comment')
   UNION ALL SELECT 'o_comment', 'column_removed' UNION ALL SELECT 'o_totalprice', 'type_changed')""",
     "schema_changes_history": """
-WITH s AS (SELECT DISTINCT upper(full_table_name) t, lower(column_name) c, CAST(detected_at AS DATE) d FROM schema_columns_snapshot),
+WITH s AS (SELECT upper(full_table_name) t, lower(column_name) c, CAST(detected_at AS DATE) d, max(upper(regexp_replace(data_type, '\\s', '', 'g'))) k
+  FROM schema_columns_snapshot WHERE full_table_name IS NOT NULL AND column_name IS NOT NULL GROUP BY 1, 2, 3),
 l AS (SELECT t, max(d) d FROM s GROUP BY t), p AS (SELECT s.t, max(s.d) d FROM s JOIN l ON s.t = l.t AND s.d < l.d GROUP BY s.t),
 n AS (SELECT s.* FROM s JOIN l USING (t, d) WHERE t IN (SELECT t FROM p)), o AS (SELECT s.* FROM s JOIN p USING (t, d))
-SELECT t full_table_name, c column_name, 'column_added' change FROM (SELECT t, c FROM n EXCEPT SELECT t, c FROM o)
-UNION ALL SELECT t, c, 'column_removed' FROM (SELECT t, c FROM o EXCEPT SELECT t, c FROM n)""",
+SELECT coalesce(n.t, o.t) full_table_name, coalesce(n.c, o.c) column_name,
+  CASE WHEN o.t IS NULL THEN 'column_added' WHEN n.t IS NULL THEN 'column_removed' ELSE 'type_changed' END "change"
+FROM n FULL JOIN o ON n.t = o.t AND n.c = o.c WHERE n.t IS NULL OR o.t IS NULL OR n.k <> o.k""",
     "data_freshness_sla": "SELECT CASE WHEN max(ts) >= TIMESTAMP '2024-01-30 23:00:00' THEN 'DATA_FRESH' ELSE 'DATA_STALE' END status, NOT max(ts) >= TIMESTAMP '2024-01-30 23:00:00' is_failure, max(ts) latest, TIMESTAMP '2024-01-31 06:00:00' sla_deadline FROM events",
     "execution_sla": """
 WITH r AS (SELECT lower(regexp_replace(unique_id, '^\\s+|\\s+$', '', 'g')) u, status,

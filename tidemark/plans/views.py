@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text_time import clean_id, utc_instant
 from tidemark.operators.ordered import number_within
-from tidemark.results import RESULTS_SCHEMA
 from tidemark.session import table
-from tidemark.sources.tables import constant
 
 RUN_COLUMNS = [
     "model_execution_id",
@@ -70,6 +66,11 @@ def model_run_results(runs: DataFrame, models: DataFrame) -> DataFrame:
     return joined.withColumn("is_the_first_invocation_of_the_day", same("_first")).withColumn("is_the_last_invocation_of_the_day", same("_last")).drop("_day", "_first", "_last")
 
 
+def latest_full_refresh(runs: DataFrame) -> DataFrame:
+    """(unique_id, generated_at) of each node's latest run that was a full refresh."""
+    return runs.where("full_refresh AND unique_id IS NOT NULL").groupBy("unique_id").agg(F.max(utc_instant("generated_at")).alias("generated_at"))
+
+
 def job_run_results(invocations: DataFrame) -> DataFrame:
     start, end = F.min(utc_instant("run_started_at")), F.max(utc_instant("run_completed_at"))
     return (
@@ -80,9 +81,6 @@ def job_run_results(invocations: DataFrame) -> DataFrame:
     )
 
 
-ALERT_TYPES = {"alerts_anomaly_detection": "anomaly_detection", "alerts_schema_changes": "schema_change", "alerts_dbt_tests": "dbt_test"}
-
-
 def alerts(results: DataFrame, kind: str, disabled: bool = False, warnings: bool = True, skipped: bool = False) -> DataFrame:
     """Test results of a type that are no passes; warnings and skipped ones as asked for."""
     status = F.lower("status")
@@ -175,26 +173,6 @@ def pipeline_metadata(spark: SparkSession, d: str) -> DataFrame:
     return _models(spark, d).groupBy("package_name", "materialization").agg(F.count(F.lit(1)).alias("models"), F.sum(F.greatest(tags, F.lit(0))).cast("bigint").alias("tags"))
 
 
-_RESULTS = [
-    ("1", "anomaly_detection", "fail"),
-    ("2", "anomaly_detection", "pass"),
-    ("3", "anomaly_detection", "warn"),
-    ("4", "schema_change", "fail"),
-    ("5", "schema_change", "skipped"),
-    ("6", "dbt_test", "error"),
-    ("7", "dbt_test", "PASS"),
-]
-
-
-def _results(spark: SparkSession) -> DataFrame:
-    rows = [{"id": i, "test_type": t, "status": s, "detected_at": datetime(2024, 1, 31), "test_name": f"test_{i}"} for i, t, s in _RESULTS]
-    return constant(spark, rows, RESULTS_SCHEMA)
-
-
-def _alert_query(name: str):
-    return lambda spark, d: alerts(_results(spark), ALERT_TYPES[name]).select("alert_id", "alert_type", "status", "detected_at", "test_name")
-
-
 def _id(c: str) -> str:
     return f"lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
 
@@ -214,7 +192,6 @@ QUERIES = {
     "view_alerts_models": view_alerts_models,
     "artifact_hashes": artifact_hashes,
     "pipeline_metadata": pipeline_metadata,
-    **{n: _alert_query(n) for n in ALERT_TYPES},
 }
 ORACLES = {
     "view_model_run_results": f"""WITH {_LATEST},
@@ -232,12 +209,4 @@ SELECT m.schema_name, r.status, count(*) alerts, max(r.g) latest FROM r JOIN m O
     "artifact_hashes": f"WITH {_LATEST} SELECT 'dbt_models' artifacts_model, unique_id, metadata_hash FROM m",
     "pipeline_metadata": f"""WITH {_LATEST} SELECT package_name, materialization, count(*) models,
   CAST(sum(coalesce(len(CAST(from_json(tags, '["VARCHAR"]') AS VARCHAR[])), 0)) AS BIGINT) tags FROM m GROUP BY 1, 2""",
-    **{
-        n: "SELECT id alert_id, t alert_type, s status, TIMESTAMP '2024-01-31 00:00:00' detected_at, 'test_' || id test_name FROM (VALUES "
-        + ", ".join(f"('{i}', '{t}', '{s}')" for i, t, s in _RESULTS)
-        + f") v(id, t, s) WHERE t = '{k}' AND lower(s) NOT IN ('pass', 'skipped')"
-        for n, k in ALERT_TYPES.items()
-    },
 }
-
-

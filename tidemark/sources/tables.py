@@ -111,7 +111,9 @@ def export_csv(
         df = df.where(F.col(timestamp) < F.lit(until).cast("timestamp_ntz"))
     if dedup_by:
         df = deduplicated(df, dedup_by, timestamp or dedup_by)
-    df.drop(*exclude).write.mode("overwrite").csv(path, header=True)
+    # By default CSV cuts instants to milliseconds.
+    whole = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    df.drop(*exclude).write.mode("overwrite").options(timestampFormat=whole, timestampNTZFormat=whole).csv(path, header=True)
 
 
 def without_duplicate_rows(df: DataFrame) -> DataFrame:

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, cut_counting
 
 CYCLE = "cycle"
 
@@ -63,7 +62,7 @@ def _anchors(single: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame | Non
 
     record (child, parent, w[, hops]) ties each to its first ancestor that has not a single parent;
     looped (node) are those that never reach one, as they lie on or below a cycle. Pointers are
-    doubled, so a chain of n nodes takes log2(n) joins, two to a step.
+    doubled, so a chain of n nodes takes log2(n) joins.
     """
     cols = _columns(paths)
     inner = _merge(single.select(F.col("child").alias("parent")).distinct().withColumn("inner", F.lit(True)))
@@ -71,14 +70,21 @@ def _anchors(single: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame | Non
     before = None
     while True:
         ended = F.col("ended") | F.coalesce("u_ended", F.lit(True))
-        pointers = cut(_follow(pointers, pointers, paths, ended.alias("ended")))
-        left = pointers.filter("NOT ended").count()
-        if left == 0:
+        pointers, seen = cut_counting(_follow(pointers, pointers, paths, ended.alias("ended")), left=F.count_if(~F.col("ended")))
+        if seen["left"] == 0:
             return pointers.select(*cols), None
-        if left == before:
+        if seen["left"] == before:
             # No chain ended in this step, so none ends later either: these run round for ever.
             return pointers.filter("ended").select(*cols), pointers.filter("NOT ended").select(F.col("child").alias("node"))
-        before = left
+        before = seen["left"]
+
+
+def _state(edges: DataFrame, paths: bool) -> DataFrame:
+    """Edges with n, the number of their child's parents, and leaf, whether it has no children: sums per node,
+    combined where the edges are read, so that a child of very many parents is no burden."""
+    ends = F.array(F.struct(F.col("child").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("parent").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = edges.select(F.explode(ends).alias("e")).groupBy("e.node").agg(F.sum("e.up").alias("n"), F.max("e.down").alias("inner"))
+    return edges.join(_merge(nodes), F.col("child") == F.col("node")).select(*_columns(paths), "n", (F.col("inner") == 0).alias("leaf"))
 
 
 def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
@@ -94,21 +100,17 @@ def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
     both recorded, until nothing is left but roots. A core that does not shrink holds the cycles: its
     nodes are settled from the roots downward as far as that goes, the rest is cyclic. The records
     are then undone last to first; a node's roots are those of its recorded ancestors, moved by the
-    recorded distance. Only joins and aggregates keyed by node are used; the driver sees counts.
+    recorded distance, 'cycle' being one of them; at the end whoever has that loses the others. Only
+    joins and aggregates keyed by node are used; the driver sees counts, taken while tables are written.
     """
     ids, pairs = links(cut(nodes.select("node", "parents")))
     cols = _columns(paths)
     base = edges = cut(pairs.select("child", "parent", F.lit(1).alias("w"), *([F.array("child").alias("hops")] if paths else [])))
     records: list[DataFrame] = []
     looped: list[DataFrame] = []
+    measures = {"edges": F.count(F.lit(1)), "leaves": F.count_if("leaf"), "single": F.count_if(~F.col("leaf") & (F.col("n") == 1))}
     while True:
-        # One shuffle of the edges serves the in-degree and the question whether a node has children.
-        inner = edges.select(F.col("parent").alias("child")).distinct().withColumn("inner", F.lit(True))
-        counted = edges.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("child")))
-        state = cut(counted.join(_merge(inner), "child", "left").select(*cols, "n", F.col("inner").isNull().alias("leaf")))
-        sizes = state.agg(
-            F.count(F.lit(1)).alias("edges"), F.count_if("leaf").alias("leaves"), F.count_if(~F.col("leaf") & (F.col("n") == 1)).alias("single")
-        ).first()
+        state, sizes = cut_counting(_state(edges, paths), **measures)
         if not sizes["leaves"] and not sizes["single"]:
             break
         if sizes["single"]:
@@ -131,8 +133,11 @@ def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
     if sizes["edges"]:
         known = _settle_core(known, state.select(*cols), paths)
     for record in reversed(records):
-        known = cut(known.unionByName(_expand(record, known, paths)))
-    return known
+        known = known.unionByName(cut(_expand(record, known, paths)))
+    if not looped and not sizes["edges"]:
+        return known
+    bad = known.filter("depth < 0").select("node").distinct()
+    return known.filter("depth >= 0").join(_merge(bad), "node", "left_anti").unionByName(_cyclic(bad, paths))
 
 
 def _cyclic(nodes: DataFrame, paths: bool) -> DataFrame:
@@ -154,10 +159,7 @@ def _expand(record: DataFrame, known: DataFrame, paths: bool) -> DataFrame:
     best = [F.max("depth").alias("depth")]
     if paths:
         best.append(F.max_by("path", F.struct("depth", "path")).alias("path"))
-    # Gathered by node once; the sums per root and the look for a cyclic root need no further shuffle.
-    rows = moved.repartition("node").groupBy("node", "root").agg(*best)
-    lost = F.min("depth").over(W.partitionBy("node")) < 0
-    return rows.withColumn("lost", lost).where("NOT lost OR depth < 0").drop("lost")
+    return moved.groupBy("node", "root").agg(*best)
 
 
 def _settle_core(known: DataFrame, edges: DataFrame, paths: bool) -> DataFrame:
@@ -166,10 +168,10 @@ def _settle_core(known: DataFrame, edges: DataFrame, paths: bool) -> DataFrame:
     while True:
         parents = edges.join(_merge(left), "child", "left_semi")
         waiting = parents.join(_merge(left.withColumnRenamed("child", "parent")), "parent", "left_semi").select("child").distinct()
-        ready = cut(parents.join(_merge(waiting), "child", "left_anti"))
-        if ready.isEmpty():
-            return cut(known.unionByName(_cyclic(left.withColumnRenamed("child", "node"), paths)))
-        known = cut(known.unionByName(_expand(ready, known, paths)))
+        ready, seen = cut_counting(parents.join(_merge(waiting), "child", "left_anti"), n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return known.unionByName(_cyclic(left.withColumnRenamed("child", "node"), paths))
+        known = known.unionByName(cut(_expand(ready, known, paths)))
         left = cut(left.join(_merge(ready.select("child").distinct()), "child", "left_anti"))
 
 
@@ -177,23 +179,25 @@ def descendants(nodes: DataFrame, settled: DataFrame) -> DataFrame:
     """(node, descendant, depth): all pairs of an ancestor and a descendant on no cycle nor below one.
 
     settled: the result of hierarchy(). depth is the number of links on the longest path between
-    them. Paths are doubled each round, so the number of rounds is the logarithm of the depth.
+    them. Distances are doubled: with all pairs up to a distance k known, a pair farther apart has on its longest
+    path one node at exactly k from its ancestor, so only pairs at that distance are joined with
+    all others. The number of rounds is the logarithm of the depth.
     """
     _, pairs = links(nodes)
     good = settled.filter("depth >= 0").select("node").distinct()
     reach = cut(
-        pairs.join(good.withColumnRenamed("node", "child"), "child", "left_semi").select(
+        pairs.join(_merge(good.withColumnRenamed("node", "child")), "child", "left_semi").select(
             F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("depth")
         )
     )
-    total = -1
+    far = 1
     while True:
-        state = reach.agg(F.count(F.lit(1)).alias("n"), F.sum("depth").alias("s")).first()
-        if (state["n"], state["s"]) == total:
-            return reach
-        total = (state["n"], state["s"])
         lower = reach.select(F.col("node").alias("middle"), F.col("descendant").alias("low"), F.col("depth").alias("more"))
-        longer = reach.join(_merge(lower), F.col("descendant") == F.col("middle")).select(
+        longer = reach.filter(F.col("depth") == far).join(_merge(lower), F.col("descendant") == F.col("middle")).select(
             "node", F.col("low").alias("descendant"), (F.col("depth") + F.col("more")).alias("depth")
         )
-        reach = cut(reach.unionByName(longer).groupBy("node", "descendant").agg(F.max("depth").alias("depth")))
+        both = reach.unionByName(longer).groupBy("node", "descendant").agg(F.max("depth").alias("depth"))
+        reach, seen = cut_counting(both, farther=F.count_if(F.col("depth") > far))
+        if not seen["farther"]:
+            return reach
+        far *= 2

@@ -391,6 +391,24 @@ SELECT u unique_id, r root_id, max(n) depth FROM d GROUP BY u, r
 UNION ALL SELECT u, 'cycle', CAST(-1 AS BIGINT) FROM bad"""
 )
 
+P5_PATHS_SQL = (
+    _P5_CTES
+    + """d AS (
+  SELECT u, u r, [u] p FROM l WHERE u NOT IN (SELECT child FROM e)
+  UNION ALL
+  SELECT e.child, d.r, list_append(d.p, e.child) FROM d JOIN e ON e.parent = d.u WHERE e.child NOT IN (SELECT u FROM bad)),
+b AS (SELECT u, r, p, row_number() OVER (PARTITION BY u, r ORDER BY len(p) DESC, p DESC) k FROM d)
+SELECT u unique_id, r root_id, array_to_string(p, ' > ') path, CAST(len(p) - 1 AS BIGINT) depth FROM b WHERE k = 1"""
+)
+P5_DESCENDANTS_SQL = (
+    _P5_CTES
+    + """d AS (
+  SELECT parent a, child u, CAST(1 AS BIGINT) n FROM e WHERE child NOT IN (SELECT u FROM bad)
+  UNION
+  SELECT d.a, e.child, d.n + 1 FROM d JOIN e ON e.parent = d.u WHERE e.child NOT IN (SELECT u FROM bad))
+SELECT a unique_id, u descendant_id, max(n) depth FROM d GROUP BY a, u"""
+)
+
 
 # 6. History of changing entity attributes
 
@@ -519,6 +537,8 @@ ORACLES = {
     "p4_limits": P4_LIMITS_SQL,
     "p4_stuck": P4_STUCK_SQL,
     "p5_found": P5_FOUND_SQL,
+    "p5_paths": P5_PATHS_SQL,
+    "p5_descendants": P5_DESCENDANTS_SQL,
     "p6_found": P6_FOUND_SQL,
     "p6_history": P6_HISTORY_SQL,
     "p6_changes": P6_CHANGES_SQL,

@@ -9,7 +9,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side may be broadcast; rows here are narrow (keys and a few numbers).
@@ -68,6 +68,16 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str, int]]:
+    """cut() and aggregates of the rows, taken while they are written, so that no job of its own counts them."""
+    seen = Observation()
+    out = cut(df.observe(seen, *[F.coalesce(m, F.lit(0)).alias(n) for n, m in measures.items()]))
+    got = seen.get
+    if set(got) != set(measures):  # an empty plan is not observed
+        got = out.agg(*[F.coalesce(m, F.lit(0)).alias(n) for n, m in measures.items()]).first().asDict()
+    return out, got
+
+
 def release(spark: SparkSession) -> None:
     """Let go of plans that are done: the cleaner then removes their shuffle files and broadcasts, which in
     long iterations would stay until the driver happens to collect its garbage."""

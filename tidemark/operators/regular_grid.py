@@ -17,6 +17,8 @@ ORIGIN_S = 4 * 86400
 BLOCK = 4096
 #: Time factors held by the driver and sent to the tasks at once (periods of all blocks fitted together).
 FACTOR_ROWS = 400_000
+#: Rounds of alternating least squares at most, and the share of the error that a round must still take off.
+ROUNDS, SETTLED = 12, 0.01
 OBSERVED, FILLED, UNSUPPORTED = "observed", "filled", "unsupported"
 GRID = "series array<string>, hours int, period bigint, value double, status string"
 
@@ -101,13 +103,14 @@ def _source_factor(f: np.ndarray, x: np.ndarray, ridge: float) -> np.ndarray:
     return np.linalg.solve(f.T @ f + ridge * (1 + len(x) / 50) * np.eye(f.shape[1]), f.T @ x)
 
 
-def fit_time_factors(rows: DataFrame, rank: int = 3, rounds: int = 4, ridge: float = 1.0, seed: int = 7) -> dict:
+def fit_time_factors(rows: DataFrame, rank: int = 3, rounds: int = ROUNDS, ridge: float = 1.0, seed: int = 7) -> dict:
     """Alternating least squares over the source-by-time matrices, one matrix per (hours, block).
 
     Returns {(hours, block): (lowest period, factors[periods, rank], sources per period)}. A round is
     one pass: each task solves its sources' factors from the time factors and adds up the normal
     equations of the periods; only those sums are shuffled, and their totals (periods x rank
-    numbers, never more than FACTOR_ROWS periods) come to the driver, which solves the periods.
+    numbers, never more than FACTOR_ROWS periods) come to the driver, which solves the periods. Rounds end
+    when the squared error of the scaled readings falls by less than SETTLED of itself, or after `rounds`.
     """
     ranges = {
         (r["hours"], r["block"]): (r["lo"], r["hi"] - r["lo"] + 1)
@@ -116,10 +119,11 @@ def fit_time_factors(rows: DataFrame, rank: int = 3, rounds: int = 4, ridge: flo
     rng = np.random.default_rng(seed)
     factors = {k: (lo, rng.normal(size=(n, rank)), np.zeros(n)) for k, (lo, n) in sorted(ranges.items())}
     pairs = [(i, j) for i in range(rank) for j in range(i, rank)]
-    width = len(pairs) + rank + 1
+    width = len(pairs) + rank + 2
     schema = "hours int, block bigint, period bigint, " + ", ".join(f"s{i} double" for i in range(width))
     spark = rows.sparkSession
 
+    before = np.inf
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast({k: (lo, f) for k, (lo, f, _n) in factors.items()})
 
@@ -133,16 +137,17 @@ def fit_time_factors(rows: DataFrame, rank: int = 3, rounds: int = 4, ridge: flo
                     at = np.asarray(periods) - lo
                     x, _, _ = _scaled(np.asarray(readings, dtype=float))
                     u = _source_factor(f[at], x, ridge)
-                    row = np.concatenate([[u[i] * u[j] for i, j in pairs], np.zeros(rank), [1.0]])
+                    row = np.concatenate([[u[i] * u[j] for i, j in pairs], np.zeros(rank), [1.0, 0.0]])
                     add = np.repeat(row[None, :], len(at), axis=0)
                     add[:, len(pairs) : len(pairs) + rank] = x[:, None] * u[None, :]
+                    add[:, -1] = (x - f[at] @ u) ** 2
                     key = (hours, block)
                     if key not in total:
                         total[key] = np.zeros((len(f), width))
                     total[key][at] += add
             for (hours, block), sums_ in total.items():
                 lo = shared.value[hours, block][0]
-                at = np.flatnonzero(sums_[:, -1])
+                at = np.flatnonzero(sums_[:, -2])
                 out = pd.DataFrame(sums_[at], columns=[f"s{i}" for i in range(width)])
                 out.insert(0, "period", at + lo)
                 out.insert(0, "block", block)
@@ -167,14 +172,18 @@ def fit_time_factors(rows: DataFrame, rank: int = 3, rounds: int = 4, ridge: flo
             f = np.zeros_like(f)
             f[at] = np.linalg.solve(a, s[:, len(pairs) : len(pairs) + rank, None])[:, :, 0]
             n = np.zeros_like(n)
-            n[at] = s[:, -1]
+            n[at] = s[:, -2]
             factors[hours, block] = (lo, f, n)
         shared.unpersist()
+        error = float(added[f"s{width - 1}"].sum())
+        if before - error < SETTLED * before:
+            break
+        before = error
     return factors
 
 
 def regular_grid(
-    filled: DataFrame, statuses: tuple[str, ...] = (OBSERVED, FILLED, UNSUPPORTED), rank: int = 3, rounds: int = 4, support: int = 4
+    filled: DataFrame, statuses: tuple[str, ...] = (OBSERVED, FILLED, UNSUPPORTED), rank: int = 3, rounds: int = ROUNDS, support: int = 4
 ) -> DataFrame:
     """(series, hours, period, value, status) for every period between a series' first and last filled one.
 

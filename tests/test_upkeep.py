@@ -149,8 +149,10 @@ def brute_hierarchy(parents):
     return {(n, r, d) for n, b in out.items() for r, d in b.items()} | {(n, "cycle", -1) for n in known if n not in done}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_hierarchy_matches_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "local"), [(1, 0), (2, 0), (3, 0), (1, 5000), (2, 5000), (3, 5000)])
+def test_hierarchy_matches_brute_force(spark, monkeypatch, seed, local):
+    monkeypatch.setattr(hierarchy, "LOCAL_EDGES", local)
+    monkeypatch.setattr(hierarchy, "TOPS", 7)
     rng = np.random.default_rng(seed)
     n = 120
     parents = {}

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import cut, cut_counting
 
 CYCLE = "cycle"
+#: Edges that contraction may leave over for one task to close at once, in blocks of so many of their tops.
+LOCAL_EDGES, TOPS = 5_000, 512
 
 
 def listed_parents(c: Column) -> Column:
@@ -99,7 +105,8 @@ def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
     The graph is contracted: in each step its leaves are raked off and its unary chains spliced out,
     both recorded, until nothing is left but roots. A core that does not shrink holds the cycles: its
     nodes are settled from the roots downward as far as that goes, the rest is cyclic. The records
-    are then undone last to first; a node's roots are those of its recorded ancestors, moved by the
+    are then undone last to first (once it is contracted to LOCAL_EDGES edges or fewer, what is left is closed in one task as
+    the last record, where no paths are asked for); a node's roots are those of its recorded ancestors, moved by the
     recorded distance, 'cycle' being one of them; at the end whoever has that loses the others. Only
     joins and aggregates keyed by node are used; the driver sees counts, taken while tables are written.
     """
@@ -113,6 +120,13 @@ def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
         state, sizes = cut_counting(_state(edges, paths), **measures)
         if not sizes["leaves"] and not sizes["single"]:
             break
+        if records and sizes["edges"] <= LOCAL_EDGES and not paths:
+            closed, seen = cut_counting(_closure(state.select(*cols)), cyclic=F.count_if(F.col("parent").isNull()))
+            if seen["cyclic"]:
+                looped.append(closed.filter("parent IS NULL").select(F.col("child").alias("node")))
+            records.append(closed.filter("parent IS NOT NULL"))
+            sizes["edges"] = 0
+            break
         if sizes["single"]:
             record, loop = _anchors(state.filter("NOT leaf AND n = 1").select(*cols), paths)
             if loop is not None:
@@ -140,6 +154,47 @@ def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
     return known.filter("depth >= 0").join(_merge(bad), "node", "left_anti").unionByName(_cyclic(bad, paths))
 
 
+def _closure(edges: DataFrame) -> DataFrame:
+    """(child, parent, w): each node of a small graph with each top above it (a node without parents) and the
+    longest distance; (child, null, -1) for those on or below a cycle. One task of bounded size."""
+
+    def close(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([pd.DataFrame({"child": [], "parent": [], "w": []}, dtype=object), *batches])
+        names, place = np.unique(np.concatenate([rows["child"], rows["parent"]]).astype(str), return_inverse=True)
+        child, parent, w = place[: len(rows)], place[len(rows) :], rows["w"].to_numpy(dtype=np.int32)
+        above: list[list[int]] = [[] for _ in names]
+        below: list[list[int]] = [[] for _ in names]
+        for i, (c, p) in enumerate(zip(child.tolist(), parent.tolist())):
+            above[c].append(i)
+            below[p].append(c)
+        waits = [len(x) for x in above]
+        tops = [k for k, n in enumerate(waits) if not n]
+        order = list(tops)
+        for k in order:
+            for c in below[k]:
+                waits[c] -= 1
+                if not waits[c]:
+                    order.append(c)
+        yield _closed(names, [k for k, n in enumerate(waits) if n], None, -1)
+        for a in range(0, len(tops), TOPS):
+            some = tops[a : a + TOPS]
+            far = np.full((len(names), len(some)), -1, dtype=np.int32)
+            far[some, np.arange(len(some))] = 0
+            for k in order:
+                if above[k]:
+                    up = far[parent[above[k]]]
+                    far[k] = np.where(up >= 0, up + w[above[k], None], -1).max(axis=0)
+            k, j = np.nonzero(far > 0)
+            yield _closed(names, k, names[np.array(some)[j]], far[k, j])
+
+    return edges.select("child", "parent", "w").coalesce(1).mapInPandas(close, "child string, parent string, w int")
+
+
+def _closed(names: np.ndarray, child, parent, w) -> pd.DataFrame:
+    some = names[np.asarray(child, dtype=np.int64)].astype(object)
+    return pd.DataFrame({"child": some, "parent": pd.Series(parent, index=range(len(some)), dtype=object), "w": pd.Series(w, index=range(len(some)), dtype="int32")})
+
+
 def _cyclic(nodes: DataFrame, paths: bool) -> DataFrame:
     return nodes.select(
         "node", F.lit(CYCLE).alias("root"), F.lit(-1).alias("depth"), *([F.expr("CAST(NULL AS array<string>)").alias("path")] if paths else [])

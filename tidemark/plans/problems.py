@@ -46,6 +46,11 @@ def p1_grid(spark: SparkSession, d: str) -> DataFrame:
     return _named(_grid(spark, d, (regular_grid.OBSERVED, regular_grid.FILLED, regular_grid.UNSUPPORTED)), "value", "status")
 
 
+def p1_observed(spark: SparkSession, d: str) -> DataFrame:
+    """The observed cells of the grid with their values."""
+    return _named(_grid(spark, d, (regular_grid.OBSERVED,)), "value")
+
+
 P1_FOUND_SQL = """
 WITH r AS (
   SELECT full_table_name t, column_name c, metric_name m, dimension_value v, metric_value x, bucket_duration_hours h,
@@ -72,6 +77,17 @@ FROM g LEFT JOIN f ON g.t IS NOT DISTINCT FROM f.t AND g.c IS NOT DISTINCT FROM
 WHERE f.p IS NULL
 """
 
+P1_OBSERVED_SQL = (
+    P1_FOUND_SQL[: P1_FOUND_SQL.index("f AS (SELECT DISTINCT")]
+    .replace("metric_value x,", "metric_value x, updated_at w,")
+    .replace("r.x,", "r.x, r.w,")
+    .replace("SELECT d.t, d.c, d.m, d.v, d.h,", "SELECT d.t, d.c, d.m, d.v, d.h, d.x, d.w,")
+    + """f AS (SELECT *, row_number() OVER (PARTITION BY t, c, m, v, p ORDER BY w DESC NULLS LAST, x DESC) n FROM k WHERE p IS NOT NULL)
+SELECT coalesce(t, '') full_table_name, coalesce(c, '') column_name, coalesce(m, '') metric_name, coalesce(v, '') dimension_value,
+       strftime(TIMESTAMP '1970-01-05 00:00:00' + to_hours(CAST(p * h AS BIGINT)), '%Y-%m-%d %H:%M:%S') bucket_start, x "value"
+FROM f WHERE n = 1"""
+)
+
 
 # 2. References to records that do not exist
 
@@ -508,6 +524,7 @@ WHERE old.t IS NULL OR cur.t IS NULL OR cur.k <> old.k
 QUERIES = {
     "p1_found": p1_found,
     "p1_grid": p1_grid,
+    "p1_observed": p1_observed,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p2_current": p2_current,
@@ -528,6 +545,7 @@ QUERIES = {
 }
 ORACLES = {
     "p1_found": P1_FOUND_SQL,
+    "p1_observed": P1_OBSERVED_SQL,
     "p2_found": P2_FOUND_SQL,
     "p2_report": P2_REPORT_SQL,
     "p2_current": P2_CURRENT_SQL,

@@ -8,12 +8,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark import results
+from tidemark import artifacts, commands, results
 from tidemark.checks import Monitor
 from tidemark.config import RunContext, TableRef
 from tidemark.functions import scalars
 from tidemark.functions.text_time import clean_id, utc_instant
-from tidemark.operators import row_checks, schema_checks, scoring, sla
+from tidemark.operators import metrics, row_checks, schema_checks, scoring, sla
 from tidemark.plans import reference, views
 from tidemark.session import checkpoint_dir, table
 from tidemark.sources import tables
@@ -340,6 +340,139 @@ def sla_deadlines(spark: SparkSession, d: str) -> DataFrame:
     return tables.constant(spark, rows, "asked string, zone string, time string, due timestamp_ntz, applies boolean")
 
 
+# Loading what a project run leaves behind: artifacts made from the nations, as no files of theirs are given
+
+
+def _nations(spark: SparkSession, d: str) -> list:
+    return table(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 rows
+
+
+def _manifest(spark: SparkSession, d: str, name: str = "name") -> dict:
+    nodes = {}
+    for r in _nations(spark, d):
+        kind = ("model", "seed", "snapshot")[r["n_nationkey"] % 3]
+        unique = f"{kind}.geo.{r['n_nationkey']}"
+        nodes[unique] = {
+            "unique_id": unique, "resource_type": kind, "package_name": "geo" if r["n_nationkey"] < 20 else "other", name: r["n_name"], "schema": f"region_{r['n_regionkey']}",
+            "tags": ["b", "a", "b", None], "meta": {"owner": f"{r['n_name']}, team"}, "config": {"materialized": "table", "tags": "c", "group": "g"}, "depends_on": {"nodes": ["y", "x", "x"]},
+        }
+    return {"nodes": nodes}
+
+
+def _run(spark: SparkSession, d: str) -> dict:
+    rows = []
+    for r in _nations(spark, d):
+        k = r["n_nationkey"]
+        timing = [{"name": "execute", "started_at": f"2024-01-31T00:00:{k:02d}", "completed_at": f"2024-01-31T00:01:{k:02d}"}]
+        answer = {"rows_affected": "-1" if k % 4 == 0 else str(k), "query_id": f"q{k}"}
+        rows.append({"unique_id": f"{('model', 'seed', 'snapshot')[k % 3]}.geo.{k}", "status": "success" if k % 5 else "error", "execution_time": float(k), "adapter_response": answer, "timing": timing})
+    return {"metadata": {"invocation_id": "run", "dbt_version": "1.8.1", "generated_at": "2024-01-31T00:00:00Z"}, "args": {"which": "build", "threads": 4, "select": ["b", "a"]}, "results": rows}
+
+
+def load_models(spark: SparkSession, d: str) -> DataFrame:
+    """The models of a package loaded, then loaded again with one renamed: only what differs is written."""
+    schema = artifacts.SCHEMAS["dbt_models"]
+    store = ParquetTable(spark, _home(spark), schema)
+    said = []
+    manifest = _manifest(spark, d)
+    for change in (False, False, True):
+        if change:
+            manifest["nodes"]["model.geo.0"]["name"] = "renamed"
+        rows = artifacts.Manifest(manifest, NOW + timedelta(days=len(said)), "geo").models()
+        said.append(artifacts.load(store, rows, schema))
+    out = store.read().select("unique_id", "name", "schema_name", "materialization", "tags", "owner", "depends_on_nodes", "generated_at")
+    return out.withColumn("loads", F.lit(" ".join(said)))
+
+
+def load_run_results(spark: SparkSession, d: str) -> DataFrame:
+    rows = artifacts.run_result_rows(_run(spark, d), _manifest(spark, d), NOW, True)
+    out = tables.constant(spark, rows, artifacts.SCHEMAS["dbt_run_results"])
+    keep = ["model_execution_id", "name", "status", "resource_type", "execution_time", "execute_started_at", "query_id", "materialization", "group_name", "full_refresh"]
+    return out.select(*keep, F.coalesce("rows_affected", F.lit(-1)).alias("rows_affected"))
+
+
+def load_source_freshness(spark: SparkSession, d: str) -> DataFrame:
+    found = [
+        {"unique_id": r["n_name"], "status": ("pass", "warn", "runtime error")[r["n_nationkey"] % 3], "max_loaded_at": "2024-01-30", "max_loaded_at_time_ago_in_s": 60.0 * r["n_nationkey"], "error": None}
+        for r in _nations(spark, d)
+    ]
+    rows = artifacts.source_freshness_rows({"metadata": {"invocation_id": "run"}, "results": found}, NOW)
+    out = tables.constant(spark, rows, artifacts.SCHEMAS["dbt_source_freshness_results"])
+    return out.select("source_freshness_execution_id", "status", "max_loaded_at", F.coalesce("max_loaded_at_time_ago_in_s", F.lit(-1.0)).alias("age"))
+
+
+def load_invocation(spark: SparkSession, d: str) -> DataFrame:
+    where = {"GITHUB_ACTIONS": "1", "GITHUB_RUN_ID": "5", "GITHUB_SERVER_URL": "https://h", "GITHUB_REPOSITORY": "o/r", "GITHUB_SHA": "abc"}
+    row = artifacts.invocation_row(_run(spark, d), where, {"env": "prod", "job_name": "nightly"}, NOW)
+    shape = ", ".join(f"{c} string" for c in ("invocation_id", "command", "dbt_version", "threads", "selected", "orchestrator", "job_name", "job_run_id", "job_run_url", "env", "git_sha"))
+    return tables.constant(spark, [row], shape)
+
+
+def declaration_problems(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of a project that lack what it requires."""
+    found = commands.configuration_problems(artifacts.Manifest(_manifest(spark, d), NOW, "geo"), owners=True, description=True, meta_keys=["owner", "tier"])
+    return tables.constant(spark, [{"unique_id": u, "missing": m} for u, m in found], "unique_id string, missing string")
+
+
+def generated_tests(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a generated baseline of the region table and of a JSON schema of the events' properties."""
+    text = commands.baseline_test(table(spark, d, "region"), "region", fail_on_added=True) + commands.json_schema_test(table(spark, d, "events"), "events", "props")
+    return tables.constant(spark, [{"line": i, "content": c} for i, c in enumerate(text.splitlines())], "line int, content string")
+
+
+def private_samples(spark: SparkSession, d: str) -> DataFrame:
+    """How many rows of a failed check may be kept, by its tags and settings."""
+    private = {"disable_samples_on_pii_tags": True, "pii_tags": ["pii"]}
+    shown = {"enable_samples_on_show_sample_rows_tags": True, "show_sample_rows_tags": ["show"]}
+    cases = {
+        "plain": (_node("a"), {}),
+        "switched off": (_node("a", meta={"disable_test_samples": True}), {}),
+        "own number": (_node("a", meta={"test_sample_row_count": 17}), {}),
+        "private model": (_node("a", model_tags=["PII"]), private),
+        "private column": (_node("a", "c", column_tags={"C": ["pii"]}), private),
+        "other column": (_node("a", "c", column_tags={"x": ["pii"]}), private),
+        "not shown": (_node("a"), shown),
+        "shown": (_node("a", tags=["show"]), shown),
+    }
+    rows = [{"what": k, "rows": results.sample_limit(n, ["c"], o)} for k, (n, o) in cases.items()]
+    return tables.constant(spark, rows, "what string, rows int")
+
+
+# More of the checks
+
+
+def table_metrics_of_two_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Row count and freshness of the same buckets in one result."""
+    m = Monitor(table(spark, d, "events"), EVENTS, CTX)
+    return _scores(m.table_anomalies(["row_count", "freshness"], timestamp_column="ts"), "metric_name", digits=3)
+
+
+def anomaly_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    m = Monitor(table(spark, d, "events"), EVENTS, CTX)
+    return m.volume_anomalies(timestamp_column="ts").select("bucket_end", "anomaly_description")
+
+
+def metrics_too_large(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of the greatest integer and beyond are not kept."""
+    rows = table(spark, d, "orders").select("o_orderpriority", (F.col("o_orderkey") * 100000).alias("big"))
+    config = reference.CheckConfig(TableRef("orders", "main"), dimensions=("o_orderpriority",))
+    out = metrics.column_metrics(rows, config, CTX, {"big": ["min", "max", "average", "sum"]})
+    return out.select("metric_name", "dimension_value", F.round("metric_value", 3).alias("metric_value"))
+
+
+def no_metrics(spark: SparkSession, d: str) -> DataFrame:
+    start, end = datetime(2024, 1, 30), NOW
+    return metrics.table_metrics(table(spark, d, "events"), reference.EVENTS, CTX, [], start, end).select("metric_name", "bucket_end")
+
+
+def schema_first_run(spark: SparkSession, d: str) -> DataFrame:
+    """A table that was never seen has no changes; against its own earlier list it has."""
+    now = schema_checks.declared_columns(table(spark, d, "nation"), TableRef("nation", "main"))
+    then = schema_checks.snapshot(now.where("column_name <> 'n_name'"), None, EARLIER)
+    first = schema_checks.changes_since_last_run(now, None).withColumn("run", F.lit(1))
+    return first.unionByName(schema_checks.changes_since_last_run(now, then).withColumn("run", F.lit(2))).select("run", "column_name", "change")
+
+
 # Scalar functions
 
 
@@ -419,6 +552,7 @@ c AS (SELECT *, CASE WHEN failures = 0 THEN 'pass' WHEN severity = 'WARN' THEN '
 """
 _EARLY = "id IS NOT NULL AND created_at < TIMESTAMP '2024-01-15 00:00:00'"
 _LATE = "id IS NOT NULL AND created_at >= TIMESTAMP '2024-01-15 00:00:00'"
+_KIND = "['model', 'seed', 'snapshot'][n_nationkey % 3 + 1]"
 _END = "o_orderdate + to_hours(CAST(o_orderkey % 5000 AS BIGINT))"
 
 QUERIES = {
@@ -456,6 +590,18 @@ QUERIES = {
         latest_full_refresh,
         alerts_source_freshness,
         sla_deadlines,
+        load_models,
+        load_run_results,
+        load_source_freshness,
+        load_invocation,
+        declaration_problems,
+        generated_tests,
+        private_samples,
+        table_metrics_of_two_kinds,
+        anomaly_descriptions,
+        metrics_too_large,
+        no_metrics,
+        schema_first_run,
         scalar_times,
         scalar_values,
     )
@@ -515,6 +661,38 @@ FROM w WHERE a > 43200 AND t IS NOT NULL""",
     "sla_deadlines": """SELECT asked, zone, "time", CAST(timezone('UTC', timezone(zone, CAST(lt AS TIMESTAMP))) AS TIMESTAMP) due, dayofweek(CAST(lt AS TIMESTAMP)) = 0 OR day(CAST(lt AS TIMESTAMP)) = 1 applies
 FROM (VALUES ('7', 'UTC', '7:00 AM', '2024-01-31 07:00:00'), ('07:00', 'Europe/Berlin', '7:00 AM', '2024-03-31 07:00:00'), ('7am', 'Europe/Berlin', '7:00 AM', '2024-03-30 07:00:00'),
   ('2:30pm', 'America/New_York', '2:30 PM', '2024-03-10 14:30:00'), ('12am', 'Asia/Kolkata', '12:00 AM', '2024-07-01 00:00:00')) v(asked, zone, "time", lt)""",
+    "load_models": """SELECT 'model.geo.' || n_nationkey unique_id, CASE n_nationkey WHEN 0 THEN 'renamed' ELSE n_name END "name", 'region_' || n_regionkey schema_name, 'table' materialization,
+  '["a", "b", "c"]' tags, '["' || n_name || '", "team"]' "owner", '["x", "y"]' depends_on_nodes, CASE n_nationkey WHEN 0 THEN '2024-02-02 00:00:00' ELSE '2024-01-31 00:00:00' END generated_at,
+  'updated unchanged updated' loads FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey < 20""",
+    "load_run_results": f"""WITH k AS (SELECT *, {_KIND} kind FROM nation)
+SELECT 'run.' || kind || '.geo.' || n_nationkey model_execution_id, n_name "name", CASE WHEN n_nationkey % 5 = 0 THEN 'error' ELSE 'success' END status, kind resource_type, CAST(n_nationkey AS DOUBLE) execution_time,
+  '2024-01-31T00:00:' || lpad(CAST(n_nationkey AS VARCHAR), 2, '0') execute_started_at, 'q' || n_nationkey query_id, 'table' materialization, 'g' group_name, TRUE full_refresh,
+  CASE WHEN n_nationkey % 4 = 0 THEN -1 ELSE n_nationkey END rows_affected FROM k""",
+    "load_source_freshness": """SELECT 'run.' || n_name source_freshness_execution_id, ['pass', 'warn', 'runtime error'][n_nationkey % 3 + 1] status,
+  CASE WHEN n_nationkey % 3 < 2 THEN '2024-01-30' END max_loaded_at, CASE WHEN n_nationkey % 3 < 2 THEN 60.0 * n_nationkey ELSE -1 END age FROM nation""",
+    "load_invocation": """SELECT 'run' invocation_id, 'build' command, '1.8.1' dbt_version, '4' threads, '["a", "b"]' selected, 'github_actions' orchestrator, 'nightly' job_name, '5' job_run_id,
+  'https://h/o/r/actions/runs/5' job_run_url, 'prod' env, 'abc' git_sha""",
+    "declaration_problems": "SELECT 'model.geo.' || n_nationkey unique_id, unnest(['description', 'meta key tier']) missing FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey < 20",
+    "generated_tests": """WITH c AS (SELECT column_name n, replace(replace(column_type, 'INTEGER', 'INT'), 'VARCHAR', 'STRING') k, row_number() OVER () i FROM (DESCRIBE region)),
+l AS (SELECT 0 a, 0 b, 'models:' t UNION ALL SELECT 0, 1, '  - name: region' UNION ALL SELECT 0, 2, '    columns:'
+  UNION ALL SELECT 1, 2 * i, '      - name: ' || n FROM c UNION ALL SELECT 1, 2 * i + 1, '        data_type: ' || k FROM c
+  UNION ALL SELECT 2, 0, '    tests:' UNION ALL SELECT 2, 1, '      - schema_changes_from_baseline:' UNION ALL SELECT 2, 2, '          fail_on_added: true'
+  UNION ALL SELECT 3, 0, 'models:' UNION ALL SELECT 3, 1, '  - name: events' UNION ALL SELECT 3, 2, '    columns:' UNION ALL SELECT 3, 3, '      - name: props'
+  UNION ALL SELECT 3, 4, '        tests:' UNION ALL SELECT 3, 5, '          - json_schema: {"properties": {"k": {"type": "integer"}}, "type": "object"}')
+SELECT row_number() OVER (ORDER BY a, b) - 1 line, t content FROM l""",
+    "private_samples": """SELECT * FROM (VALUES ('plain', 5), ('switched off', 0), ('own number', 17), ('private model', 0), ('private column', 0), ('other column', 5), ('not shown', 0), ('shown', 5)) v(what, "rows")""",
+    "table_metrics_of_two_kinds": _scored_sql(
+        f"SELECT 'row_count' metric_name, bucket_end, metric_value FROM ({reference._DAILY}) UNION ALL SELECT 'freshness', bucket_end, metric_value FROM ({reference._freshness_sql('TRUE', '1 DAY')})",
+        "(score > 3 OR score < -3 AND metric_name = 'row_count')", 2, 3, "PARTITION BY metric_name", "metric_name,",
+    ),
+    "anomaly_descriptions": f"""WITH w AS (SELECT bucket_end, metric_value, avg(metric_value) OVER f a, count(*) OVER f n FROM ({reference._DAILY}) WINDOW f AS (ORDER BY bucket_end ROWS UNBOUNDED PRECEDING))
+SELECT bucket_end, CASE WHEN n = 1 THEN 'Not enough data to calculate anomaly score.'
+  ELSE 'The last row_count value is ' || round(metric_value, 3) || '. The average for this metric is ' || round(a, 3) || '.' END anomaly_description FROM w""",
+    "metrics_too_large": """WITH m AS (SELECT unnest(['min', 'max', 'average', 'sum']) metric_name, coalesce(o_orderpriority, 'NULL') dimension_value,
+  unnest([CAST(min(o_orderkey) AS DOUBLE), max(o_orderkey), avg(o_orderkey), sum(o_orderkey)]) * 100000 v FROM orders GROUP BY o_orderpriority)
+SELECT metric_name, dimension_value, round(v, 3) metric_value FROM m WHERE v < 2147483647""",
+    "no_metrics": "SELECT '' metric_name, TIMESTAMP '2024-01-31 00:00:00' bucket_end WHERE FALSE",
+    "schema_first_run": "SELECT 2 run, 'n_name' column_name, 'column_added' \"change\"",
     "scalar_times": f"""WITH o AS (SELECT *, {_END} e FROM orders)
 SELECT o_orderkey, CAST(date_trunc('hour', e) AS TIMESTAMP) trunc_hour, CAST(date_trunc('day', e) AS TIMESTAMP) trunc_day, CAST(date_trunc('week', e) AS TIMESTAMP) trunc_week,
   CAST(date_trunc('month', e) AS TIMESTAMP) trunc_month, o_orderdate + INTERVAL 31 DAY add_day, o_orderdate + INTERVAL 1 MONTH add_month, o_orderdate - INTERVAL 90 MINUTE add_minute,

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
+
 CHANGES = "entity string, day date, member string, change_kind string, old string, new string"
 _SCHEMA = pa.schema(
     [("entity", pa.string()), ("day", pa.date32()), ("member", pa.string()), ("change_kind", pa.string()), ("old", pa.string()), ("new", pa.string())]
@@ -48,7 +50,8 @@ def snapshot_changes(rows: DataFrame) -> DataFrame:
         F.lead("day").over(span).alias("next_day"),
         F.lag("day").over(span).isNotNull().alias("has_before"),
     )
-    known = rows.join(steps, (F.col("entity") == F.col("_entity")) & (F.col("day") == F.col("_day")))
+    # Kept, as the ranges are found by a sample of it before it is sent to them.
+    known = cut(rows.join(steps, (F.col("entity") == F.col("_entity")) & (F.col("day") == F.col("_day"))).drop("_entity", "_day"))
     sides = F.array(
         F.struct(F.when(F.col("has_before"), F.col("day")).alias("day"), F.lit(1).alias("side")),
         F.struct(F.col("next_day").alias("day"), F.lit(0).alias("side")),

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
+from tidemark import session
 from tidemark.functions.text_time import clean_id, instant_text, utc_instant
 from tidemark.operators import hierarchy, history, once, orphans, regular_grid, snapshot_diff, spikes
 
@@ -55,6 +56,14 @@ def test_new_only(spark):
     assert rows(out) == [("b", 1), (None, 3)]
 
 
+def test_small_tables_are_spread_over_the_cores(spark, tmp_path, monkeypatch):
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert session.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and session.spread(df).count() == 1000
+    monkeypatch.setattr(session, "SPREAD_BYTES", 10)
+    assert session.spread(df) is df
+
+
 # orphans
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Rows up to which a side may be broadcast; rows here are narrow (keys and a few numbers).
 BROADCAST_ROWS = 50_000
 SALTS = 16
+#: Bytes of a table up to which spread() moves it.
+SPREAD_BYTES = 32_000_000
 
 
 def session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -78,6 +80,16 @@ def cut_counting(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict[str
     return out, got
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of few bytes over as many tasks as there are cores, for work that costs far more than to move it: a small
+    file is one row group, and so one task. Larger ones stay as they are read."""
+    # What is read, not what Catalyst guesses to be left of it.
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    if sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def release(spark: SparkSession) -> None:
     """Let go of plans that are done: the cleaner then removes their shuffle files and broadcasts, which in
     long iterations would stay until the driver happens to collect its garbage."""

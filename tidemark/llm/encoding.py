@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut, join_lookup
+from tidemark.session import cut, join_lookup, spread
 
 #: Encodings in which text may have been written, and in which it may have been read instead.
 WRITTEN = ("utf-8", "cp1252", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850")
@@ -777,7 +777,7 @@ def wrongly_decoded(docs: DataFrame) -> DataFrame:
     the ciphers, which gathers counts per (source, swap, context) by shuffled sums, and for the
     final decision.
     """
-    docs = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text")
+    docs = spread(docs.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "text"))
     spark = docs.sparkSession
     odd = docs.filter(F.col("text").rlike(r"[^\x00-\x7F]"))
     counts = language_counts(docs).toPandas()

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import spread
+
 #: Consecutive words of an item that make a leak, and the share of an item's words that do in order.
 RUN, SHARE = 16, 2 / 3
 #: A stretch of a document in which that share must lie, in lengths of the item.
@@ -463,7 +465,7 @@ def leaked_answers(docs: DataFrame, items: DataFrame) -> DataFrame:
     answer = F.col("answer") if "answer" in items.columns else F.lit(None)
     held = items.filter("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text", answer.cast("string").alias("answer"))
     rows = sorted((tuple(r) for r in held.toLocalIterator()), key=lambda r: (r[0], r[1], r[2] or ""))
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.col("text") != ""))
+    texts = spread(docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.col("text") != "")))
     out = None
     for k in range(0, max(1, len(rows)), INDEX_ITEMS):
         shared = spark.sparkContext.broadcast(Index(rows[k : k + INDEX_ITEMS]))

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import cut
+from tidemark.session import cut, spread
 
 CAPACITY = 2048
 #: A vocabulary file of ranks (base64 token, rank) of a public byte-level BPE.
@@ -47,7 +47,7 @@ def token_sizes(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             n = [len(encode(t)) if t else 0 for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_tokens": np.array(n, dtype=np.int64)})
 
-    return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInPandas(count, "doc_id bigint, n_tokens bigint")
+    return spread(docs.select("doc_id", "text").filter("doc_id IS NOT NULL")).mapInPandas(count, "doc_id bigint, n_tokens bigint")
 
 
 def best_fit(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:

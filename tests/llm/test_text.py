@@ -368,7 +368,7 @@ def test_cipher_is_learned_from_bigrams_alone():
     assert right >= 4
 
 
-@pytest.mark.parametrize(("written", "read", "lang"), [("iso8859_5", "cp1252", "ru"), ("cp1252", "cp1253", "fr"), ("cp852", "cp1252", "pl"), ("iso8859_2", "cp1253", "pl")])
+@pytest.mark.parametrize(("written", "read", "lang"), [("iso8859_5", "cp1252", "ru"), ("cp1252", "cp1253", "fr"), ("cp852", "cp1252", "pl"), ("iso8859_2", "cp1253", "pl"), ("cp1251", "cp1256", "ru")])
 def test_pair_of_pages_that_is_not_listed_is_proposed(spark, written, read, lang):
     """Documents misread by any pair of pages are found and come back letter by letter; the others stay."""
     rng = random.Random(11)

@@ -41,6 +41,9 @@ BLOCKS = (
     (0x370, 0x3FF),
     (0x400, 0x45F),
     (0x490, 0x491),
+    (0x5D0, 0x5EA),
+    (0x60C, 0x6FF),
+    (0xE01, 0xE5B),
     (0x1E9E, 0x1E9E),
     (0x2010, 0x203A),
     (0x2070, 0x20AC),
